@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from quire.llm import pii, secrets
 from quire.llm.common import read
 from quire.llm.quality import quality
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+def op9_pii(spark, sf_dir):
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -17,7 +26,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op9_pii, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql():
