@@ -54,7 +54,7 @@ _ONE_DIGIT = re.compile(rf"(?i)({'|'.join(DIGITS)})[ ,.-]{{0,2}}")
 _OPEN, _CLOSE = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
 _BRACKETED = re.compile(rf"(?i){_OPEN}(at|dot){_CLOSE}")
 #: "name at host dot tld": a bare at counts only with a dot that is spelled too.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )(?!(?:the|an?|this|that|my|our|your|his|her|its|their) )[A-Za-z0-9-]{1,63}((?: dot [A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])")
+_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )(?!(?:the|an?|this|that|my|our|your|his|her|its|their) )[A-Za-z0-9-]{1,63}((?: dot [A-Za-z0-9-]{1,63}){0,3} dot [A-Za-z]{2,24})(?![A-Za-z0-9-])")
 
 
 def _emails(text: str):
