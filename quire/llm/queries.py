@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import pii, secrets
+from quire.llm import decontaminate, licenses, packing, pii, secrets
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -11,6 +11,18 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
 
@@ -26,8 +38,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op9_pii, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_decontamination, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_license_scan": licenses.ORACLE}

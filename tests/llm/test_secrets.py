@@ -53,5 +53,5 @@ def test_nulls_empty_long_and_clashing_columns(spark):
 
 
 def test_further_formats():
-    assert [s[1] for s in found(["ghp_" + "a" * 36])[0]] == ["code_host_token"]
-    assert found(["ghp_" + "a" * 30, "the skeleton keys of the token ring"]) == [[], []]
+    assert [s[1] for s in found(["ghp_" + "z" * 36])[0]] == ["code_host_token"]
+    assert found(["ghp_" + "z" * 30, "the skeleton keys of the token ring"]) == [[], []]
