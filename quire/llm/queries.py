@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, licenses, packing, pii, secrets
+from quire.llm import decontaminate, licenses, minhash, packing, pii, secrets
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -15,6 +15,10 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_minhash_near_duplicates(spark, sf_dir):
+    return minhash.link(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_decontamination, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_decontamination, op5_minhash_near_duplicates, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql():
