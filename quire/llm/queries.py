@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, embeddings, licenses, minhash, packing, pii, secrets
+from quire.llm import decontaminate, embeddings, licenses, minhash, packing, pii, secrets, substrings
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -23,6 +23,10 @@ def op5_minhash_near_duplicates(spark, sf_dir):
     return minhash.link(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.digest(substrings.remove(read(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql():
