@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, embeddings, licenses, minhash, packing, pii, secrets, substrings
+from quire.llm import decontaminate, embeddings, licenses, minhash, ngrams, packing, pii, secrets, substrings
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -11,6 +11,10 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op2_backoff_score(spark, sf_dir):
+    return ngrams.score(read(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_duplicates(spark, sf_dir):
     return embeddings.link(read(spark, sf_dir, "embeddings"))
 
@@ -50,7 +54,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_backoff_score, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql():
