@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from quire.operators import search, selection, text
+from quire.sources import sinks, tables
+
+FAMILIES = [tables, sinks, text, search, selection]
+
+
+def _all():
+    return {name: entry for family in FAMILIES for name, entry in family.QUERIES.items()}
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
