@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of five words (ASCII letters lower-
 Documents with equal sets become one class before anything else. For the classes, 128 minima give 32 bands of four for
 candidates and, of each minimum, two bits, packed into planes of 64 lanes: the share of equal lanes, corrected for chance
 equality, estimates the similarity of a candidate pair, and pairs well below the threshold go. What is left is confirmed
-on the full sets. Each bucket first links its members to its least class; classes that still lie in different
+on the full sets. Each bucket first links its members to a leader; classes that still lie in different
 components but share a bucket are then compared pair by pair, so no link between candidates is lost.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing (component_id is its own
@@ -19,12 +19,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  in_blocks uses it
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import columns, cut, hash_words, in_blocks, joined_bytes, mix
 from quire.llm.graph import components
 
 WORDS, HASHES, ROWS = 5, 128, 4
 BANDS = HASHES // ROWS
+#: Buckets from this size on get a central leader, found from at most so many of their members.
+LARGE, MAJORITY_OF = 8, 64
 _PICK = np.random.Generator(np.random.PCG64(2024))
 _A = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -97,6 +100,16 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.view(np.int64)))], ["id", "s"])
 
 
+def _majority(batches):
+    """For each bucket the planes that hold the more frequent bit of each place."""
+    for batch in batches:
+        out = []
+        for planes in batch.column("all").to_pylist():
+            bits = np.unpackbits(np.array(planes, dtype=np.int64).view(np.uint8).reshape(len(planes), -1), axis=1)
+            out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(planes)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("band"), pa.array(out, pa.list_(pa.int64()))], ["band", "planes"])
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -129,15 +142,21 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     # Two standard errors of the estimate at the threshold are 0.09; nothing within four is dropped.
     floor = percent / 100 - 0.19
     banded = classes.select("id", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = cut(banded.join(leads, "band").select("band", "id", "lead"))
     bits = classes.select("id", "planes")
+    leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    # Of a larger bucket, the member nearest to what most of some members have leads: it is likelier to link the others.
+    large = banded.join(leads.filter(f"n >= {LARGE}").select("band"), "band").join(bits, "id")
+    some = large.withColumn("rn", F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id")))).filter(f"rn <= {MAJORITY_OF}")
+    middle = some.groupBy("band").agg(F.collect_list("planes").alias("all")).mapInArrow(_majority, "band long, planes array<long>")
+    central = large.alias("a").join(middle.alias("b"), "band").groupBy("band").agg(F.expr(f"max_by(a.id, struct({similarity('a', 'b')}, -a.id)) central"))
+    leads = leads.join(central, "band", "left").select("band", F.coalesce("central", "lead").alias("lead"))
+    buckets = cut(banded.join(leads, "band").select("band", "id", "lead"))
     stars = buckets.filter("id != lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
     a, b = bits.alias("a"), bits.alias("b")
     stars = stars.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).selectExpr("a.id a", "b.id b", f"{similarity('a', 'b')} est").filter(f"est >= {floor}")
     stars = cut(stars)
     # First the likeliest leader of each class: most classes need no other comparison.
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")).selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
     found = cut(_verify(docs, best, percent))
     seen = components(found)
     # Then all pairs that share a bucket and still lie in different components.
@@ -157,7 +176,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Only documents in some pair are read into sets."""
     pairs = cut(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+    # The hint keeps one plan at every size: how many documents are wanted follows the data.
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = cut(texts.mapInArrow(_sets, "id long, s array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), "s"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long")
