@@ -28,8 +28,8 @@ def layout_glyphs(pages: DataFrame, *key: str, wrap: int = WRAP) -> DataFrame:
 def clean_page_chars(glyphs: DataFrame, key: list[str], crop: tuple[float, float, float, float]) -> DataFrame:
     """Without carriage returns, clipped to the crop box; characters outside go, white space without a box stays, and trailing line ends go."""
     a, b, c, d = (f"{x}D" for x in crop)
-    clipped = glyphs.filter(r"ch <> '\r'").selectExpr(*key, "row", "col", "idx", "ch", f"greatest(x0, {a}) x0", f"greatest(y0, {b}) y0", f"least(x1, {c}) x1", f"least(y1, {d}) y1")
-    inside = clipped.filter(r"if(x0 is null, ch rlike '\\s', x0 < x1 and y0 < y1)".replace("x0 is null", "x1 is null"))
+    clipped = glyphs.filter(r"ch <> '\r'").selectExpr(*key, "row", "col", "idx", "ch", *(f"if({e} is null, null, {f}({e}, {m})) {e}" for e, f, m in (("x0", "greatest", a), ("y0", "greatest", b), ("x1", "least", c), ("y1", "least", d))))
+    inside = clipped.filter(r"if(x0 is null, ch rlike '\\s', x0 < x1 and y0 < y1)")
     last = F.max(F.when(F.col("ch") != "\n", F.col("idx"))).over(Window.partitionBy(*key))
     return inside.withColumn("_last", last).filter("idx <= _last").drop("_last")
 
@@ -99,7 +99,7 @@ def word_at(points: DataFrame, glyphs: DataFrame, pages: DataFrame, key: list[st
     near = both.groupBy(*key, "point_id").agg(F.min(F.expr("struct(round(greatest(x0 - x, x - x1, 0D), 9) d, idx)")).alias("g"))
     fold = f"aggregate(arrays_zip(words, gap), struct(0 at, cast(array() as array<struct<b: int, e: int>>) s), (a, z) -> struct(a.at + length(z.gap) + length(z.words) at, array_append(a.s, struct(a.at + length(z.gap) b, a.at + length(z.gap) + length(z.words) e)) s), a -> a.s)"
     spans = pages.selectExpr(*key, f"regexp_extract_all(text, '({WORD})', 1) words", f"split(text, '{WORD}') gaps").selectExpr(*key, "words", "slice(gaps, 1, size(words)) gap").selectExpr(*key, f"{fold} spans")
-    return near.join(spans, key, "left").selectExpr(*key, "point_id", "filter(spans, s -> g.idx >= s.b and g.idx < s.e)[0] w").selectExpr(*key, "point_id", "w.b start", "w.e end")
+    return near.join(spans, key, "left").selectExpr(*key, "point_id", "get(filter(spans, s -> g.idx >= s.b and g.idx < s.e), 0) w").selectExpr(*key, "point_id", "w.b start", "w.e end")
 
 
 def merge_text_layer(existing: DataFrame, recognised: DataFrame, key: list[str], grow: float = 0.48) -> DataFrame:
