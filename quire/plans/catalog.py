@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quire.operators import compliance, layout, measures, search, selection, text
+from quire.operators import compliance, layout, measures, navigation, search, selection, text
 from quire.sources import sinks, tables
 
-FAMILIES = [tables, sinks, text, search, selection, compliance, measures, layout]
+FAMILIES = [tables, sinks, text, search, selection, compliance, measures, layout, navigation]
 
 
 def _all():
