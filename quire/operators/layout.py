@@ -224,3 +224,17 @@ select conv_id, turn, row id, 'text' layer from ln union all select conv_id, tur
         """with e as (select vec_id, list_filter(range(len(embedding)), lambda i: (i + vec_id) % 17 = 0) c from embeddings) select vec_id, cast(len(c) as integer) n_changed, cast(list_min(c) as integer) as first, cast(list_max(c) as integer) as last, len(c) = 0 equal from e""",
     ),
 }
+
+
+def _characters(s, d):
+    """The glyphs of each page in reading order; every third row sits a little higher, as superscripts do."""
+    return _glyphs(s, d).selectExpr("conv_id", "turn", "idx", "ch", "y0 + if(col % 9 = 5, 4, 0) y0", "y1 + if(col % 9 = 5, 4, 0) y1")
+
+
+def _physical_lines(s, d):
+    from quire.operators.measures import physical_lines
+
+    return physical_lines(_characters(s, d), _KEY, "conv_id long, turn long, line_no int, text string, first int, last int")
+
+
+QUERIES["physical_lines"] = (_physical_lines, None)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from quire.operators import compliance, layout, measures, navigation, search, selection, text
 from quire.sources import sinks, tables
+from quire.streaming import events
 
-FAMILIES = [tables, sinks, text, search, selection, compliance, measures, layout, navigation]
+FAMILIES = [tables, sinks, text, search, selection, compliance, measures, layout, navigation, events]
 
 
 def _all():
@@ -18,3 +19,8 @@ def queries():
 
 def oracle_sql():
     return {name: sql for name, (_, sql) in _all().items() if sql}
+
+
+def flagship(spark, sf_dir):
+    """Search literal terms in all documents and sum up each term."""
+    return search.summary(tables.load_corpus(spark, sf_dir), search.term_table(spark))
