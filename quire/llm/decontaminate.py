@@ -68,7 +68,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, in their own columns, that hold no benchmark passage."""
-    return documents.join(contaminated(documents, benchmark).select(F.col("doc_id").alias("_leak")), F.col("doc_id") == F.col("_leak"), "left_anti")
+    leaks = contaminated(documents, benchmark).select(F.col("doc_id").alias("_leak"))
+    return documents.join(leaks, documents["doc_id"] == leaks["_leak"], "left_anti")
 
 
 #: The same rules in DuckDB, with tokens compared as they are.

@@ -186,4 +186,4 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def deduplicate(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The documents, in their own columns, without the near-copies of a document with a smaller doc_id."""
     gone = link(documents, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")

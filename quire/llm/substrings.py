@@ -217,7 +217,10 @@ def maximal_repeats(members: list[tuple[bytes, bytes]], length: int = LENGTH, gr
         group = sorted(order[first : last + 1], key=lambda i: members[i][0])
         need = max(0, length - right)
         for left, a, b in intervals([members[i][0] for i in group], need):
-            out.append((left, right, group[a : b + 1]))
+            part = group[a : b + 1]
+            # A part of the interval may go on alike for longer: then a deeper interval has it.
+            if len(part) == len(group) or common(min(members[i][1] for i in part), max(members[i][1] for i in part)) == right:
+                out.append((left, right, part))
     return out
 
 
