@@ -233,7 +233,12 @@ def _tree(batches):
         for left, right, members in maximal_repeats([(g[2], g[3]) for g in group]):
             least = min(group[i][0] for i in members)
             spans += [(i, left, right) for i in members if group[i][0] > least]
+        # All repeats of a member hold its anchor, so together they are one stretch.
+        most: dict[int, tuple[int, int]] = {}
         for i, left, right in spans:
+            a, b = most.get(i, (0, 0))
+            most[i] = max(a, left), max(b, right)
+        for i, (left, right) in most.items():
             doc, place = group[i][:2]
             out["doc_id"].append(doc)
             out["start"].append(place - left)
@@ -326,7 +331,7 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 def remove(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (the maximal runs) of each row."""
-    spans = repeats(documents).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeats(documents).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     texts = columns(documents, doc_id="long", text="string").mapInArrow(_squeeze, "doc_id long, z binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>"
     return texts.join(spans, "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(_finish, schema)
