@@ -111,6 +111,25 @@ def in_blocks(batches, most: int = 8_000_000, column: str = "text"):
                 yield batch.slice(a, b - a)
 
 
+def groups(batches, keys: list[str]):
+    """Tables of the adjacent rows with equal keys, of a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(values)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if last is not None and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(values[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the named columns, with these types: other columns, clashing names among them, stay out."""
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in named.items()))

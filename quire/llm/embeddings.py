@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import cut, partitions
+from quire.llm.common import cut, groups, partitions
 from quire.llm.graph import components
 
 BITS, WINDOW, BLOCK, PIVOT_OF = 64, 16, 512, 64
@@ -42,25 +42,6 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _groups(batches, keys: list[str]):
-    """Tables of the adjacent rows with equal keys, of a partition sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if last is not None and tuple(values[a]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = tuple(values[a])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def n_passes(vectors: int, cosine: float, window: int = WINDOW, miss: float = 1e-4) -> int:
     """So many passes that a pair at the cosine shares, but for `miss`, some prefix that parts it from all but a window."""
     agree = 1 - np.arccos(cosine) / np.pi
@@ -124,7 +105,7 @@ def _angles(batches):
 
 def _counts(cosine: float):
     def run(batches):
-        for group in _groups(batches, ["component_id", "qb", "bb"]):
+        for group in groups(batches, ["component_id", "qb", "bb"]):
             query = group.filter(pa.compute.field("role") == 0)
             base = group.filter(pa.compute.field("role") == 1)
             if query.num_rows and base.num_rows:

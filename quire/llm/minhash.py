@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of five words (ASCII letters lower-
 Documents with equal sets become one class before anything else. For the classes, 128 minima give 32 bands of four for
 candidates and, of each minimum, two bits, packed into planes of 64 lanes: the share of equal lanes, corrected for chance
 equality, estimates the similarity of a candidate pair, and pairs well below the threshold go. What is left is confirmed
-on the full sets. Each bucket first links its members to a leader; classes that still lie in different
-components but share a bucket are then compared pair by pair, so no link between candidates is lost.
+on the full sets. Classes that resemble some bucket's leader form a family; each class is first compared with its
+likeliest leader, and then those outside a family's largest component with the whole family, in blocks whose tasks
+return only links. Pairs that share a bucket but no family come last, so no link between candidates is lost.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing (component_id is its own
 doc_id); rows with one doc_id count as that document once per distinct set; a row without doc_id gets no component; an
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import columns, cut, hash_words, in_blocks, joined_bytes, mix
+from quire.llm.common import columns, cut, groups, hash_words, in_blocks, joined_bytes, mix, partitions
 from quire.llm.graph import components
 
 WORDS, HASHES, ROWS = 5, 128, 4
 BANDS = HASHES // ROWS
 #: Buckets from this size on get a central leader, found from at most so many of their members.
 LARGE, MAJORITY_OF = 8, 64
+#: Classes on a side of a block in which all are compared.
+BLOCK = 512
 _PICK = np.random.Generator(np.random.PCG64(2024))
 _A = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -126,6 +129,38 @@ def _confirm(percent: int):
     return run
 
 
+def _search(percent: int, floor: float):
+    """In each block: links of each asked class to one class of every other component, as far as there are any."""
+
+    def run(batches):
+        for group in groups(batches, ["family", "qb", "bb"]):
+            role, ids, c = (group.column(n).to_numpy() for n in ("role", "id", "c"))
+            planes = group.column("planes").combine_chunks().flatten().to_numpy().reshape(-1, 4)
+            sets = group.column("s").combine_chunks()
+            value, offsets = sets.flatten().to_numpy(), sets.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            of = lambda i: value[offsets[i] : offsets[i + 1]]
+            base = np.flatnonzero(role == 1)
+            pairs = []
+            for i in np.flatnonzero(role == 0):
+                apart = planes[base] ^ planes[i]
+                equal = 128 - np.bitwise_count((apart[:, 0] | apart[:, 1]).view(np.uint64)).astype(int) - np.bitwise_count((apart[:, 2] | apart[:, 3]).view(np.uint64))
+                estimate = (equal / 128 - 0.25) / 0.75
+                near = np.flatnonzero((estimate >= floor) & (c[base] != c[i]))
+                linked = set()
+                for j in base[near[np.argsort(-estimate[near], kind="stable")]]:
+                    if c[j] not in linked:
+                        both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                        if 100 * both >= percent * (len(of(i)) + len(of(j)) - both):
+                            linked.add(c[j])
+                            pairs.append((ids[i], ids[j]))
+            if pairs:
+                a, b = np.array(pairs, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def similarity(a: str, b: str) -> str:
     """SQL: the estimate from the planes of rows a and b; two bits of different minima agree in a quarter of all cases."""
     equal = " - ".join(["128", *(f"bit_count(({a}.planes[{i}] ^ {b}.planes[{i}]) | ({a}.planes[{i + 1}] ^ {b}.planes[{i + 1}]))" for i in (0, 2))])
@@ -155,30 +190,55 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     a, b = bits.alias("a"), bits.alias("b")
     stars = stars.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).selectExpr("a.id a", "b.id b", f"{similarity('a', 'b')} est").filter(f"est >= {floor}")
     stars = cut(stars)
+    # Classes that some leader resembles are a family; only their full sets are needed, and only once.
+    families = components(stars.select("a", "b"))
+    sets = cut(_sets_of(docs, families.select("id")))
     # First the likeliest leader of each class: most classes need no other comparison.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")).selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-    found = cut(_verify(docs, best, percent))
-    seen = components(found)
-    # Then all pairs that share a bucket and still lie in different components.
-    placed = buckets.select("band", "id").join(seen, "id", "left").selectExpr("band", "id", "coalesce(component_id, id) c")
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    placed = cut(placed.join(mixed, "band").join(bits, "id"))
-    sides = placed.alias("a").join(placed.alias("b"), F.expr(f"a.band = b.band and a.c < b.c and {similarity('a', 'b')} >= {floor}"))
-    rest = sides.selectExpr("greatest(a.id, b.id) a", "least(a.id, b.id) b").distinct().join(best, ["a", "b"], "left_anti")
-    edges = found.union(_verify(docs, rest, percent))
-    seen = components(edges)
+    seen = components(_verify(best, sets, percent))
+    # Then, in families that are still apart, each class outside the largest component is compared with all, in blocks.
+    placed = cut(families.select("id", F.col("component_id").alias("family")).join(seen, "id", "left").selectExpr("id", "family", "coalesce(component_id, id) c"))
+    sizes = placed.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    apart = placed.join(sizes.filter("n > n_main"), "family").join(bits, "id").join(sets, "id")
+    apart = apart.selectExpr("id", "family", "c", "planes", "s", "c != main as minor", f"ceil((n - n_main) / {BLOCK}) qn", f"ceil(n / {BLOCK}) bn", "xxhash64(id) h")
+    shares = "id", "family", "c", "planes", "s"
+    asked = apart.filter("minor").selectExpr(*shares, "0 role", "pmod(h, qn) qb", "explode(sequence(0L, bn - 1)) bb")
+    base = apart.selectExpr(*shares, "1 role", "explode(sequence(0L, qn - 1)) qb", "pmod(h, bn) bb")
+    key = ["family", "qb", "bb"]
+    blocks = asked.union(base).repartition(partitions(documents.sparkSession), *key).sortWithinPartitions(*key, "role")
+    seen = _joined(placed.select("id", "c"), blocks.mapInArrow(_search(percent, floor), "a long, b long"))
+    # Last, pairs that share a bucket but no family, though neither's leader showed it.
+    at = classes.select("id").join(families.select("id", F.col("component_id").alias("family")), "id", "left").join(seen, "id", "left").selectExpr("id", "coalesce(family, id) family", "coalesce(c, id) c")
+    at = cut(at)
+    mixed = buckets.select("band", "id").join(at, "id")
+    mixed = mixed.join(mixed.groupBy("band").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("band"), "band").join(bits, "id")
+    sides = mixed.alias("a").join(mixed.alias("b"), F.expr(f"a.band = b.band and a.family < b.family and a.c != b.c and {similarity('a', 'b')} >= {floor}"))
+    rest = cut(sides.selectExpr("greatest(a.id, b.id) a", "least(a.id, b.id) b").distinct())
+    if not rest.isEmpty():
+        more = cut(_sets_of(docs, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()))
+        at = _joined(at.select("id", "c"), _verify(rest, more, percent))
+    seen = at.select("id", F.col("c").alias("component_id"))
     members = rows.join(classes.select("n_shingles", "k1", "k2", "id"), ["n_shingles", "k1", "k2"], "left")
     members = members.join(seen, "id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("doc_id")).alias("component_id"))
     return members.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only documents in some pair are read into sets."""
-    pairs = cut(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _joined(at: DataFrame, edges: DataFrame) -> DataFrame:
+    """at: id and c, its component. The same with the components that edges (a, b) between ids join; loops are harmless."""
+    ends = edges.join(at.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    over = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("c"), F.col("component_id").alias("over"))
+    return at.join(over, "c", "left").select("id", F.coalesce("over", "c").alias("c"))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and s, the full set, of the documents with these ids."""
     # The hint keeps one plan at every size: how many documents are wanted follows the data.
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = cut(texts.mapInArrow(_sets, "id long, s array<long>"))
+    texts = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+    return texts.mapInArrow(_sets, "id long, s array<long>")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), "s"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long")
 
