@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.operators.text import WORD
+from quire.functions.strings import WORD
 from quire.sources.tables import table
 
 LEFT, TOP, LEADING, PITCH, SIZE, WRAP = 48, 769.89, 18, 6.6, 11, 83

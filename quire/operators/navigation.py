@@ -6,29 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.numbers import ROMAN, number_text
+from quire.functions.strings import split_columns
 from quire.operators.layout import page_label_text
-from quire.operators.selection import _split
 from quire.sources.tables import table
 
-# Roman numerals by decimal place.
-_ROMAN = [["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"]]
-
-
-def roman(n: str) -> str:
-    """SQL: Roman numeral of n (thousands repeat M)."""
-    digit = lambda row, power: f"element_at(array({', '.join(repr(x) for x in row)}), cast({n} div {power} % 10 as int) + 1)"
-    return f"concat(repeat('M', cast({n} div 1000 as int)), {digit(_ROMAN[2], 100)}, {digit(_ROMAN[1], 10)}, {digit(_ROMAN[0], 1)})"
-
-
-def number_text(style: str, n: str) -> str:
-    """SQL: a page number in a style: D decimal, R/r Roman to 100000, A/a letters to 2600 (27 is AA), others none; null out of range."""
-    letters = f"repeat(char(65 + cast(({n} - 1) % 26 as int)), cast(({n} - 1) div 26 + 1 as int))"
-    return (
-        f"case {style} when 'D' then cast({n} as string) when 'R' then if({n} between 1 and 100000, {roman(n)}, null) when 'r' then if({n} between 1 and 100000, lower({roman(n)}), null)"
-        f" when 'A' then if({n} between 1 and 2600, {letters}, null) when 'a' then if({n} between 1 and 2600, lower({letters}), null) else '' end"
-    )
-
-
 def label_pages(pages: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """pages: key, page. ranges: key, start_page, style, prefix, start_number. Each page takes the last valid range at or before it.
 
@@ -120,7 +102,7 @@ def _ranges(s, d):
 def _label_sql():
     rows = " union all ".join(f"select conv_id, cast({a} as bigint) start_page, {b} style, {c.replace('{string}', 'varchar')} prefix, cast({n.replace('if(conv_id % 5 = 0, 0, 7)', 'case when conv_id % 5 = 0 then 0 else 7 end')} as bigint) start_number from c" for a, b, c, n in _RANGES)
     place = lambda row, power: f"([{', '.join(repr(x) for x in row)}])[cast(n // {power} % 10 as integer) + 1]"
-    rom = f"concat(repeat('M', cast(n // 1000 as integer)), {place(_ROMAN[2], 100)}, {place(_ROMAN[1], 10)}, {place(_ROMAN[0], 1)})"
+    rom = f"concat(repeat('M', cast(n // 1000 as integer)), {place(ROMAN[2], 100)}, {place(ROMAN[1], 10)}, {place(ROMAN[0], 1)})"
     let = "repeat(chr(65 + cast((n - 1) % 26 as integer)), cast((n - 1) // 26 + 1 as integer))"
     return f"""with c as (select distinct conv_id from conversations), r0 as ({rows}), r1 as (select * from (select *, row_number() over (partition by conv_id, start_page order by style desc) rn from r0) where rn = 1),
 v as (select r1.* from r1 join (select conv_id, max(turn) last_page from conversations group by 1) using (conv_id) where start_page between 0 and last_page and start_number >= 1),
@@ -140,7 +122,7 @@ _NAMES = "c_custkey name, case when c_custkey % 10 = 0 then null else (c_custkey
 
 def _destinations(s, d):
     events = table(s, d, "events").selectExpr("event_id", "value", "cast(get_json_object(props, '$.k') as int) k")
-    return events.selectExpr(*_split(_DEST.format(inf="if(k % 9 = 2, double('infinity'), 5D)")))
+    return events.selectExpr(*split_columns(_DEST.format(inf="if(k % 9 = 2, double('infinity'), 5D)")))
 
 
 QUERIES = {

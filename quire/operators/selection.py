@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.strings import split_columns
 from quire.sources.tables import table
 
 
@@ -104,30 +105,16 @@ def _sized(s, d):
 
 
 def _statuses(s, d):
-    return table(s, d, "documents").selectExpr("doc_id", "source", *_split(_FLAGS)).selectExpr("doc_id", "source", f"{PAGE_STATUS} status")
-
-
-def _split(columns: str) -> list[str]:
-    """The top-level, comma-parted items of a select list."""
-    out, depth, item, quoted = [], 0, "", False
-    for c in columns:
-        quoted ^= c == "'"
-        depth += (c == "(") - (c == ")") if not quoted else 0
-        if c == "," and not depth and not quoted:
-            out.append(item)
-            item = ""
-        else:
-            item += c
-    return [*out, item]
+    return table(s, d, "documents").selectExpr("doc_id", "source", *split_columns(_FLAGS)).selectExpr("doc_id", "source", f"{PAGE_STATUS} status")
 
 
 QUERIES = {
     "select_pages": (
         lambda s, d: select_pages(_sized(s, d)),
         rf"""with c as (select conv_id key, count(*) n from conversations group by 1), sp as (select key, n, {_SPEC.format(n='n').replace('conv_id', 'key')} spec from c),
-p as (select key, n, spec, list_transform(string_split(spec, ','), lambda x: trim(x)) parts from sp),
+p as (select key, n, spec, list_transform(stringsplit_columns(spec, ','), lambda x: trim(x)) parts from sp),
 v as (select *, len(list_filter(parts, lambda x: not regexp_full_match(x, '[0-9]+( *- *[0-9]+)?'))) = 0 valid from p),
-r as (select *, case when valid then list_transform(parts, lambda x: [cast(trim(string_split(x, '-')[1]) as bigint), cast(trim(string_split(x, '-')[-1]) as bigint)]) else [] end ranges from v),
+r as (select *, case when valid then list_transform(parts, lambda x: [cast(trim(stringsplit_columns(x, '-')[1]) as bigint), cast(trim(stringsplit_columns(x, '-')[-1]) as bigint)]) else [] end ranges from v),
 e as (select *, case when spec = '' then 'blank' when not valid then 'syntax' when len(list_filter(ranges, lambda x: x[1] < 1 or x[2] < x[1] or x[2] > n)) > 0 then 'range' end e0 from r),
 g as (select key, e0, case when e0 is null then flatten(list_transform(ranges, lambda x: range(x[1] - 1, x[2]))) else [] end pages from e),
 h as (select key, coalesce(e0, case when len(list_distinct(pages)) < len(pages) then 'duplicate' end) error, pages from g)
@@ -138,7 +125,7 @@ select key, cast(unnest(range(len(pages))) as integer) "position", unnest(pages)
         r"select source, count(*) n_pages, count(*) filter (not regexp_matches(case when doc_id % 13 = 0 then ' ' else text end, '\S')) n_textless from documents group by source",
     ),
     "restriction_class": (
-        lambda s, d: restriction_class(table(s, d, "events").selectExpr(*_split(_OBJECTS)), "user_id", "event_id"),
+        lambda s, d: restriction_class(table(s, d, "events").selectExpr(*split_columns(_OBJECTS)), "user_id", "event_id"),
         f"""with o as (select {_OBJECTS} from events), r as (select user_id, event_id, case when encrypted then 'encrypted' when signature or byte_range then 'signed' when xfa or (field and actions) then 'dynamic form' end reason from o)
 select user_id, coalesce(arg_max(reason, event_id) filter (reason is not null), 'none') restriction from r group by user_id""",
     ),
@@ -148,13 +135,13 @@ select user_id, coalesce(arg_max(reason, event_id) filter (reason is not null),
         f"select source, status, count(*) n, bool_or(status = 'processed') over (partition by source) changed from (select source, {_STATUS_SQL} status from (select source, {_FLAGS} from documents)) group by source, status",
     ),
     "stamp_rules": (
-        lambda s, d: stamp_violations(table(s, d, "conversations").selectExpr(*_split(_STAMP)).selectExpr("*", "x0 + 60 x1", "y0 + 20 y1", "595D w", "842D h", )).selectExpr("conv_id", "turn", "array_join(violations, ',') violations"),
+        lambda s, d: stamp_violations(table(s, d, "conversations").selectExpr(*split_columns(_STAMP)).selectExpr("*", "x0 + 60 x1", "y0 + 20 y1", "595D w", "842D h", )).selectExpr("conv_id", "turn", "array_join(violations, ',') violations"),
         f"""with s as (select *, x0 + 60 x1, y0 + 20 y1 from (select {_STAMP} from conversations))
 select conv_id, turn, concat_ws(',', case when trim(text) = '' then 'empty' end, case when length(trim(text)) > 2000 then 'long' end, case when size < 6 or size > 144 then 'size' end, case when not (x0 >= 0 and y0 >= 0 and x1 <= 595 and y1 <= 842) then 'outside' end) violations from s""",
     ),
     "uncovered_chars": (
         lambda s, d: uncovered_characters(table(s, d, "documents"), "doc_id", s.range(32, 127).selectExpr("cast(id as int) code")),
-        "select distinct doc_id, concat('U+', lpad(upper(to_hex(unicode(ch))), 4, '0')) as \"character\" from (select doc_id, unnest(list_distinct(string_split(text, ''))) ch from documents) where ch not in ('', chr(10), chr(13)) and not unicode(ch) between 32 and 126",
+        "select distinct doc_id, concat('U+', lpad(upper(to_hex(unicode(ch))), 4, '0')) as \"character\" from (select doc_id, unnest(list_distinct(stringsplit_columns(text, ''))) ch from documents) where ch not in ('', chr(10), chr(13)) and not unicode(ch) between 32 and 126",
     ),
     "extract_stamps": (
         lambda s, d: extract_stamps(table(s, d, "events").selectExpr("event_id", "event_type", "cast(get_json_object(props, '$.k') as int) k").selectExpr("event_id", f"{_PAYLOAD.replace('{k}', 'k')} payload"), "event_id"),
@@ -163,7 +150,7 @@ select event_id, cast(payload->'$.rect[0]' as double) x0, cast(payload->'$.rect[
 from p where cast(payload->'$.version' as integer) = 1 and json_array_length(payload, '$.rect') = 4""",
     ),
     "copy_range": (
-        lambda s, d: copy_ranges(table(s, d, "conversations").selectExpr("conv_id key", "turn page", "if(conv_id % 9 = 4 and turn = 2, null, text) text"), table(s, d, "conversations").select("conv_id").distinct().selectExpr(*_split(_RANGE)).withColumnRenamed("conv_id", "key")),
+        lambda s, d: copy_ranges(table(s, d, "conversations").selectExpr("conv_id key", "turn page", "if(conv_id % 9 = 4 and turn = 2, null, text) text"), table(s, d, "conversations").select("conv_id").distinct().selectExpr(*split_columns(_RANGE)).withColumnRenamed("conv_id", "key")),
         rf"""with r as (select {_RANGE} from (select distinct conv_id from conversations)),
 i as (select r.conv_id, allowed, turn, case when r.conv_id % 9 = 4 and turn = 2 then null else text end t from r left join conversations c on r.conv_id = c.conv_id and turn between 1 and 3),
 g as (select conv_id, allowed, count(t) n, string_agg(nullif(case turn when 1 then substr(t, 6) when 3 then substr(t, 1, 12) else t end, ''), chr(10) || chr(10) order by turn) joined from i group by all)

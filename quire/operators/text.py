@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from quire.functions.strings import WORD, edit_distance, norm_text
 from quire.sources.tables import table
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no expression for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
 def explode_lines(documents: DataFrame, *keep: str) -> DataFrame:
     """One row per line, in reading order, with a number from 0."""
     return documents.selectExpr("doc_id", *keep, r"posexplode(split(text, '\n')) as (line_no, line)")
@@ -28,16 +19,6 @@ def page_text(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.expr(r"listagg(text, '\n') within group (order by turn)").alias("text"))
 
 
-def norm_text(column):
-    """NFC, runs of white space to one space, none at the ends; case, punctuation and width stay."""
-    return F.trim(F.regexp_replace(nfc(column), r"(?U)\s+", " "))
-
-
-def edit_distance(a: str, b: str, limit: int = 64) -> str:
-    """SQL: character edit distance, or -1 beyond the limit, which keeps the cost linear in the length."""
-    return f"if({a} = {b}, 0, levenshtein({a}, {b}, {limit}))"
-
-
 def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: str = "got", limits: dict[str, float] | None = None, limit: int = 64) -> DataFrame:
     """Edit distance over reference length by group, in lines within the distance limit; null where the group has no reference."""
     rows = pairs.withColumn("d", F.expr(edit_distance(reference, output, limit))).filter("d >= 0")
@@ -63,9 +44,6 @@ def grapheme_starts(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("doc_id", f"{fold} starts")
 
 
-WORD = r"[\\p{L}\\p{M}\\p{N}_]+"
-
-
 def word_spans(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Runs of letters, marks, digits and underscores with their offsets; unspaced scripts are one run (no dictionary)."""
     pieces = documents.selectExpr(key, f"regexp_extract_all(text, '({WORD})', 1) words", f"split(text, '{WORD}') gaps").filter("size(words) > 0")

@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import numbers, strings
 from quire.operators import compliance, layout, measures, navigation, search, selection, text
 from quire.sources import sinks, tables
 from quire.streaming import events
@@ -51,7 +52,7 @@ def test_page_labels(spark):
     pages = spark.createDataFrame([(1, p) for p in range(6)], "d long, page long")
     ranges = spark.createDataFrame([(1, 0, "r", "", 1), (1, 2, "D", "本編-", 7), (1, 4, "A", None, 27), (1, 9, "D", "", 1), (1, 3, "D", "", 0)], "d long, start_page long, style string, prefix string, start_number long")
     assert [r.label for r in navigation.label_pages(pages, ranges, "d").orderBy("page").collect()] == ["i", "ii", "本編-7", "本編-8", "AA", "BB"]
-    numbers = spark.range(1, 4000).selectExpr("id", f"{navigation.roman('id')} r", f"{navigation.number_text(chr(39) + 'A' + chr(39), 'id')} a").collect()
+    numbers = spark.range(1, 4000).selectExpr("id", f"{numbers.roman('id')} r", f"{numbers.number_text(chr(39) + 'A' + chr(39), 'id')} a").collect()
     value = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
     for row in numbers:
         v = [value[c] for c in row.r]
@@ -105,7 +106,7 @@ def test_json_and_manifest_classes(spark):
 def test_normalisation_and_graphemes(spark):
     family = "👨‍👩‍👧"
     df = spark.createDataFrame([(1, " é  x　y\n"), (2, family + "é"), (3, None)], "doc_id long, text string")
-    assert [r.t for r in df.select("doc_id", text.norm_text(F.col("text")).alias("t")).orderBy("doc_id").collect()] == [unicodedata.normalize("NFC", "é x y"), family + "é", None]
+    assert [r.t for r in df.select("doc_id", strings.norm_text(F.col("text")).alias("t")).orderBy("doc_id").collect()] == [unicodedata.normalize("NFC", "é x y"), family + "é", None]
     assert {r.doc_id: r.starts for r in text.grapheme_starts(df).collect()}[2] == [0, 5]
 
 
