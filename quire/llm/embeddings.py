@@ -148,3 +148,14 @@ def link(embeddings: DataFrame, cosine: float = 0.95, window: int = WINDOW) -> D
     found = valid.join(by_class, "embedding").select("vec_id", "n_links", "component_id")
     rest = rows.filter(f"not ({_VALID}) or vec_id is null").selectExpr("vec_id", "0L n_links", "vec_id component_id")
     return found.union(rest).selectExpr("vec_id", "n_links", "component_id", "vec_id = component_id kept")
+
+
+#: The contract in DuckDB, by comparing all pairs; for small tables.
+ORACLE = """
+with recursive good as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id a, vec_id b from embeddings union select reach.a, links.b from reach join links on reach.b = links.a),
+n as (select a, count(*) n from links group by a)
+select vec_id, coalesce(max(n.n), 0) n_links, min(reach.b) component_id, vec_id = min(reach.b) kept from embeddings join reach on vec_id = reach.a left join n on vec_id = n.a group by vec_id
+"""

@@ -247,3 +247,16 @@ def deduplicate(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The documents, in their own columns, without the near-copies of a document with a smaller doc_id."""
     gone = link(documents, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+
+
+#: The contract in DuckDB, by joining all shared shingles; for small tables.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s from w),
+x as (select doc_id, unnest(s) g from s),
+p as (select a.doc_id a, b.doc_id b, count(*) c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
+k as (select a, b from p join s sa on a = sa.doc_id join s sb on b = sb.doc_id where 100 * c >= 75 * (len(sa.s) + len(sb.s) - c)),
+links as (select a, b from k union all select b, a from k),
+reach as (select doc_id a, doc_id b from documents union select reach.a, links.b from reach join links on reach.b = links.a)
+select doc_id, cast(len(s) as bigint) n_shingles, m component_id, doc_id = m kept from s join (select a, min(b) m from reach group by a) on a = doc_id
+"""

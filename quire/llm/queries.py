@@ -58,4 +58,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_decontamination": decontaminate.ORACLE, "op8_license_scan": licenses.ORACLE}
+    return {
+        "op3_embedding_near_duplicates": embeddings.ORACLE,
+        "op4_decontamination": decontaminate.ORACLE,
+        "op5_minhash_near_duplicates": minhash.ORACLE,
+        "op6_substring_dedup": substrings.ORACLE,
+        "op8_license_scan": licenses.ORACLE,
+    }

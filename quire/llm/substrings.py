@@ -339,3 +339,17 @@ def remove(documents: DataFrame) -> DataFrame:
 
 def digest(removed: DataFrame) -> DataFrame:
     return removed.drop("removed")
+
+
+#: The contract in DuckDB, over every window of every text; for small tables.
+ORACLE = f"""
+with d as (select doc_id, hex(coalesce(text, '')) h, strlen(coalesce(text, '')) n from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) g from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) p from d where n >= {LENGTH})),
+m as (select g, min(doc_id) m from w group by g having min(doc_id) < max(doc_id)),
+r as (select doc_id, p from w join m using (g) where m < doc_id),
+i as (select *, sum(new) over (partition by doc_id order by p) k from (select *, case when p <= lag(p) over (partition by doc_id order by p) + {LENGTH} then 0 else 1 end new from r)),
+s as (select doc_id, min(p) a, max(p) + {LENGTH} b from i group by doc_id, k),
+t as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) z from s),
+u as (select t.doc_id, count(*) spans, sum(b - a) gone, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) pieces, max(b) last_ from t join d on d.doc_id = t.doc_id group by t.doc_id)
+select d.doc_id, n n_bytes, cast(coalesce(gone, 0) as bigint) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(pieces || substr(h, 2 * last_ + 1), h))) kept_sha256 from d left join u on u.doc_id = d.doc_id
+"""
