@@ -46,18 +46,26 @@ def _contract(batches):
         yield stars(np.concatenate(held))
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(stars.select("v", "v").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every node of edges (a, b): component_id is the least node that is reachable.
 
-    Nodes whose edges are all loops don't appear. Rounds alternate stars among greater and smaller neighbours until
+    Nodes whose edges are all loops don't appear. As many edges as one local contraction holds are finished by it. Beyond
+    that, rounds alternate stars among greater and smaller neighbours until
     nothing changes, in about the logarithm of the longest path; each round is cut through the checkpoint folder.
     """
-    df = cut(edges.selectExpr("cast(greatest(a, b) as bigint) u", "cast(least(a, b) as bigint) v").filter("u > v").mapInArrow(_contract, "u long, v long").distinct())
+    ends = "cast(greatest(a, b) as bigint) u", "cast(least(a, b) as bigint) v"
+    df = cut(edges.selectExpr(*ends).filter("u > v").mapInArrow(_contract, "u long, v long").distinct())
+    if df.count() <= _LOCAL:
+        return _labels(cut(df.coalesce(1).mapInArrow(_contract, "u long, v long")))
     seen = None
     while True:
         state = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return df.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(df.select("v", "v").distinct())
+            return _labels(df)
         seen = state
         both = df.union(df.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

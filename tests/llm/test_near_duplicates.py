@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from quire.llm import embeddings as V
+from quire.llm import graph
 from quire.llm import minhash as M
 from quire.llm.graph import components
 
@@ -27,7 +28,9 @@ def shingle_set(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("local", [1_000_000, 10])
+def test_components_of_paths_stars_and_loops(spark, local, monkeypatch):
+    monkeypatch.setattr(graph, "_LOCAL", local)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(5, 5), (3, 7), (900, 800), (800, 900)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     want = roots({x for e in edges for x in e}, edges)
