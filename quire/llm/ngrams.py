@@ -28,7 +28,7 @@ from quire.llm.common import columns, cut, hash_words, in_blocks, joined_bytes,
 KNOWN, HEAVY = 262_144, 4096
 #: A bigram with this share of a task's bigrams is a candidate for the heavy table.
 SHARE = 1 / 2000
-LOCAL = 24_000_000
+LOCAL = 16_000_000
 _MASK = np.uint64(2**48 - 1)
 _NULL = -(2**63)
 

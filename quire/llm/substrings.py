@@ -34,7 +34,7 @@ WINDOW = LENGTH - GRAM + 1
 #: More surroundings of one gram than this are dealt over several tasks.
 SPLIT = 4096
 #: Bytes of text whose anchors one task compares among themselves before it sends them on.
-LOCAL = 16_000_000
+LOCAL = 10_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -165,9 +165,16 @@ def _squeeze(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([squeeze((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
+def _slices(batches, rows: int = 1000):
+    """Pieces of the batches, so that what Python holds of them stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _surroundings(batches):
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in _slices(batches):
         out = {c: [] for c in ("key", "salt", "doc_id", "place", "left", "right")}
         for r in batch.to_pylist():
             text = expand(r["z"])
@@ -293,7 +300,7 @@ def _removed(spans, n: int) -> list[tuple[int, int]]:
 
 def _finish(batches):
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for r in batch.to_pylist():
             text = expand(r["z"])
