@@ -1,7 +1,8 @@
 """Operator 9, personal data: detection in the text and in an offset-preserving normalised form of it.
 
 Transducers rewrite a text in turn: single characters (homoglyphs, full-width and other decimal digits, invisible
-characters), spelled digits, at/dot disguises. Each output character keeps the source interval that it came from, so a
+characters), spelled digits, at/dot disguises, in which spelled, bracketed, bare and plain forms may be mixed. A number
+may end where a plain one begins or go on in it, so a text has up to three such readings. Each output character keeps the source interval that it came from, so a
 span found in the normalised text goes back to source characters. Such a span counts only if it holds something that was
 rewritten and doesn't lie within a base span of its kind; base spans always stay.
 
@@ -49,12 +50,27 @@ def _characters() -> tuple[dict[str, str], re.Pattern]:
     return table, re.compile("[" + "".join(map(re.escape, table)) + "]")
 
 
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(plus[ ,-]{{1,2}})?(?:{'|'.join(DIGITS)})(?:[ ,.-]{{1,2}}(?:{'|'.join(DIGITS)})){{6,}}(?![A-Za-z0-9])")
-_ONE_DIGIT = re.compile(rf"(?i)({'|'.join(DIGITS)})[ ,.-]{{0,2}}")
+_TOKEN = rf"(?:(?<![A-Za-z])(?:{'|'.join(DIGITS)})(?![A-Za-z])|[0-9])"
+_ONE_DIGIT = re.compile(rf"(?i){_TOKEN}")
+#: A number of at least nine digits, spelled or not in any mix; the shortest phone number has nine.
+_NUMBER = re.compile(rf"(?i)(?:(?<![A-Za-z0-9])(plus[ ,-]{{1,2}}))?{_TOKEN}(?:[ ,.()-]{{0,3}}{_TOKEN}){{8,}}+")
 _OPEN, _CLOSE = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
 _BRACKETED = re.compile(rf"(?i){_OPEN}(at|dot){_CLOSE}")
-#: "name at host dot tld": a bare at counts only with a dot that is spelled too.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )(?!(?:the|an?|this|that|my|our|your|his|her|its|their) )[A-Za-z0-9-]{1,63}((?: dot [A-Za-z0-9-]{1,63}){0,3} dot [A-Za-z]{2,24})(?![A-Za-z0-9-])")
+_DOT = r"(?:\.|[ ]{1,2}dot[ ]{1,2})"
+_PART = _TOKEN.replace("[0-9])", "(?<![0-9])[0-9]{1,3}(?![0-9]))")
+_ONE_PART = re.compile(rf"(?i){_PART}")
+_OCTET = rf"({_PART}(?:[ -]{{0,2}}{_PART}){{0,2}})"
+_OCTETS = re.compile(rf"(?i)(?<![0-9.]){_OCTET}" + rf"({_DOT}){_OCTET}" * 3)
+#: A bare at needs a host with a dot, plain or spelled, after it, and none of the words that prose would have there.
+_AT = re.compile(r"(?i)@|[ ]{1,2}at[ ]{1,2}(?!(?:the|an?|this|that|my|our|your|his|her|its|their) )")
+_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++")
+_LABEL = re.compile(rf"(?i)({_DOT})([A-Za-z0-9-]++)")
+_TOP = re.compile(r"[A-Za-z]{2,24}")
+_NAME = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]{1,2}dot[ ]{1,2}[A-Za-z0-9._%+-]{1,64})+$")
+_BARE_DOT = re.compile(r"(?i)[ ]{1,2}dot[ ]{1,2}")
+_AFTER = re.compile(rf"(?![a-z])(?:[ ,.()-]{{0,3}}|{_DOT})(?:{'|'.join(DIGITS)}|[0-9])")
+_BEFORE = re.compile(r"[0-9](?:[ ,.()-]{0,3}|[ ]{1,2}dot[ ]{1,2})$")
+_DIGIT_DOT = re.compile(r"[0-9][ ]{1,2}dot[ ]{1,2}[0-9]")
 
 
 def _emails(text: str):
@@ -111,41 +127,148 @@ class Tape:
         self.text, self.start, self.end, self.new = "".join(text), np.concatenate(start), np.concatenate(end), np.concatenate(new)
 
 
-def normalise(text: str) -> Tape | None:
-    """The text after all transducers, or None where they change nothing."""
+    def copy(self) -> Tape:
+        other = object.__new__(Tape)
+        other.text, other.start, other.end, other.new = self.text, self.start, self.end, self.new
+        return other
+
+
+def _digit(token: str) -> str:
+    return token if token.isdigit() else str(DIGITS.index(token.lower()))
+
+
+def _number_pieces(text: str, beside: bool) -> list[tuple[int, int, str]]:
+    """Spelled digits of long numbers as digits, without what parts two of them; with `beside` also without what parts them from plain ones."""
+    pieces = []
+    for m in _NUMBER.finditer(text):
+        tokens = [(d.start(), d.end()) for d in _ONE_DIGIT.finditer(text, m.end(1) if m[1] else m.start(), m.end())]
+        if not m[1] and all(b - a == 1 for a, b in tokens):
+            continue
+        if m[1]:
+            pieces.append((m.start(1), m.end(1), "+"))
+        last = None
+        for a, b in tokens:
+            if last and a > last[1] and (b - a > 1) + (last[1] - last[0] > 1) > (not beside):
+                pieces.append((last[1], a, ""))
+            if b - a > 1:
+                pieces.append((a, b, _digit(text[a:b])))
+            last = (a, b)
+    return pieces
+
+
+def _octet_pieces(text: str) -> list[tuple[int, int, str]]:
+    """Four numbers below 256, digits and dots of which are spelled or not in any mix."""
+    pieces = []
+    for m in _OCTETS.finditer(text):
+        octets = [[(d.start(), d.end()) for d in _ONE_PART.finditer(text, m.start(g), m.end(g))] for g in (1, 3, 5, 7)]
+        value = lambda ts: int("".join(_digit(text[a:b]) for a, b in ts))
+        # What stands beside the address may be a number too: the outer octets give up digits until they fit.
+        while value(octets[0]) > 255:
+            octets[0] = octets[0][1:]
+        while value(octets[3]) > 255:
+            octets[3] = octets[3][:-1]
+        dots = [m.span(g) for g in (2, 4, 6)]
+        plain = all(text[a].isdigit() for ts in octets for a, b in ts) and all(b - a == 1 for a, b in dots)
+        if plain or any(value(ts) > 255 for ts in octets):
+            continue
+        found = [(a, b, ".") for a, b in dots if b - a > 1]
+        for ts in octets:
+            found += [(a, b, _digit(text[a:b])) for a, b in ts if not text[a].isdigit()]
+            found += [(b, c, "") for (_, b), (c, _) in zip(ts, ts[1:], strict=False) if c > b]
+        pieces += sorted(found)
+    return pieces
+
+
+def _email_pieces(text: str) -> list[tuple[int, int, str]]:
+    """Bare at and dot of addresses, each of which may be bare or plain; the host ends at its last label of letters."""
+    pieces, last, lower = [], 0, _lower(text)
+    places = [m.start() for m in re.finditer("@", text)]
+    at = lower.find(" at ")
+    while at >= 0:
+        places.append(at - (at > 0 and text[at - 1] == " "))
+        at = lower.find(" at ", at + 3)
+    for at in sorted(places):
+        m = _AT.match(text, at) if at > last and text[at - 1] in _LOCAL else None
+        if not m:
+            continue
+        host = _HOST.match(text, m.end())
+        labels = list(_LABEL.finditer(text, m.end(), host.end())) if host else []
+        while labels and not _TOP.fullmatch(labels[-1][2]):
+            labels.pop()
+        if not labels:
+            continue
+        found = [(*d.span(1), ".") for d in labels if d[1] != "."]
+        if m[0] != "@":
+            found.append((*m.span(), "@"))
+        name = _NAME.search(text, max(last, m.start() - 400), m.start()) if "dot " in text[max(last, m.start() - 400) : m.start()].lower() else None
+        if name:
+            found += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, name.start(), m.start())]
+        pieces += sorted(found)
+        last = labels[-1].end()
+    return pieces
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _beside(lower: str) -> bool:
+    """Whether a spelled digit stands beside another digit; looked at before the slower patterns, as prose has single ones."""
+    for word in DIGITS:
+        at = lower.find(word)
+        while at >= 0:
+            if not (at and "a" <= lower[at - 1] <= "z") and (_AFTER.match(lower, at + len(word)) or _BEFORE.search(lower[max(0, at - 8) : at])):
+                return True
+            at = lower.find(word, at + len(word))
+    return False
+
+
+def normalise(text: str) -> list[Tape]:
+    """The readings of the text that differ from it: without long numbers, with spelled digits joined, and with plain ones joined to these."""
     tape = Tape(text)
     if not text.isascii():
         table, pattern = _characters()
         tape.rewrite([(m.start(), m.end(), table[m[0]]) for m in pattern.finditer(text)])
-    lower = tape.text.lower()
-    if any(d in lower for d in ("zero", "three", "seven", "eight", "nine", "four", "five", "one", "two", "six")):
-        tape.rewrite([(m.start(), m.end(), "+" * bool(m[1]) + "".join(str(DIGITS.index(d[1].lower())) for d in _ONE_DIGIT.finditer(m[0]))) for m in _SPELLED.finditer(tape.text)])
+    lower = _lower(tape.text)
     if any(c in lower for c in "([{<") and ("at" in lower or "dot" in lower):
         tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(tape.text)])
-    if " at " in lower and " dot " in lower:
-        pieces = []
-        for m in _BARE.finditer(tape.text):
-            pieces.append((m.start(1), m.end(1), "@"))
-            pieces += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in re.finditer("(?i) dot ", m[2])]
-        tape.rewrite(pieces)
-    return tape if tape.new.any() or len(tape.text) != len(text) else None
+        lower = _lower(tape.text)
+    readings, spelled = [tape], _beside(lower)
+    if spelled or "plus " in lower or "plus-" in lower or "plus," in lower:
+        for pieces in filter(None, (_number_pieces(tape.text, False), _number_pieces(tape.text, True))):
+            other = tape.copy()
+            other.rewrite(pieces)
+            if all(other.text != t.text for t in readings):
+                readings.append(other)
+    for t in readings:
+        if spelled or " dot " in lower and _DIGIT_DOT.search(lower):
+            t.rewrite(_octet_pieces(t.text))
+        if " at " in lower or " dot " in lower and "@" in lower:
+            t.rewrite(_email_pieces(t.text))
+    return [t for t in readings if t.new.any() or len(t.text) != len(text)]
 
 
 def spans_of(text: str) -> list[tuple[int, int, int, bool]]:
     """(number of the kind, start, end, base) of all spans in source code points, by kind and then start."""
-    found = [(*s, True) for s in detect(text)]
-    tape = normalise(text)
-    if tape:
+    base = detect(text)
+    found = {(k, a, -b, False) for k, a, b in base}
+    for tape in normalise(text):
         changed = np.r_[0, np.cumsum(tape.new)]
         gap = np.r_[0, np.cumsum(np.r_[tape.start[1:] != tape.end[:-1], False])] if len(tape.text) else np.zeros(1, int)
-        base = list(found)
         for k, a, b in detect(tape.text):
             if changed[b] > changed[a] or gap[b - 1] > gap[a]:  # something in it was rewritten or taken out
-                s, e = int(tape.start[a]), int(tape.end[b - 1])
-                if not any(k == x and c <= s and e <= f for x, c, f, _ in base):
-                    found.append((k, s, e, False))
-        found.sort()
-    return found
+                found.add((k, int(tape.start[a]), -int(tape.end[b - 1]), True))
+    # Base spans stay; of the others, those within a span of their kind are left out.
+    spans, kind, last = [], -1, 0
+    for k, a, b, new in sorted(found):
+        if k != kind:
+            kind, last = k, 0
+        if not new or -b > last:
+            spans.append((k, a, -b, not new))
+        last = max(last, -b)
+    return sorted(spans)
 
 
 def scan(documents: DataFrame) -> DataFrame:

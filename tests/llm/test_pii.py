@@ -71,3 +71,36 @@ def test_nulls_clashing_columns_and_masking(spark):
     masked = P.redact(df)
     assert masked.columns == df.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in masked.collect()} == {(1, None, None), (2, "", 0), (3, "mail <EMAIL> or <EMAIL>", 23)}
+
+
+def test_mixed_disguises_are_found():
+    for span, kind in [
+        ("john [at] example dot com", "email"),
+        ("john at example[dot]com", "email"),
+        ("john at example.com", "email"),
+        ("john@example dot com", "email"),
+        ("john dot doe (at) mail.example dot com", "email"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("192 dot one six eight[dot]0.one", "ip"),
+        ("192.168.zero.1", "ip"),
+        ("plus 1 four one 5 five five 5 one two three 4", "phone"),
+        ("+1 (four one five) 555 1234", "phone"),
+        ("4845 1681 one four four zero 7329", "card"),
+        ("four, 8, four, 5, one 681, one four four zero 7 three two nine", "card"),
+    ]:
+        text = f"so {span} or"
+        found = [(P.KINDS[k], text[a:b]) for k, a, b, base in P.spans_of(text) if not base]
+        assert (kind, span) in found, (text, found)
+        assert P.mask(text) == f"so <{kind.upper()}> or"
+
+
+def test_numbers_beside_a_disguise_do_not_hide_it():
+    for text, kind in [("３ was ４８４５ 1681 1440 7329, one of", "card"), ("four eight four five one six eight one one four four zero seven three two nine, 2026", "card"), ("one nine two dot one six eight dot zero dot one 2026", "ip")]:
+        assert kind in {P.KINDS[k] for k, *_ in P.spans_of(text)}, text
+
+
+def test_mixed_disguises_in_clean_text_and_linear_time():
+    for text in ["we met at noon. Then", "one dot two dot three", "2019 was one of three", "step 1. 2. 3. four", "one 2 three 4", "@ dot com", " at example.com"]:
+        assert P.spans_of(text) == [], text
+    for text in ["one " * 50_000, "1 one" * 50_000, "a at b dot " * 20_000, "one dot " * 50_000, "x at a" * 50_000, "1" * 200_000 + "a one"]:
+        P.spans_of(text)
