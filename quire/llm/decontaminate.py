@@ -1,13 +1,13 @@
-"""Operator 4, benchmark decontamination with spaced seeds, in DataFrame and SQL functions only.
+"""Operator 4, benchmark decontamination by short grams and their diagonals, in DataFrame and SQL functions only.
 
-A text's tokens are its lower-cased runs of letters and digits. A seed is a window of SPAN tokens of which a fixed mask
-keeps some; windows that differ only in ignored positions share the seed. Test seeds and document seeds are joined on
-their hashes, and each hit is verified on its diagonal: the two texts must agree in at least `least` of some `window`
-aligned tokens (an item shorter than the window must agree in the same share of all its tokens). Items of fewer than
-SPAN tokens are too short to be evidence and match nothing.
+A text's tokens are its lower-cased runs of letters and digits. A document holds an item if they agree, on some diagonal,
+in at least `least` of some `window` aligned tokens of the item; an item shorter than the window must agree in the same
+share of all its tokens. Wherever that holds, the equal tokens form so many grams (GRAM tokens in a row) on the diagonal
+as _needed says: the others part them into few runs. So grams of both sides are joined on their hashes, diagonals with
+enough of them are verified token by token, and nothing that the rule accepts is missed.
 
-Defined results: a null or empty text holds nothing; rows with one doc_id are one document; a row without doc_id is
-never reported and stays in filtering; an empty table on either side gives no findings.
+Defined results: a null text or one without tokens holds nothing; rows with one doc_id are one document; a row without
+doc_id is never reported and stays in filtering; an empty table on either side gives no findings.
 """
 
 from __future__ import annotations
@@ -17,37 +17,54 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import columns, cut
 
-#: Kept positions are 1; together the masks ignore each inner position at least once.
+#: Masks of the spaced seeds that the SQL below starts from; they miss some passages that the rule accepts.
 MASKS = ["11101001011", "11010110101", "10101110011"]
 SPAN = len(MASKS[0])
-#: Up to this many test seeds (40 bytes each) are broadcast; beyond, both sides are shuffled.
+GRAM = 3
+#: Up to this many test grams (40 bytes each) are broadcast; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
 
 TOKENS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), t -> t != '')"
 
 
+def _needed(size: int, window: int, least: int) -> tuple[int, int]:
+    """Length of the grams for an item of so many tokens, and how many any passage of it leaves at least."""
+    w = min(window, size)
+    equal = -(-w * least // window)
+    runs = w - equal + 1
+    # With r runs, e equal tokens hold at least e - r (gram - 1) grams.
+    for gram in range(min(GRAM, equal), 0, -1):
+        if equal - runs * (gram - 1) > 0:
+            return gram, equal - runs * (gram - 1)
+    return 1, equal
+
+
 def _hashed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.selectExpr(*keys, f"transform({TOKENS}, t -> xxhash64(t)) h").filter(f"size(h) >= {SPAN}")
+    return df.selectExpr(*keys, f"transform({TOKENS}, t -> xxhash64(t)) h").filter("size(h) > 0")
 
 
-def _seeds(hashed: DataFrame, *keys: str) -> DataFrame:
-    """keys, place (mask number times windows plus window) and seed, for every window and mask."""
-    kept = [f"xxhash64({m}, {', '.join(f'h[i + {p}]' for p, bit in enumerate(mask) if bit == '1')})" for m, mask in enumerate(MASKS)]
-    arrays = ", ".join(f"transform(sequence(0, size(h) - {SPAN}), i -> {k})" for k in kept)
-    return hashed.selectExpr(*keys, f"size(h) - {SPAN} + 1 windows", f"posexplode(concat({arrays})) as (place, seed)").selectExpr(*keys, "cast(place % windows as int) at", "seed")
+def _grams(hashed: DataFrame, gram: int, *keys: str) -> DataFrame:
+    """keys, at and seed of every gram."""
+    seed = f"xxhash64({gram}, {', '.join(f'h[i + {j}]' for j in range(gram))})"
+    return hashed.filter(f"size(h) >= {gram}").selectExpr(*keys, f"posexplode(transform(sequence(0, size(h) - {gram}), i -> {seed})) as (at, seed)")
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 10) -> DataFrame:
     """doc_id, item_id, at (the document token where the item's first token lies or would lie), same (equal tokens in the best window)."""
     docs = columns(documents, doc_id="long", text="string")
     items = cut(_hashed(columns(benchmark, item_id="long", text="string").filter("item_id is not null"), "item_id"))
-    tests = _seeds(items, "item_id").withColumnRenamed("at", "item_at")
-    if items.selectExpr(f"coalesce(sum(size(h)), 0) * {len(MASKS)}").first()[0] <= BROADCAST_SEEDS:
-        tests = F.broadcast(tests)
-        broadcast = F.broadcast
-    else:
-        broadcast = lambda df: df
-    hits = _seeds(_hashed(docs, "doc_id"), "doc_id").join(tests, "seed").selectExpr("doc_id", "item_id", "at - item_at diagonal").distinct()
+    by_size = {n: _needed(n, window, least) for n in range(1, window + 1)}
+    used, tokens = items.selectExpr(f"collect_set(least(size(h), {window})) used", "coalesce(sum(size(h)), 0) tokens").first()
+    lengths = sorted({by_size[n][0] for n in used}) or [GRAM]
+    broadcast = F.broadcast if tokens <= BROADCAST_SEEDS else lambda df: df
+    need = f"element_at(array({', '.join(str(by_size[n][1]) for n in by_size)}), least(size(h), {window})) need"
+    hits = None
+    for gram in lengths:
+        sizes = ", ".join(str(n) for n in by_size if by_size[n][0] == gram)
+        tests = _grams(items.filter(f"least(size(h), {window}) in ({sizes})").selectExpr("item_id", "h", need), gram, "item_id", "need").withColumnRenamed("at", "item_at")
+        found = _grams(_hashed(docs, "doc_id"), gram, "doc_id").join(broadcast(tests), "seed").selectExpr("doc_id", "item_id", "at - item_at diagonal", "need")
+        hits = found if hits is None else hits.union(found)
+    hits = hits.groupBy("doc_id", "item_id", "diagonal", "need").count().filter("count >= need").select("doc_id", "item_id", "diagonal")
     # Few documents have hits; only their tokens are looked at again.
     per_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits"))
     pairs = _hashed(docs.join(per_doc, "doc_id"), "doc_id", "hits").selectExpr("doc_id", "h", "explode(hits) hit").selectExpr("doc_id", "h", "hit.item_id", "hit.diagonal")

@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -53,6 +55,40 @@ def test_decontamination_tolerates_substitutions(spark):
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def holds(doc, item, window=13, least=10):
+    """The rule, by every diagonal: the most equal tokens of a window, or None."""
+    w, best = min(window, len(item)), -1
+    for d in range(1 - len(item), len(doc)):
+        same = [0 <= d + j < len(doc) and doc[d + j] == item[j] for j in range(len(item))]
+        best = max(best, *(sum(same[k : k + w]) for k in range(len(item) - w + 1)))
+    return best if best >= math.ceil(w * least / window) else None
+
+
+def test_decontamination_finds_each_pattern_of_three_substitutions(spark):
+    item = [f"w{i}" for i in range(13)]
+    rows = [(k, " ".join("x" if i in gone else t for i, t in enumerate(item))) for k, gone in enumerate(itertools.combinations(range(13), 3))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert len(rows) == 286 and {r.doc_id for r in D.find(docs, bench).collect()} == {k for k, _ in rows}
+
+
+@pytest.mark.parametrize("most", [D.BROADCAST_SEEDS, 0])
+def test_decontamination_matches_the_rule_by_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_SEEDS", most)
+    pick = random.Random(11)
+    items = {n * 10 + k: [f"t{pick.randrange(400)}" for _ in range(n)] for n in [*range(1, 15), 16, 20, 24, 40] for k in range(2)}
+    docs = {}
+    for i in range(200):
+        item = items[pick.choice(list(items))]
+        rate = pick.choice([0, 0.1, 0.15, 0.2, 0.3])
+        leak = [t if pick.random() >= rate else "x" for t in item][pick.choice([0, 0, 0, 2]) :]
+        around = [[f"t{pick.randrange(400)}" for _ in range(pick.choice([0, 3, 20]))] for _ in range(2)]
+        docs[i] = around[0] + leak + around[1]
+    want = {(i, k, n) for i, d in docs.items() for k, item in items.items() if (n := holds(d, item)) is not None}
+    rows = D.find(spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.same) for r in rows} == want
+    assert min(len(items[k]) for _, k, _ in want) == 1
+
+
 def test_masks_ignore_every_inner_token():
     assert all(len(m) == D.SPAN and m[0] == m[-1] == "1" for m in D.MASKS)
     assert all(any(m[i] == "0" for m in D.MASKS) for i in range(1, D.SPAN - 1))
