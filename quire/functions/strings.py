@@ -28,6 +28,12 @@ def edit_distance(a: str, b: str, limit: int = 64) -> str:
     return f"if({a} = {b}, 0, levenshtein({a}, {b}, {limit}))"
 
 
+def whole_edit_distance(a: str, b: str, first: int = 64) -> str:
+    """SQL: character edit distance; the limit rises eightfold until it holds, so the cost follows length times distance."""
+    rising = f"aggregate(array({', '.join(str(first * 8**k) for k in range(1, 4))}), levenshtein({a}, {b}, {first}), (d, k) -> if(d = -1, levenshtein({a}, {b}, k), d), d -> if(d = -1, levenshtein({a}, {b}), d))"
+    return f"if({a} = {b}, 0, {rising})"
+
+
 def split_columns(columns: str) -> list[str]:
     """The top-level, comma-parted items of a select list."""
     out, depth, item, quoted = [], 0, "", False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.strings import WORD, edit_distance, norm_text
+from quire.functions.strings import WORD, norm_text, whole_edit_distance
 from quire.sources.tables import table
 
 
@@ -20,8 +20,8 @@ def page_text(conversations: DataFrame) -> DataFrame:
 
 
 def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: str = "got", limits: dict[str, float] | None = None, limit: int = 64) -> DataFrame:
-    """Edit distance over reference length by group, in lines within the distance limit; null where the group has no reference."""
-    rows = pairs.withColumn("d", F.expr(edit_distance(reference, output, limit))).filter("d >= 0")
+    """Edit distance over reference length by group, over all lines (`limit` is only the first one tried); null where the group has no reference."""
+    rows = pairs.withColumn("d", F.expr(whole_edit_distance(reference, output, limit))).filter("d is not null")
     sums = rows.groupBy(group).agg(F.sum("d").alias("edits"), F.sum(F.length(reference)).alias("n_ref"))
     out = sums.withColumn("rate", F.expr("try_divide(edits, n_ref)"))
     if limits:
@@ -88,7 +88,7 @@ QUERIES = {
         r"select doc_id, cast(length(t) as integer) n_norm, md5(t) norm_md5 from (select doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) t from documents)",
     ),
     "edit_distance": (
-        lambda s, d: _pairs(s, d).selectExpr("doc_id", "line_no", f"{edit_distance('line', 'got', 100)} distance").filter("distance <> 0"),
+        lambda s, d: _pairs(s, d).selectExpr("doc_id", "line_no", f"{whole_edit_distance('line', 'got', 100)} distance").filter("distance <> 0"),
         f"with {_LINE} select doc_id, line_no, cast(case when levenshtein(line, {MUTATED}) > 100 then -1 else levenshtein(line, {MUTATED}) end as integer) distance from line where lang = 'en' and line <> {MUTATED}",
     ),
     "cer_by_group": (

@@ -110,6 +110,24 @@ def test_normalisation_and_graphemes(spark):
     assert {r.doc_id: r.starts for r in text.grapheme_starts(df).collect()}[2] == [0, 5]
 
 
+def test_error_rate_keeps_lines_with_many_edits(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lines = [("a", "b"), ("of the cat " * 60, "of teh cat " * 60), ("x" * 300, ""), ("ab" * 500, "c" * 40 + "ba" * 450), ("é" * 900, "e" * 900), ("same", "same")]
+    df = spark.createDataFrame([("en", a, b) for a, b in lines], "lang string, line string, got string")
+    want = [distance(a, b) for a, b in lines]
+    assert sorted(r.d for r in df.selectExpr(f"{strings.whole_edit_distance('line', 'got', 1)} d").collect()) == sorted(want) and want[1] > 100
+    for limit in (1, 64, 100):
+        r = text.error_rate(df, "lang", limit=limit).first()
+        assert (r.edits, r.n_ref) == (sum(want), sum(len(a) for a, _ in lines))
+
+
 def test_physical_lines_follow_the_current_extent(spark):
     rows = [(1, i, c, y, y + 10) for i, (c, y) in enumerate([("a", 100.0), ("2", 105.0), ("b", 100.0), ("c", 80.0), (" ", 60.0), ("d", 40.0)])] + [(1, 6, "\n", None, None), (1, 7, "e", 40.0, 50.0)]
     got = measures.physical_lines(spark.createDataFrame(rows, "p long, idx int, ch string, y0 double, y1 double"), ["p"], "p long, line_no int, text string, first int, last int")
