@@ -71,9 +71,9 @@ def test_decontamination_finds_each_pattern_of_three_substitutions(spark):
     assert len(rows) == 286 and {r.doc_id for r in D.find(docs, bench).collect()} == {k for k, _ in rows}
 
 
-@pytest.mark.parametrize("most", [D.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("most", [D.BROADCAST_TOKENS, 0])
 def test_decontamination_matches_the_rule_by_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_SEEDS", most)
+    monkeypatch.setattr(D, "BROADCAST_TOKENS", most)
     pick = random.Random(11)
     items = {n * 10 + k: [f"t{pick.randrange(400)}" for _ in range(n)] for n in [*range(1, 15), 16, 20, 24, 40] for k in range(2)}
     docs = {}
@@ -89,9 +89,28 @@ def test_decontamination_matches_the_rule_by_brute_force(spark, most, monkeypatc
     assert min(len(items[k]) for _, k, _ in want) == 1
 
 
-def test_masks_ignore_every_inner_token():
-    assert all(len(m) == D.SPAN and m[0] == m[-1] == "1" for m in D.MASKS)
-    assert all(any(m[i] == "0" for m in D.MASKS) for i in range(1, D.SPAN - 1))
+@pytest.mark.parametrize("size", range(1, 14))
+def test_some_mask_survives_each_pattern_of_substitutions(size):
+    wrong = size - math.ceil(size * 10 / 13)
+    chosen = D.masks(size, wrong)
+    for gone in itertools.combinations(range(size), wrong):
+        assert any(all(a + p not in gone for p in mask) for mask in chosen for a in range(size - mask[-1]))
+    if size == 13:
+        assert sorted(len(m) for m in chosen) == [5, 5, 5] and all(m[-1] >= len(m) for m in chosen)  # each ignores some inner token
+
+
+@pytest.mark.parametrize("most", [D.BROADCAST_TOKENS, 0])
+def test_decontamination_of_long_texts_ties_and_repeated_rows(spark, most, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_TOKENS", most)
+    item = [f"w{i}" for i in range(20)]
+    long = ["the"] * 30_000
+    long[20_000:20_020] = item
+    rows = [(1, " ".join(long)), (2, " ".join([*item[:13], "x", *item[:13]])), (3, " ".join(item)), (3, " ".join(item)), (4, "the " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "seed", 7) for i, t in rows], "doc_id long, text string, h string, item_at int")
+    bench = spark.createDataFrame([(1, " ".join(item), "w"), (2, "the " * 13, "w"), (1, " ".join(item), "w")], "item_id long, text string, span string")
+    got = sorted((r.doc_id, r.item_id, r["at"], r.same) for r in D.find(docs, bench).collect())
+    # Of the equal places of "the" the first counts.
+    assert got == [(1, 1, 20_000, 13), (1, 2, 0, 13), (2, 1, 0, 13), (3, 1, 0, 13), (4, 2, 0, 13)]
 
 
 MIT = """MIT License
