@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.arrays import running_sums
 from quire.operators.text import _LINE, explode_lines
 from quire.sources.tables import table
 
-#: The search terms of the registered queries, by language; a term list is small and is broadcast.
+#: The search terms of the registered queries, by language.
 TERMS = {"en": ["THE", "tion of", "handed", "no-such-text"], "fr": ["les", "ellement"], "de": ["Der", "schlich"], "es": ["que", "ción de"]}
-#: Lines that make up a page, and the width of a line on the page, for ids and cropping.
-LINES_PER_PAGE, LINE_CHARS = 40, 83
+#: Lines that make up a page, the columns at which a line is wrapped on it, and those that the crop box shows.
+LINES_PER_PAGE, WRAP, CROP = 40, 83, (4, 79)
 
 
 def term_table(spark: SparkSession, terms: dict[str, list[str]] = TERMS) -> DataFrame:
@@ -21,26 +22,36 @@ def term_table(spark: SparkSession, terms: dict[str, list[str]] = TERMS) -> Data
     return spark.createDataFrame(rows, "lang string, term string")
 
 
-#: SQL: 0-based offsets of the literal, case-insensitive, non-overlapping matches of term in line (in the lowered line).
-OFFSETS = r"""aggregate(slice(split(lower(line), concat('\\Q', term, '\\E'), -1), 1, size(split(lower(line), concat('\\Q', term, '\\E'), -1)) - 1),
-  struct(0 at, cast(array() as array<int>) found), (a, p) -> struct(a.at + length(p) + length(term) at, array_append(a.found, a.at + length(p)) found), a -> a.found)"""
+#: SQL: lengths of what lies before each literal, non-overlapping match of term in low: running sums of them are the offsets.
+_BEFORE = r"""transform(slice(split(low, concat('\\Q', replace(term, '\\E', '\\E\\\\E\\Q'), '\\E'), -1), 1, cast(n as int)), (p, i) -> length(p) + if(i > 0, length(term), 0))"""
+#: SQL: how many such matches there are.
+_MATCHES = "(length(low) - length(replace(low, term, ''))) div length(term)"
 
 
 def occurrences(lines: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, line_no, term and at (offset) of every match; matches never cross lines. The term table must be small."""
-    hits = lines.join(F.broadcast(terms), "lang").filter("contains(lower(line), term)")
-    return hits.selectExpr("doc_id", "line_no", "term", *keep, f"explode({OFFSETS}) at")
+    """doc_id, line_no, term and at (offset in the lowered line) of every literal, case-insensitive match; matches never cross lines.
+
+    A small term table is broadcast by Spark's own threshold; each line is lowered once, whatever the number of terms.
+    """
+    hits = lines.withColumn("low", F.lower("line")).join(terms, "lang").filter("contains(low, term)")
+    found = hits.selectExpr("doc_id", "line_no", "term", *keep, "low", f"{_MATCHES} n").select("doc_id", "line_no", "term", *keep, running_sums(F.expr(_BEFORE)).alias("found"))
+    return found.selectExpr("doc_id", "line_no", "term", *keep, "explode(found) at")
 
 
 #: SQL: 22 characters on each side with simplified white space; an ellipsis where text was left out.
 EXCERPT = r"""concat(if(at > 22, '…', ''), trim(regexp_replace(substring(line, greatest(at - 22, 0) + 1, length(term) + 44), '\\s+', ' ')), if(greatest(at - 22, 0) + length(term) + 44 < length(line), '…', ''))"""
 
 
-def match_ids(hits: DataFrame, lines_per_page: int = LINES_PER_PAGE, width: int = LINE_CHARS) -> DataFrame:
-    """Adds page and id = page << 32 | ordinal; ordinals count a page's matches before cropped ones are dropped, so gaps occur."""
+def match_ids(hits: DataFrame, lines_per_page: int = LINES_PER_PAGE, wrap: int = WRAP, crop: tuple[int, int] = CROP) -> DataFrame:
+    """Adds page and id = page << 32 | ordinal. hits need their line.
+
+    Ordinals count the matches of a page from 1, those outside the crop box included, so gaps occur. A line is wrapped at
+    `wrap` columns; a match goes only if none of its inked characters lies in the columns that the crop box shows.
+    """
     paged = hits.withColumn("page", F.expr(f"cast(line_no div {lines_per_page} as bigint)"))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id", "term", "page").orderBy("line_no", "at")) - 1
-    return paged.withColumn("id", F.shiftleft("page", 32).bitwiseOR(ordinal.cast("long"))).filter(F.col("at") + F.length("term") <= width)
+    ordinal = F.row_number().over(Window.partitionBy("doc_id", "term", "page").orderBy("line_no", "at"))
+    visible = rf"exists(sequence(at, at + length(term) - 1), k -> k % {wrap} >= {crop[0]} and k % {wrap} < {crop[1]} and substring(line, k + 1, 1) rlike '\\S')"
+    return paged.withColumn("id", F.shiftleft("page", 32).bitwiseOR(ordinal.cast("long"))).filter(visible)
 
 
 def navigation(matches: DataFrame) -> DataFrame:
@@ -59,11 +70,10 @@ def summary(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
     Matches are counted within lines; a failed document is counted and the others go on.
     """
-    per_doc = documents.join(F.broadcast(terms), "lang").withColumn("line", F.coalesce("text", F.lit("")))
-    n = r"if(contains(lower(line), term), size(split(lower(line), concat('\\Q', term, '\\E'), -1)) - 1, 0)"
-    counted = per_doc.selectExpr("lang", "term", "text", f"{n} n")
+    lowered = documents.selectExpr("lang", "text is null failed", r"not coalesce(text, 'x') rlike '\\S' textless", "lower(coalesce(text, '')) low")
+    counted = lowered.join(terms, "lang").selectExpr("lang", "term", "failed", "textless", f"{_MATCHES} n")
     return counted.groupBy("lang", "term").agg(
-        F.count("*").alias("n_docs"), F.count_if(~F.coalesce("text", F.lit("x")).rlike(r"\S")).alias("n_textless"), F.count_if(F.col("text").isNull()).alias("n_failed"),
+        F.count("*").alias("n_docs"), F.count_if("textless").alias("n_textless"), F.count_if("failed").alias("n_failed"),
         F.count_if(F.col("n") > 0).alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"),
     )
 
@@ -71,7 +81,7 @@ def summary(documents: DataFrame, terms: DataFrame) -> DataFrame:
 def recall(documents: DataFrame, terms: DataFrame, split: DataFrame, allowed_misses: int = 1) -> DataFrame:
     """Per language, the terms found in at least one document of the evaluation split; PASS with at most the allowed misses."""
     docs = documents.join(split.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = docs.join(F.broadcast(terms), "lang").filter("contains(lower(text), term)").select("lang", "term").distinct().withColumn("hit", F.lit(1))
+    found = docs.selectExpr("lang", "lower(text) low").join(terms, "lang").filter("contains(low, term)").select("lang", "term").distinct().withColumn("hit", F.lit(1))
     sums = terms.join(found, ["lang", "term"], "left").groupBy("lang").agg(F.count("*").alias("n_terms"), F.count("hit").alias("n_found"))
     return sums.withColumn("status", F.when(F.col("n_found") >= F.col("n_terms") - allowed_misses, "PASS").otherwise("FAIL"))
 
@@ -105,8 +115,9 @@ def _hit_sql(line: str = "line", name: str = "hit") -> str:
 
 
 _HIT = f"{_LINE}, {_T}, {_hit_sql()}"
-_ID = f"""{_HIT}, idd as (select *, (line_no // {LINES_PER_PAGE}) page, row_number() over (partition by doc_id, term, line_no // {LINES_PER_PAGE} order by line_no, at_) - 1 o from hit),
-ids as (select doc_id, term, line_no, at_, cast(page as bigint) page, cast(page as bigint) * 4294967296 + o as id from idd where at_ + length(term) <= {LINE_CHARS})"""
+_ID = f"""{_HIT}, idd as (select *, (line_no // {LINES_PER_PAGE}) page, row_number() over (partition by doc_id, term, line_no // {LINES_PER_PAGE} order by line_no, at_) o from hit),
+ids as (select doc_id, term, line_no, at_, cast(page as bigint) page, cast(page as bigint) * 4294967296 + o as id from idd
+  where len(list_filter(range(at_, at_ + length(term)), lambda k: k % {WRAP} between {CROP[0]} and {CROP[1] - 1} and not regexp_matches(substr(line, k + 1, 1), '\\s'))) > 0)"""
 
 QUERIES = {
     "search_occurrences": (lambda s, d: _hits(s, d).drop("line"), f"with {_HIT} select doc_id, line_no, term, at_ as at from hit"),
