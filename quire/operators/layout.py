@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.strings import WORD
+from quire.functions.strings import norm_text, whole_edit_distance
+from quire.operators.text import grapheme_starts, word_bounds
 from quire.sources.tables import table
 
 LEFT, TOP, LEADING, PITCH, SIZE, WRAP = 48, 769.89, 18, 6.6, 11, 83
@@ -34,13 +35,15 @@ def clean_page_chars(glyphs: DataFrame, key: list[str], crop: tuple[float, float
     return inside.withColumn("_last", last).filter("idx <= _last").drop("_last")
 
 
-def gap_space_boxes(glyphs: DataFrame, key: list[str]) -> DataFrame:
-    """A space without a box between two boxes of a line gets the gap between them, over the line's height, if it is positive."""
+def gap_space_boxes(glyphs: DataFrame, key: list[str], crop: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """White space without a box between two boxes of a line gets the gap between them, if it is positive, over the line's height and within the crop box."""
     line = Window.partitionBy(*key, "row")
     order = line.orderBy("idx")
-    seen = glyphs.withColumns({"_right": F.lag("x1").over(order), "_left": F.lead("x0").over(order), "_y0": F.min("y0").over(line), "_y1": F.max("y1").over(line)})
-    fits = "x0 is null and ch = ' ' and _right < _left"
-    return seen.selectExpr(*key, "row", "col", "idx", "ch", f"if({fits}, _right, x0) x0", f"if({fits}, _y0, y0) y0", f"if({fits}, _left, x1) x1", f"if({fits}, _y1, y1) y1")
+    seen = glyphs.withColumns({"_x0": F.lag("x1").over(order), "_x1": F.lead("x0").over(order), "_y0": F.min("y0").over(line), "_y1": F.max("y1").over(line)})
+    a, b, c, d = (f"{x}D" for x in crop or (float("-1e9"), float("-1e9"), 1e9, 1e9))
+    gap = {"x0": f"greatest(_x0, {a})", "y0": f"greatest(_y0, {b})", "x1": f"least(_x1, {c})", "y1": f"least(_y1, {d})"}
+    fits = rf"x0 is null and ch rlike '(?U)^\\s$' and _x0 < _x1 and {gap['x0']} < {gap['x1']} and {gap['y0']} < {gap['y1']}"
+    return seen.selectExpr(*key, "row", "col", "idx", "ch", *(f"if({fits}, {v}, {e}) {e}" for e, v in gap.items()))
 
 
 def line_boxes(glyphs: DataFrame, key: list[str]) -> DataFrame:
@@ -65,17 +68,42 @@ def delta_mm(a: str, b: str) -> str:
     return "greatest(" + ", ".join(f"abs({a}_{e} - {b}_{e})" for e in ("x0", "y0", "x1", "y1")) + ") * 25.4 / 72"
 
 
+def line_texts(glyphs: DataFrame, key: list[str]) -> DataFrame:
+    """line_boxes with the text of each line."""
+    texts = glyphs.groupBy(*key, "row").agg(F.expr("listagg(ch, '') within group (order by idx)").alias("text"))
+    return line_boxes(glyphs, key).join(texts, [*key, "row"])
+
+
+def line_measurements(reference: DataFrame, output: DataFrame, key: list[str]) -> DataFrame:
+    """Lines zipped by rank: line (from 1), in_reference, in_output, greatest edge difference in mm and edit distance of the normalised texts."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("row")).alias("line")
+    side = lambda df, p: df.select(*key, rank, F.lit(True).alias(f"in_{p}"), norm_text(F.col("text")).alias(f"{p}_text"), *(F.col(e).alias(f"{p}_{e}") for e in ("x0", "y0", "x1", "y1")))
+    both = side(reference, "r").join(side(output, "o"), [*key, "line"], "full_outer")
+    return both.selectExpr(*key, "line", "in_r is not null in_reference", "in_o is not null in_output", f"round({delta_mm('r', 'o')}, 6) mm", f"{whole_edit_distance('r_text', 'o_text')} edits")
+
+
 def line_alignment(reference: DataFrame, output: DataFrame, key: list[str], most_mm: float = 2.0) -> DataFrame:
-    """Lines zipped by number: line counts, greatest box difference in mm; PASS iff the counts agree and it is within the limit."""
-    r = reference.selectExpr(*key, "row", *(f"{e} r_{e}" for e in ("x0", "y0", "x1", "y1")))
-    o = output.selectExpr(*key, "row", *(f"{e} o_{e}" for e in ("x0", "y0", "x1", "y1")))
-    sums = r.join(o, [*key, "row"], "full_outer").groupBy(*key).agg(F.count("r_x0").alias("n_reference"), F.count("o_x0").alias("n_output"), F.expr(f"round(max({delta_mm('r', 'o')}), 6)").alias("max_mm"))
+    """Of the zipped lines: line counts, greatest difference in mm, sum of edits; PASS iff the counts agree and all lie within the limit."""
+    sums = line_measurements(reference, output, key).groupBy(*key).agg(
+        F.count_if("in_reference").alias("n_reference"), F.count_if("in_output").alias("n_output"), F.expr("max(if(in_reference and in_output, mm, null))").alias("max_mm"), F.expr("coalesce(sum(if(in_reference and in_output, edits, null)), 0)").alias("edits")
+    )
     return sums.withColumn("status", F.when((F.col("n_reference") == F.col("n_output")) & (F.col("max_mm") <= most_mm), "PASS").otherwise("FAIL"))
 
 
-def hit_test(points: DataFrame, annotations: DataFrame, key: list[str]) -> DataFrame:
-    """points: key, point_id, x, y. annotations: key, ord, box, hidden. The last visible annotation that holds each point, null if none."""
-    found = points.join(annotations.filter("not hidden"), key).filter("x between x0 and x1 and y between y0 and y1").groupBy("point_id").agg(F.max("ord").alias("hit"))
+#: SQL: whether (x, y) lies in one of the region's quads (four corners each, in order), by the parity of crossed edges.
+_IN_REGION = """exists(region, q -> aggregate(sequence(0, 3), false, (s, i) ->
+  s != (((q[i].y > y) != (q[(i + 1) % 4].y > y)) and x < coalesce(try_divide((q[(i + 1) % 4].x - q[i].x) * (y - q[i].y), q[(i + 1) % 4].y - q[i].y), 0D) + q[i].x)))"""
+
+
+def hit_test(points: DataFrame, annotations: DataFrame, key: list[str], crop: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """points: key, point_id, x, y. annotations: key, ord, box, hidden, region. The last visible annotation that holds each point, null if none.
+
+    region holds quads, arrays of four corners (x, y); where there are any they stand in for the box. A point outside the
+    crop box hits nothing.
+    """
+    inside = "true" if crop is None else f"x between {crop[0]}D and {crop[2]}D and y between {crop[1]}D and {crop[3]}D"
+    holds = f"if(size(region) > 0, {_IN_REGION}, x between x0 and x1 and y between y0 and y1)"
+    found = points.filter(inside).join(annotations.filter("not hidden"), key).filter(holds).groupBy("point_id").agg(F.max("ord").alias("hit"))
     return points.select(*key, "point_id").join(found, "point_id", "left")
 
 
@@ -87,19 +115,22 @@ def nearest_line(points: DataFrame, lines: DataFrame, key: list[str]) -> DataFra
     return points.join(best, "point_id", "left").selectExpr(*key, "point_id", "x", "y", "d.row row", "d.dy dy", "d.dx dx")
 
 
-def caret(points: DataFrame, glyphs: DataFrame, key: list[str]) -> DataFrame:
-    """Of the nearest line (see nearest_line): the first character whose middle lies right of x, else the place after the last."""
-    both = points.select(*key, "point_id", "x", "row").join(glyphs.filter("x0 is not null"), [*key, "row"])
-    return both.groupBy(*key, "point_id").agg(F.coalesce(F.min(F.when((F.col("x0") + F.col("x1")) / 2 > F.col("x"), F.col("idx"))), F.max("idx") + 1).alias("at"))
+def caret(points: DataFrame, glyphs: DataFrame, graphemes: DataFrame, key: list[str]) -> DataFrame:
+    """Of the nearest line (see nearest_line): the first boxed character whose middle lies right of x, else the line's end; then the start of its grapheme.
+
+    graphemes: key and starts, as grapheme_starts gives them.
+    """
+    both = points.select(*key, "point_id", "x", "row").join(glyphs, [*key, "row"])
+    at = both.groupBy(*key, "point_id").agg(F.coalesce(F.min(F.when((F.col("x0") + F.col("x1")) / 2 > F.col("x"), F.col("idx"))), F.max("idx") + 1).alias("at"), F.max("idx").alias("_last"))
+    # The end of a line is a boundary of its own.
+    return at.join(graphemes, key, "left").selectExpr(*key, "point_id", "if(at > _last, at, coalesce(array_max(filter(starts, s -> s <= at)), at)) at")
 
 
 def word_at(points: DataFrame, glyphs: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """The word around the glyph of the nearest line that is nearest to each point: start and end, null between words."""
     both = points.select(*key, "point_id", "x", "row").join(glyphs.filter("x0 is not null"), [*key, "row"])
     near = both.groupBy(*key, "point_id").agg(F.min(F.expr("struct(round(greatest(x0 - x, x - x1, 0D), 9) d, idx)")).alias("g"))
-    fold = f"aggregate(arrays_zip(words, gap), struct(0 at, cast(array() as array<struct<b: int, e: int>>) s), (a, z) -> struct(a.at + length(z.gap) + length(z.words) at, array_append(a.s, struct(a.at + length(z.gap) b, a.at + length(z.gap) + length(z.words) e)) s), a -> a.s)"
-    spans = pages.selectExpr(*key, f"regexp_extract_all(text, '({WORD})', 1) words", f"split(text, '{WORD}') gaps").selectExpr(*key, "words", "slice(gaps, 1, size(words)) gap").selectExpr(*key, f"{fold} spans")
-    return near.join(spans, key, "left").selectExpr(*key, "point_id", "get(filter(spans, s -> g.idx >= s.b and g.idx < s.e), 0) w").selectExpr(*key, "point_id", "w.b start", "w.e end")
+    return near.join(word_bounds(pages, *key), key, "left").selectExpr(*key, "point_id", "get(filter(spans, s -> g.idx >= s.b and g.idx < s.e), 0) w").selectExpr(*key, "point_id", "w.b start", "w.e end")
 
 
 def merge_text_layer(existing: DataFrame, recognised: DataFrame, key: list[str], grow: float = 0.48) -> DataFrame:
@@ -153,12 +184,28 @@ ln as (select conv_id, turn, row, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1
 pt as ({_POINT}),
 near as (select *, row_number() over (partition by point_id order by dy, dx, row) rn from (select pt.conv_id, pt.turn, point_id, x, y, row, round(greatest(y0 - y, y - y1, 0), 9) dy, round(greatest(x0 - x, x - x1, 0), 9) dx from pt join ln using (conv_id, turn)))"""
 _CROP = (50.0, 700.0, 400.0, 842.0)
+_CLEAN = f"""clean as (select * from (select conv_id, turn, row, col, idx, ch, case when x0 is not null then greatest(x0, {_CROP[0]}) end x0, case when x0 is not null then greatest(y0, {_CROP[1]}) end y0, case when x0 is not null then least(x1, {_CROP[2]}) end x1, case when x0 is not null then least(y1, {_CROP[3]}) end y1 from glyph)
+  where x0 is null or (x0 < x1 and y0 < y1))"""
 _GEO = "doc_id, 10D crop_x0, 20D crop_y0, 605D + doc_id % 100 crop_x1, 862D crop_y1, cast((doc_id % 4) * 90 as int) rotation, 1 + (doc_id % 3) * 0.5D user_unit, 100D + doc_id % 7 x, 200D y"
 _ROUND = ["round(x0, 4) x0", "round(y0, 4) y0", "round(x1, 4) x1", "round(y1, 4) y1"]
-_SHIFT = "conv_id, turn, row, x0 + if(conv_id % 6 = 1, 9, 1) x0, y0, x1 + 1 x1, y1"
+_NORMAL = r"trim(regexp_replace(nfc_normalize({}), '\s+', ' ', 'g'))"
+_PAGE = (20.0, 660.0, 540.0, 790.0)
 _ANN = "select conv_id, ord, hidden, x0, y0, x0 + 150 x1, y0 + 60 y1 from (select conv_id, turn ord, (conv_id + turn) % 6 = 0 hidden, cast((conv_id * 13 + turn * 90) % 500 as double) x0, cast(650 + (turn * 23) % 100 as double) y0 from conversations)"
 
 
+def _texts(s, d):
+    """Lines with their texts, in ASCII: DuckDB's edit distance counts bytes."""
+    return line_texts(_glyphs(s, d), _KEY).withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
+
+
+def _annotations(s, d):
+    """Boxes, every third of which is a slanting quad instead."""
+    boxes = table(s, d, "conversations").selectExpr("conv_id", "turn ord", "(conv_id + turn) % 6 = 0 hidden", "cast((conv_id * 13 + turn * 90) % 500 as double) x0", "cast(650 + (turn * 23) % 100 as double) y0")
+    corner = lambda x, y: f"struct({x} x, {y} y)"
+    quad = f"array({corner('x0', 'y0')}, {corner('x0 + 100', 'y0')}, {corner('x0 + 130', 'y0 + 60')}, {corner('x0 + 30', 'y0 + 60')})"
+    return boxes.selectExpr("*", "x0 + 150 x1", "y0 + 60 y1", f"if(ord % 3 = 1, array({quad}), array()) region")
+
+
 def _words(s, d):
     return _glyphs(s, d).filter("x0 is not null").groupBy("conv_id", "turn", "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumn("id", F.col("row"))
 
@@ -171,13 +218,13 @@ QUERIES = {
     "layout_glyphs": (lambda s, d: _glyphs(s, d).selectExpr(*_KEY, "row", "col", "idx", "ch", *_ROUND), f"with {_GLYPH} select conv_id, turn, row, col, idx, ch, {', '.join(_ROUND)} from glyph"),
     "clean_page_chars": (
         lambda s, d: clean_page_chars(_glyphs(s, d), _KEY, _CROP).selectExpr(*_KEY, "row", "col", "idx", "ch", *_ROUND),
-        rf"""with {_GLYPH}, c as (select conv_id, turn, row, col, idx, ch, case when x0 is not null then greatest(x0, {_CROP[0]}) end x0, case when x0 is not null then greatest(y0, {_CROP[1]}) end y0, case when x0 is not null then least(x1, {_CROP[2]}) end x1, case when x0 is not null then least(y1, {_CROP[3]}) end y1 from glyph)
-select conv_id, turn, row, col, idx, ch, {', '.join(_ROUND)} from c where x0 is null or (x0 < x1 and y0 < y1)""",
+        f"with {_GLYPH}, {_CLEAN} select conv_id, turn, row, col, idx, ch, {', '.join(_ROUND)} from clean",
     ),
     "gap_space_boxes": (
-        lambda s, d: gap_space_boxes(_glyphs(s, d), _KEY).filter("ch = ' '").selectExpr(*_KEY, "row", "idx", *_ROUND),
-        f"""with {_GLYPH}, w as (select *, lag(x1) over o l_, lead(x0) over o r_, min(y0) over p a_, max(y1) over p b_ from glyph window o as (partition by conv_id, turn, row order by idx), p as (partition by conv_id, turn, row))
-select conv_id, turn, row, idx, case when l_ < r_ then round(l_, 4) end x0, case when l_ < r_ then round(a_, 4) end y0, case when l_ < r_ then round(r_, 4) end x1, case when l_ < r_ then round(b_, 4) end y1 from w where ch = ' '""",
+        lambda s, d: gap_space_boxes(clean_page_chars(_glyphs(s, d), _KEY, _CROP), _KEY, _CROP).filter(r"ch rlike '\\s'").selectExpr(*_KEY, "row", "idx", *_ROUND),
+        rf"""with {_GLYPH}, {_CLEAN}, w as (select *, lag(x1) over o l_, lead(x0) over o r_, min(y0) over p a_, max(y1) over p b_ from clean window o as (partition by conv_id, turn, row order by idx), p as (partition by conv_id, turn, row)),
+f as (select *, x0 is null and l_ < r_ and greatest(l_, {_CROP[0]}) < least(r_, {_CROP[2]}) and greatest(a_, {_CROP[1]}) < least(b_, {_CROP[3]}) fits from w)
+select conv_id, turn, row, idx, case when fits then round(greatest(l_, {_CROP[0]}), 4) end x0, case when fits then round(greatest(a_, {_CROP[1]}), 4) end y0, case when fits then round(least(r_, {_CROP[2]}), 4) end x1, case when fits then round(least(b_, {_CROP[3]}), 4) end y1 from f where regexp_matches(ch, '\s')""",
     ),
     "line_boxes": (lambda s, d: line_boxes(_glyphs(s, d), _KEY).selectExpr(*_KEY, "row", *_ROUND, "first", "last"), f'with {_GLYPH} select conv_id, turn, row, {", ".join(_ROUND)}, "first", "last" from ln'),
     "page_geometry": (
@@ -190,21 +237,26 @@ select doc_id, case when r in (1, 3) then h else w end width, case when r in (1,
         f"with {_GLYPH} select conv_id, turn, row, round(greatest(row, 1) * 25.4 / 72, 6) mm from ln",
     ),
     "line_alignment": (
-        lambda s, d: line_alignment(line_boxes(_glyphs(s, d), _KEY), line_boxes(_glyphs(s, d), _KEY).filter("not (conv_id % 5 = 2 and row = 1)").selectExpr("conv_id", "turn", "row", "x0 + if(conv_id % 6 = 1, 9, 1) x0", "y0", "x1 + 1 x1", "y1"), _KEY),
-        f"""with {_GLYPH} select conv_id, turn, count(*) n_reference, count(*) filter (not (conv_id % 5 = 2 and row = 1)) n_output, round(max(case when not (conv_id % 5 = 2 and row = 1) then case when conv_id % 6 = 1 then 9 else 1 end end) * 25.4 / 72, 6) max_mm,
-case when count(*) filter (conv_id % 5 = 2 and row = 1) = 0 and max(case when conv_id % 6 = 1 then 9 else 1 end) * 25.4 / 72 <= 2 then 'PASS' else 'FAIL' end status from ln group by conv_id, turn""",
+        lambda s, d: line_alignment(_texts(s, d), _texts(s, d).filter("not (conv_id % 5 = 2 and row = 1)").selectExpr("conv_id", "turn", "row", "x0 + if(conv_id % 6 = 1, 9, 1) x0", "y0", "x1 + 1 x1", "y1", "if(conv_id % 4 = 3, concat(text, '?'), text) text"), _KEY),
+        rf"""with {_GLYPH}, tx as (select conv_id, turn, row, string_agg(ch, '' order by idx) t from glyph group by all), lt as (select ln.*, regexp_replace(t, '[^ -~]', '?', 'g') t from ln join tx using (conv_id, turn, row)),
+r as (select *, row_number() over (partition by conv_id, turn order by row) k from lt),
+o as (select conv_id, turn, x0 + case when conv_id % 6 = 1 then 9 else 1 end x0, y0, x1 + 1 x1, y1, case when conv_id % 4 = 3 then t || '?' else t end t, row_number() over (partition by conv_id, turn order by row) k from lt where not (conv_id % 5 = 2 and row = 1)),
+z as (select conv_id, turn, r.k rk, o.k ok, round(greatest(abs(r.x0 - o.x0), abs(r.y0 - o.y0), abs(r.x1 - o.x1), abs(r.y1 - o.y1)) * 25.4 / 72, 6) mm, levenshtein({_NORMAL.format('r.t')}, {_NORMAL.format('o.t')}) e from r full join o using (conv_id, turn, k))
+select conv_id, turn, count(rk) n_reference, count(ok) n_output, max(mm) max_mm, cast(coalesce(sum(e), 0) as bigint) edits, case when count(rk) = count(ok) and max(mm) <= 2 then 'PASS' else 'FAIL' end status from z group by conv_id, turn""",
     ),
     "hit_test": (
-        lambda s, d: hit_test(_points(s, d).select("conv_id", "point_id", "x", "y"), table(s, d, "conversations").selectExpr("conv_id", "turn ord", "(conv_id + turn) % 6 = 0 hidden", "cast((conv_id * 13 + turn * 90) % 500 as double) x0", "cast(650 + (turn * 23) % 100 as double) y0").selectExpr("*", "x0 + 150 x1", "y0 + 60 y1"), ["conv_id"]),
-        f"with pt as ({_POINT}), a as ({_ANN}) select pt.conv_id, point_id, max(ord) hit from pt left join a on pt.conv_id = a.conv_id and not hidden and x between x0 and x1 and y between y0 and y1 group by pt.conv_id, point_id",
+        lambda s, d: hit_test(_points(s, d).select("conv_id", "point_id", "x", "y"), _annotations(s, d), ["conv_id"], _PAGE),
+        f"""with pt as ({_POINT}), a as ({_ANN}), h as (select point_id, max(ord) hit from pt join a on pt.conv_id = a.conv_id and not hidden and x between {_PAGE[0]} and {_PAGE[2]} and y between {_PAGE[1]} and {_PAGE[3]}
+  and case when ord % 3 = 1 then y >= y0 and y < y0 + 60 and x >= x0 + (y - y0) / 2 and x < x0 + 100 + (y - y0) / 2 else x between x0 and x1 and y between y0 and y1 end group by point_id)
+select conv_id, point_id, hit from pt left join h using (point_id)""",
     ),
     "nearest_line": (
         lambda s, d: nearest_line(_points(s, d), line_boxes(_glyphs(s, d), _KEY), _KEY).selectExpr("point_id", "row", "round(dy, 4) dy", "round(dx, 4) dx"),
         f"with {_GLYPH} select point_id, row, round(dy, 4) dy, round(dx, 4) dx from near where rn = 1",
     ),
     "caret": (
-        lambda s, d: caret(nearest_line(_points(s, d), line_boxes(_glyphs(s, d), _KEY), _KEY), _glyphs(s, d), _KEY).select("point_id", "at"),
-        f"with {_GLYPH} select point_id, coalesce(min(idx) filter ((g.x0 + g.x1) / 2 > x), max(idx) + 1) as at from near n join glyph g on n.conv_id = g.conv_id and n.turn = g.turn and n.row = g.row and g.x0 is not null where rn = 1 group by point_id",
+        lambda s, d: caret(nearest_line(_points(s, d), line_boxes(_glyphs(s, d), _KEY), _KEY), _glyphs(s, d), grapheme_starts(_pages(s, d), *_KEY), _KEY).select("point_id", "at"),
+        f"with {_GLYPH} select point_id, coalesce(min(idx) filter ((g.x0 + g.x1) / 2 > x), max(idx) + 1) as at from near n join glyph g on n.conv_id = g.conv_id and n.turn = g.turn and n.row = g.row where rn = 1 group by point_id",
     ),
     "word_at": (
         lambda s, d: word_at(nearest_line(_points(s, d), line_boxes(_glyphs(s, d), _KEY), _KEY), _glyphs(s, d), _pages(s, d), _KEY).select("point_id", "start", "end"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +12,29 @@ from pyspark.sql.window import Window
 from quire.sources.tables import table
 
 
-def latency_percentiles(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Samples, median, p95 by nearest rank (the ceil(.95 n)-th smallest) and maximum."""
-    return samples.groupBy(group).agg(
-        F.count(value).alias("n"), F.percentile(value, 0.5).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.max(value).alias("most")
-    )
+def latency_percentiles(samples: DataFrame, group: str, value: str, bins: int = 1024) -> DataFrame:
+    """Samples, median, p95 by nearest rank (the ceil(.95 n)-th smallest) and maximum of each group; exact, nulls left out.
+
+    No group is sorted whole: equal-width bins are counted first, and only the distinct values of the bins in which the
+    ranks lie are numbered, so that a group with most of the rows is no task of its own.
+    """
+    rows = samples.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy("_g").agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    at = rows.filter("_v is not null").join(ends.withColumnRenamed("_g", "_h"), same("_g", "_h"))
+    binned = at.selectExpr("_g", "_v", f"cast(least({bins} - 1, floor(coalesce(try_divide(_v - least, most - least), 0) * {bins})) as int) _b")
+    before = lambda order: F.sum("m").over(Window.partitionBy("_g", *order[:-1]).orderBy(order[-1])) - F.col("m")
+    sizes = binned.groupBy("_g", "_b").agg(F.count("*").alias("m")).withColumn("before", before(["_b"]))
+    ranks = ends.selectExpr("_g", "n", "explode(array((n + 1) div 2, n div 2 + 1, cast(ceil(0.95 * n) as bigint))) rank").distinct()
+    wanted = ranks.withColumnRenamed("_g", "_h").join(sizes, same("_h", "_g")).filter("rank > before and rank <= before + m").select("_g", "_b", "rank", "before")
+    near = binned.alias("x").join(wanted.select(F.col("_g").alias("_h"), F.col("_b").alias("_c")).distinct(), F.expr("_g <=> _h and _b = _c"), "left_semi")
+    values = near.groupBy("_g", "_b", "_v").agg(F.count("*").alias("m")).withColumn("inside", before(["_b", "_v"])).withColumnRenamed("_g", "_h").withColumnRenamed("_b", "_c")
+    found = wanted.join(values, F.expr("_g <=> _h and _b = _c and rank > before + inside and rank <= before + inside + m")).select("_g", "rank", "_v")
+    out = ends.join(found.withColumnRenamed("_g", "_h"), same("_g", "_h"), "left").groupBy("_g").agg(
+        F.any_value("n").alias("n"), F.expr("(max(if(rank = (n + 1) div 2, _v, null)) + max(if(rank = n div 2 + 1, _v, null))) / 2").alias("median"),
+        F.expr("max(if(rank = cast(ceil(0.95 * n) as bigint), _v, null))").alias("p95"), F.any_value("most").alias("most"),
+    )
+    return out.withColumnRenamed("_g", group)
 
 
 def peak_memory(samples: DataFrame, group: str, tick: str, value: str) -> DataFrame:
@@ -43,7 +63,7 @@ def heartbeat_gaps(ticks: DataFrame, key: str, ts: str, order: str) -> DataFrame
     return ticks.withColumn("_b", before).select(key, order, ((F.unix_micros(ts) - F.unix_micros("_b")) / 1000).alias("gap_ms")).filter("gap_ms is not null")
 
 
-def view_history(views: DataFrame, key: str, order: list[str], same: str, keep: int = 200) -> DataFrame:
+def view_changes(views: DataFrame, key: str, order: list[str], same: str, keep: int = 200) -> DataFrame:
     """Views that differ from the one before them (`same` is SQL over a column and its predecessor p_column), newest `keep`."""
     w = Window.partitionBy(key).orderBy(*order)
     names = [c for c in views.columns if c != key]
@@ -52,18 +72,28 @@ def view_history(views: DataFrame, key: str, order: list[str], same: str, keep:
     return kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))).filter(f"_r <= {keep}").drop("_r")
 
 
-def view_history_strict(views: DataFrame, key: str, order: list[str], schema: str, same, keep: int = 200) -> DataFrame:
-    """As view_history, but each view is compared with the last one kept, so slow drift counts: a fold over each key's views."""
+def view_history(views: DataFrame, key: str, order: list[str], same, keep: int = 200) -> DataFrame:
+    """Views that differ from the last one kept (same(kept, view), over named tuples), newest `keep`; slow drift counts.
+
+    A fold over each key's views in order. The rows stream through sorted partitions, and a key's state is what it keeps,
+    so a key with many views needs no memory for them.
+    """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        kept: list = []
-        for row in group.itertuples(index=False):
-            if not kept or not same(kept[-1], row):
-                kept.append(row)
-        return pd.DataFrame(kept[-keep:], columns=group.columns)
+    def fold(frames):
+        now, kept = None, deque(maxlen=keep)
+        for frame in frames:
+            done = []
+            for row in frame.itertuples(index=False):
+                if now is None or getattr(row, key) != now:
+                    done += kept
+                    now, kept = getattr(row, key), deque(maxlen=keep)
+                if not kept or not same(kept[-1], row):
+                    kept.append(row)
+            yield pd.DataFrame(done, columns=frame.columns)
+        if kept:
+            yield pd.DataFrame(list(kept))
 
-    return views.groupBy(key).applyInPandas(fold, schema)
+    return views.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, views.schema)
 
 
 def nearest_sample(marks: DataFrame, samples: DataFrame, key: str, tolerance_s: float) -> DataFrame:
@@ -83,36 +113,41 @@ def nearest_sample(marks: DataFrame, samples: DataFrame, key: str, tolerance_s:
 def physical_lines(characters: DataFrame, key: list[str], schema: str) -> DataFrame:
     """characters: key, idx, ch, y0, y1 (null y: no box) -> key, line_no, text, first, last.
 
-    A line ends at a newline, or before a box that lies wholly above or below the extent of the current line, which each
-    box widens; groups of white space only are dropped. The extent restarts with each line, so this is a fold over a page.
+    A line ends at a newline or carriage return, or before an inked box that lies wholly above or below the extent of the
+    current line, which each such box widens; boxes that touch belong together, and lines without a box are dropped. The
+    extent restarts with each line, so this is a fold over a page.
     """
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("idx")
-        rows, text, lo, hi, first, last = [], "", None, None, 0, 0
+        rows, chars, lo, hi = [], [], None, None
 
         def end():
-            if text.strip():
-                rows.append((*(page[k].iloc[0] for k in key), len(rows), text, first, last))
+            if lo is not None:
+                rows.append((*(page[k].iloc[0] for k in key), len(rows), "".join(c for _, c in chars), chars[0][0], chars[-1][0]))
+            chars.clear()
 
         for i, ch, y0, y1 in zip(page["idx"], page["ch"], page["y0"], page["y1"], strict=True):
-            boxed = pd.notna(y0) and pd.notna(y1)
-            if ch == "\n" or boxed and lo is not None and (y0 >= hi or y1 <= lo):
+            if ch in ("\r", "\n"):
                 end()
-                text, lo, hi = "", None, None
-                if ch == "\n":
-                    continue
-            if not text:
-                first = int(i)
-            text, last = text + ch, int(i)
-            if boxed:
+                lo = hi = None
+                continue
+            if ch.strip() and pd.notna(y0) and pd.notna(y1):
+                if lo is not None and (y1 < lo or y0 > hi):
+                    end()
+                    lo = hi = None
                 lo, hi = (y0, y1) if lo is None else (min(lo, y0), max(hi, y1))
+            chars.append((int(i), ch))
         end()
         return pd.DataFrame(rows, columns=[*key, "line_no", "text", "first", "last"])
 
     return characters.groupBy(*key).applyInPandas(fold, schema)
 
 
+def _views(s, d):
+    return table(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
 _SAME = "event_type = p_event_type and abs(value - p_value) <= 50"
 
 QUERIES = {
@@ -138,9 +173,17 @@ QUERIES = {
         "select user_id, event_id, gap_ms from (select user_id, event_id, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1000 gap_ms from events) where gap_ms is not null",
     ),
     "view_history": (
-        lambda s, d: view_history(table(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], _SAME, 20).select("user_id", "event_id"),
+        lambda s, d: view_history(_views(s, d), "user_id", ["ts", "event_id"], lambda a, b: a.event_type == b.event_type and abs(a.value - b.value) <= 50).select("user_id", "event_id"),
+        """with recursive e as (select user_id, event_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) rn from events),
+k as (select user_id, event_id, event_type, value, rn, true kept from e where rn = 1
+  union all select user_id, event_id, if(same, kt, event_type), if(same, kv, value), rn, not same
+  from (select e.*, k.event_type kt, k.value kv, coalesce(e.event_type = k.event_type and abs(e.value - k.value) <= 50, false) same from e join k on e.user_id = k.user_id and e.rn = k.rn + 1))
+select user_id, event_id from (select *, row_number() over (partition by user_id order by rn desc) r from k where kept) where r <= 200""",
+    ),
+    "view_changes": (
+        lambda s, d: view_changes(_views(s, d), "user_id", ["ts", "event_id"], _SAME).select("user_id", "event_id"),
         f"""with e as (select *, lag(event_type) over w p_event_type, lag(value) over w p_value from events window w as (partition by user_id order by ts, event_id)),
-k as (select * from e where not coalesce({_SAME}, false)) select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from k) where r <= 20""",
+k as (select * from e where not coalesce({_SAME}, false)) select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from k) where r <= 200""",
     ),
     "nearest_sample": (
         lambda s, d: nearest_sample(table(s, d, "events").filter("event_type = 'purchase'").selectExpr("user_id", "event_id mark_id", "ts"), table(s, d, "events").filter("event_type = 'view'").selectExpr("user_id", "event_id sample_id", "ts"), "user_id", 21600),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,48 +11,53 @@ from pyspark.sql.window import Window
 from quire.functions.numbers import ROMAN, number_text
 from quire.functions.strings import split_columns
 from quire.operators.layout import page_label_text
+from quire.sources.sinks import written
 from quire.sources.tables import table
 
+
 def label_pages(pages: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """pages: key, page. ranges: key, start_page, style, prefix, start_number. Each page takes the last valid range at or before it.
+    """pages: key, page. ranges: key, start_page, style, prefix, start_number. Each page takes the last range at or before it.
 
-    A range is skipped if it starts outside the document or with a number below 1. A page without a range, or whose
-    number its style can't write, has an empty label.
+    A range ends where the next one starts, valid or not; one that starts outside the document or with a number below 1
+    labels nothing. A page without a range, or whose number its style can't write, has an empty label.
     """
     sizes = pages.groupBy(key).agg(F.max("page").alias("last_page"))
-    valid = ranges.join(sizes, key).filter("start_page between 0 and last_page and start_number >= 1")
     until = F.lead("start_page").over(Window.partitionBy(key).orderBy("start_page"))
-    spans = valid.withColumn("until", until).select(key, "start_page", "style", "prefix", "start_number", "until")
+    spans = ranges.select(key, "start_page", "style", "prefix", "start_number", until.alias("until")).join(sizes, key)
+    spans = spans.filter("start_page between 0 and last_page and start_number >= 1").drop("last_page")
     both = pages.alias("p").join(spans.alias("r"), F.expr(f"p.{key} = r.{key} and p.page >= r.start_page and (r.until is null or p.page < r.until)"), "left")
     number = number_text("r.style", "(p.page - r.start_page + r.start_number)")
     return both.selectExpr(f"p.{key} {key}", "p.page page", f"coalesce(concat(coalesce(r.prefix, ''), {number}), '') label")
 
 
-#: SQL over kind, page, n_pages, x0, y0, x1, y1: the notice of an unusable destination, in the order of the checks.
+#: SQL over kind, page, n_pages, x0, y0, x1, y1, zoom: the notice of an unusable destination, in the order of the checks.
 DESTINATION_NOTICE = """case when kind is null or kind not in ('XYZ', 'Fit', 'FitH', 'FitV', 'FitR') then 'unsupported type'
   when page is null or page < 0 or page >= n_pages then 'page out of range'
-  when exists(array(x0, y0, x1, y1), v -> v is not null and (isnan(v) or abs(v) = double('infinity'))) then 'infinite coordinate'
+  when exists(array(x0, y0, x1, y1, zoom), v -> v is not null and (isnan(v) or abs(v) = double('infinity'))) then 'infinite coordinate'
   when kind = 'FitR' and (x0 is null or y0 is null or x1 is null or y1 is null or not (x1 > x0 and y1 > y0)) then 'empty rectangle' end"""
 
 
 def resolve_names(names: DataFrame, starts: DataFrame, limit: int = 64) -> DataFrame:
     """names: name, next (another name) or page. starts: name -> name, page, notice.
 
-    A chain ends at a page; a name that isn't there is missing, and more than `limit` (a power of two) names or a repeated
-    name is a cycle. Each round doubles the distance that every name looks ahead, so log2(limit) joins replace a walk.
+    A chain ends at a page; a name that isn't there is missing, one with neither next nor page has no page, and a chain
+    of more than `limit` names (missing ones count) or with a repeated name is a cycle. Each round doubles the distance
+    that every name looks ahead, so log2(limit) joins replace a walk.
     """
-    steps = names.selectExpr("name", "coalesce(next, name) to", "page is not null done", "page")
     known = names.select(F.col("name").alias("to"), F.lit(True).alias("_there"))
-    jump = steps.join(known, "to", "left").selectExpr("name", "to", "coalesce(_there, false) there")
-    hop = 1
-    while hop < limit:
-        ahead = jump.selectExpr("name to", "to far", "there far_there")
+    # Steps taken, where they lead, and whether that name is there; an end leads to itself in no steps.
+    jump = names.selectExpr("name", "if(page is null, coalesce(next, name), name) to", "if(page is null and next is not null, 1, 0) steps")
+    jump = jump.join(known, "to", "left").selectExpr("name", "to", "steps", "coalesce(_there, false) there")
+    reach = 1
+    while reach < limit:
+        ahead = jump.selectExpr("name to", "to far", "steps more", "there far_there")
         # A missing name has no row of its own, so what jumps to it stays there.
-        jump = jump.join(ahead, "to", "left").selectExpr("name", "coalesce(far, to) to", "coalesce(far_there, there) there")
-        hop *= 2
-    ends = jump.join(names.selectExpr("name to", "page"), "to", "left")
-    found = ends.selectExpr("name", "page", "case when not there then 'missing' when page is null then 'cycle' end notice")
-    return starts.select("name").distinct().join(found, "name", "left").selectExpr("name", "page", "if(page is null and notice is null, 'missing', notice) notice")
+        jump = jump.join(ahead, "to", "left").selectExpr("name", "coalesce(far, to) to", "steps + coalesce(more, 0) steps", "coalesce(far_there, there) there")
+        reach *= 2
+    ends = jump.join(names.selectExpr("name to", "page", "next"), "to", "left")
+    # The start is a name too, so `limit` names are one step less.
+    ends = ends.selectExpr("name", "page", f"case when steps >= {limit} or next is not null and page is null then 'cycle' when not there then 'missing' when page is null then 'no page' end notice")
+    return starts.select("name").distinct().join(ends, "name", "left").selectExpr("name", "if(notice is null, page, null) page", "if(page is null and notice is null, 'missing', notice) notice")
 
 
 def resolve_links(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -67,23 +74,26 @@ def resolve_links(pages: DataFrame, known: DataFrame) -> DataFrame:
 def bookmark_tree(nodes: DataFrame, limit: int = 10_000, deepest: int = 64) -> DataFrame:
     """nodes: tree, id, parent (null at the top), place (among siblings) -> the preorder walk of each tree.
 
-    Adds depth, position (from 0), parent_position and limited. What lies deeper than `deepest`, or beyond `limit` items,
-    is left out and marks its tree as limited; nodes on a cycle are never reached. Each level is one join with the nodes.
+    Adds depth (0 at the top), position (from 0), parent_position and limited. What lies deeper than `deepest`, or beyond
+    `limit` items, is left out and marks its tree as limited; nodes on a cycle are never reached. Each level is one join
+    with the nodes and is written, so neither rows nor levels meet a limit of recursion.
     """
-    spark = nodes.sparkSession
-    nodes.select("tree", "id", "parent", "place").createOrReplaceTempView("_bookmark_nodes")
-    walk = spark.sql(f"""
-      with recursive walk(tree, id, parent, depth, path) as (
-        select tree, id, parent, 1, array(struct(place, id)) from _bookmark_nodes where parent is null
-        union all
-        select n.tree, n.id, n.parent, w.depth + 1, concat(w.path, array(struct(n.place, n.id))) from walk w join _bookmark_nodes n on n.tree = w.tree and n.parent = w.id where w.depth <= {deepest}
-      ) select * from walk""")
-    order = Window.partitionBy("tree").orderBy("path")
-    kept = walk.filter(f"depth <= {deepest}").withColumn("position", F.row_number().over(order) - 1)
+    rows = nodes.select("tree", "id", "parent", "place")
+    step = "struct(place, id)"
+    level = written(rows.filter("parent is null").selectExpr("tree", "id", "parent", "0 depth", f"array({step}) path"))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) > deepest + 1:  # one level more shows which trees are cut off
+            break
+        above = level.select("tree", F.col("id").alias("parent"), "depth", "path")
+        level = written(rows.join(above, ["tree", "parent"]).selectExpr("tree", "id", "parent", "depth + 1 depth", f"concat(path, array({step})) path"))
+    walk = reduce(DataFrame.union, levels or [level])
+    numbered = walk.filter(f"depth <= {deepest}").withColumn("rn", F.row_number().over(Window.partitionBy("tree").orderBy("path"))).filter(f"rn <= {limit}")
     sizes = walk.groupBy("tree").agg((F.max("depth") > deepest).alias("deep"), F.count("*").alias("n"))
-    top = kept.filter(f"position < {limit}").join(sizes, "tree")
+    top = written(numbered.join(sizes, "tree").selectExpr("tree", "id", "parent", "depth", "rn - 1 position", f"deep or n > {limit} limited"))
     parents = top.select("tree", F.col("id").alias("parent"), F.col("position").alias("parent_position"))
-    return top.join(parents, ["tree", "parent"], "left").selectExpr("tree", "id", "depth", "position", "parent_position", f"deep or n > {limit} limited")
+    return top.join(parents, ["tree", "parent"], "left").select("tree", "id", "depth", "position", "parent_position", "limited")
 
 
 _RANGES = [("0", "'r'", "''", "1"), ("2", "'D'", "'本編-'", "if(conv_id % 5 = 0, 0, 7)"), ("4", "'A'", "cast(null as {string})", "27 + conv_id % 40"), ("5 + conv_id % 3", "'R'", "'§'", "990 + conv_id"), ("99", "'D'", "''", "1"), ("7", "'-'", "'Annex'", "1"), ("8", "'a'", "''", "2601")]
@@ -105,8 +115,8 @@ def _label_sql():
     rom = f"concat(repeat('M', cast(n // 1000 as integer)), {place(ROMAN[2], 100)}, {place(ROMAN[1], 10)}, {place(ROMAN[0], 1)})"
     let = "repeat(chr(65 + cast((n - 1) % 26 as integer)), cast((n - 1) // 26 + 1 as integer))"
     return f"""with c as (select distinct conv_id from conversations), r0 as ({rows}), r1 as (select * from (select *, row_number() over (partition by conv_id, start_page order by style desc) rn from r0) where rn = 1),
-v as (select r1.* from r1 join (select conv_id, max(turn) last_page from conversations group by 1) using (conv_id) where start_page between 0 and last_page and start_number >= 1),
-w as (select *, lead(start_page) over (partition by conv_id order by start_page) until from v),
+v as (select *, lead(start_page) over (partition by conv_id order by start_page) until from r1),
+w as (select v.* from v join (select conv_id, max(turn) last_page from conversations group by 1) using (conv_id) where start_page between 0 and last_page and start_number >= 1),
 j as (select c.conv_id, c.turn page, style, coalesce(prefix, '') prefix, c.turn - start_page + start_number n from conversations c left join w on c.conv_id = w.conv_id and c.turn >= start_page and (until is null or c.turn < until))
 select conv_id, page, coalesce(concat(prefix, case style when 'D' then cast(n as varchar) when 'R' then case when n between 1 and 100000 then {rom} end when 'r' then case when n between 1 and 100000 then lower({rom}) end when 'A' then case when n between 1 and 2600 then {let} end when 'a' then case when n between 1 and 2600 then lower({let}) end else case when style is not null then '' end end), '') as label from j"""
 
@@ -116,13 +126,13 @@ def _label_fix(sql: str) -> str:
     return sql.replace("coalesce(concat(prefix, case", "coalesce(prefix || (case").replace("end end), '') as label", "end end), '') as label")
 
 
-_DEST = "event_id, case k % 7 when 0 then 'XYZ' when 1 then 'Fit' when 2 then 'FitH' when 3 then 'FitV' when 6 then 'Other' else 'FitR' end kind, cast(k - 3 as bigint) page, 90 n_pages, {inf} x0, cast(k as double) y0, case when k % 4 = 1 then null else value end x1, cast(60 as double) y1"
-_NAMES = "c_custkey name, case when c_custkey % 10 = 0 then null else (c_custkey * 7 + 3) % 1600 end as next, case when c_custkey % 10 = 0 then c_custkey // 10 end page"
+_DEST = "event_id, case k % 7 when 0 then 'XYZ' when 1 then 'Fit' when 2 then 'FitH' when 3 then 'FitV' when 6 then 'Other' else 'FitR' end kind, cast(k - 3 as bigint) page, 90 n_pages, {inf} x0, cast(k as double) y0, case when k % 4 = 1 then null else value end x1, cast(60 as double) y1, {zoom} zoom"
+_NAMES = "c_custkey name, case when c_custkey % 10 = 0 then null when c_custkey > 40 and c_custkey < 130 then c_custkey + 1 else (c_custkey * 7 + 3) % 1600 end as next, case when c_custkey % 20 = 0 and (c_custkey <= 40 or c_custkey >= 130) then c_custkey // 10 end page"
 
 
 def _destinations(s, d):
     events = table(s, d, "events").selectExpr("event_id", "value", "cast(get_json_object(props, '$.k') as int) k")
-    return events.selectExpr(*split_columns(_DEST.format(inf="if(k % 9 = 2, double('infinity'), 5D)")))
+    return events.selectExpr(*split_columns(_DEST.format(inf="if(k % 9 = 2, double('infinity'), 5D)", zoom="if(k % 11 = 5, double('-infinity'), null)")))
 
 
 QUERIES = {
@@ -133,15 +143,16 @@ QUERIES = {
     ),
     "destination_valid": (
         lambda s, d: _destinations(s, d).selectExpr("event_id", f"{DESTINATION_NOTICE} notice", f"if({DESTINATION_NOTICE} is null, page, null) page"),
-        f"""with d as (select {_DEST.format(inf="case when k % 9 = 2 then 'infinity'::double else 5 end")} from (select event_id, value, cast(json_extract(props, '$.k') as integer) k from events)),
-n as (select event_id, page, case when kind not in ('XYZ', 'Fit', 'FitH', 'FitV', 'FitR') then 'unsupported type' when page < 0 or page >= n_pages then 'page out of range' when isinf(x0) then 'infinite coordinate' when kind = 'FitR' and (x1 is null or not (x1 > x0 and y1 > y0)) then 'empty rectangle' end notice from d)
+        f"""with d as (select {_DEST.format(inf="case when k % 9 = 2 then 'infinity'::double else 5 end", zoom="case when k % 11 = 5 then '-infinity'::double end")} from (select event_id, value, cast(json_extract(props, '$.k') as integer) k from events)),
+n as (select event_id, page, case when kind not in ('XYZ', 'Fit', 'FitH', 'FitV', 'FitR') then 'unsupported type' when page < 0 or page >= n_pages then 'page out of range' when isinf(x0) or coalesce(isinf(zoom), false) then 'infinite coordinate' when kind = 'FitR' and (x1 is null or not (x1 > x0 and y1 > y0)) then 'empty rectangle' end notice from d)
 select event_id, notice, case when notice is null then page end page from n""",
     ),
     "resolve_destination": (
         lambda s, d: (lambda names: resolve_names(names, names))(table(s, d, "customer").selectExpr(*[x.strip() for x in _NAMES.replace("//", "div").split(",")])),
-        f"""with recursive n as (select {_NAMES} from customer), w as (select name as first_, name, 0 hops from n union all select first_, n.next, hops + 1 from w join n on n.name = w.name where n.next is not null and hops < 64),
-e as (select first_, arg_max(name, hops) name, max(hops) hops from w group by first_)
-select first_ as name, page, case when n.name is null then 'missing' when page is null then 'cycle' end notice from e left join n on n.name = e.name""",
+        f"""with recursive n as (select {_NAMES} from customer), w as (select name as first_, name, 1 names, false missing from n
+  union all select first_, m.next, names + 1, o.name is null from w join n m on m.name = w.name left join n o on o.name = m.next where m.page is null and m.next is not null and names <= 64),
+e as (select first_, arg_max(name, names) name, max(names) names, bool_or(missing) missing from w group by first_)
+select first_ as name, case when names <= 64 then page end page, case when names > 64 then 'cycle' when missing then 'missing' when page is null then 'no page' end notice from e left join n on n.name = e.name""",
     ),
     "resolve_links": (
         lambda s, d: resolve_links(table(s, d, "pages"), table(s, d, "pages").selectExpr("regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) path").union(table(s, d, "pages").selectExpr("explode(array('/the', '/and', '/que')) path"))),
@@ -152,11 +163,11 @@ p as (select regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) path from pages
 select page_id, link_no, href, kind, case kind when 'none' then 'no action' when 'compound' then 'unsupported' when 'unsupported' then 'unsupported' when 'external' then 'external, not opened' else case when path is null then 'target missing' end end notice from c left join p on href = path""",
     ),
     "bookmark_tree": (
-        lambda s, d: bookmark_tree(table(s, d, "part").selectExpr("p_partkey % 7 tree", "p_partkey id", "if(p_partkey < 22, null, if(p_partkey % 50 = 49, p_partkey, (p_partkey div 21) * 7 + p_partkey % 7 - 7)) parent", "p_size place"), 200, 4),
+        lambda s, d: bookmark_tree(table(s, d, "part").selectExpr("p_partkey % 7 tree", "p_partkey id", "if(p_partkey < 22, null, if(p_partkey % 50 = 49, p_partkey, (p_partkey div 21) * 7 + p_partkey % 7 - 7)) parent", "p_size place")),
         """with recursive nodes as (select p_partkey % 7 tree, p_partkey id, case when p_partkey < 22 then null when p_partkey % 50 = 49 then p_partkey else (p_partkey // 21) * 7 + p_partkey % 7 - 7 end parent, p_size place from part),
-walk as (select tree, id, parent, 1 depth, [cast(place as bigint), id] path from nodes where parent is null union all select n.tree, n.id, n.parent, w.depth + 1, list_concat(w.path, [cast(n.place as bigint), n.id]) from walk w join nodes n on n.tree = w.tree and n.parent = w.id where w.depth <= 4),
-k as (select *, row_number() over (partition by tree order by path) rn from walk where depth <= 4), z as (select tree, max(depth) > 4 or count(*) > 200 limited from walk group by tree),
-t as (select *, rn - 1 pos from k where rn <= 200)
+walk as (select tree, id, parent, 0 depth, [cast(place as bigint), id] path from nodes where parent is null union all select n.tree, n.id, n.parent, w.depth + 1, list_concat(w.path, [cast(n.place as bigint), n.id]) from walk w join nodes n on n.tree = w.tree and n.parent = w.id where w.depth <= 64),
+k as (select *, row_number() over (partition by tree order by path) rn from walk where depth <= 64), z as (select tree, max(depth) > 64 or count(*) > 10000 limited from walk group by tree),
+t as (select *, rn - 1 pos from k where rn <= 10000)
 select t.tree, t.id, t.depth, cast(t.pos as integer) as "position", cast(u.pos as integer) parent_position, limited from t join z using (tree) left join t u on u.tree = t.tree and u.id = t.parent""",
     ),
 }

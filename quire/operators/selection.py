@@ -43,8 +43,8 @@ PAGE_STATUS = r"case when has_hidden_text then 'kept' when not has_images then i
 def stamp_violations(stamps: DataFrame) -> DataFrame:
     """Adds the rules that a stamp (text, size, x0..y1 in a page of w by h) breaks."""
     rules = {
-        "empty": "trim(coalesce(text, '')) = ''",
-        "long": "length(trim(text)) > 2000",
+        "empty": r"not coalesce(text, '') rlike '(?U)\\S'",
+        "long": "length(text) > 2000",
         "size": "size is null or size < 6 or size > 144",
         "outside": "not (x0 >= 0 and y0 >= 0 and x1 <= w and y1 <= h and x0 < x1 and y0 < y1)",
     }
@@ -52,9 +52,9 @@ def stamp_violations(stamps: DataFrame) -> DataFrame:
 
 
 def uncovered_characters(texts: DataFrame, key: str, covered: DataFrame) -> DataFrame:
-    """key and U+XXXX of each character outside the coverage table (code), but for line ends; the coverage must be small."""
+    """key and U+XXXX of each character outside the coverage table (code), but for line ends; a small coverage table is broadcast by Spark's own threshold."""
     chars = texts.selectExpr(key, "explode(array_distinct(split(text, ''))) ch").filter(r"ch not in ('', '\r', '\n')").selectExpr(key, "ascii(ch) code")
-    return chars.join(F.broadcast(covered), "code", "left_anti").selectExpr(key, "concat('U+', lpad(hex(code), 4, '0')) character").distinct()
+    return chars.join(covered, "code", "left_anti").selectExpr(key, "concat('U+', lpad(hex(code), 4, '0')) character").distinct()
 
 
 def extract_stamps(annotations: DataFrame, key: str, payload: str = "payload") -> DataFrame:
@@ -94,7 +94,7 @@ def status_counts(statuses: DataFrame, key: str) -> DataFrame:
 _SPEC = "case when conv_id % 8 = 0 then '1-2, 1' when conv_id % 8 = 1 then '2,1' when conv_id % 8 = 2 then '' when conv_id % 8 = 3 then '3-1' when conv_id % 8 = 4 then 'x' when conv_id % 8 = 5 then concat('1-', {n}) when conv_id % 8 = 6 then concat({n}, ',1') else '1,99' end"
 _FLAGS = "doc_id % 11 = 0 has_hidden_text, doc_id % 3 = 0 has_images, n_chars > 600 has_visible_text, case when doc_id % 6 = 0 then text else '  ' end recognised"
 _STATUS_SQL = r"case when has_hidden_text then 'kept' when not has_images then case when has_visible_text then 'not needed' else 'no text' end when regexp_matches(coalesce(recognised, ''), '\S') then 'processed' else 'no text' end"
-_STAMP = "conv_id, turn, case when turn % 4 = 3 then '  ' when turn % 5 = 2 then repeat(text, 12) else text end text, 4 + (conv_id * 7 + turn * 13) % 150 size, cast((conv_id * 37 + turn * 11) % 600 - 20 as double) x0, cast((conv_id * 17) % 700 as double) y0"
+_STAMP = "conv_id, turn, case when turn % 4 = 3 then concat(' ', chr(10), chr(9)) when turn % 5 = 2 and conv_id % 2 = 0 then concat(repeat('x', 1999), '  ') when turn % 5 = 2 then repeat(text, 12) else text end text, 4 + (conv_id * 7 + turn * 13) % 150 size, cast((conv_id * 37 + turn * 11) % 600 - 20 as double) x0, cast((conv_id * 17) % 700 as double) y0"
 _PAYLOAD = "concat('{\"version\":', {k} % 3, ',\"rect\":[', {k}, ',', {k} + 1, ',', {k} + 20, case when {k} % 5 = 0 then '' else concat(',', {k} + 30) end, '],\"text\":\"', event_type, '\"}')"
 _OBJECTS = "user_id, event_id, event_type = 'error' encrypted, event_type = 'purchase' signature, value > 190 byte_range, value < 1 xfa, event_type = 'click' field, value < 20 actions"
 _RANGE = "conv_id, case when conv_id % 2 = 0 then 1 else 3 end p1, case when conv_id % 2 = 0 then 5 else 12 end o1, case when conv_id % 2 = 0 then 3 else 1 end p2, case when conv_id % 2 = 0 then 12 else 5 end o2, conv_id % 7 <> 0 allowed"
@@ -137,7 +137,7 @@ select user_id, coalesce(arg_max(reason, event_id) filter (reason is not null),
     "stamp_rules": (
         lambda s, d: stamp_violations(table(s, d, "conversations").selectExpr(*split_columns(_STAMP)).selectExpr("*", "x0 + 60 x1", "y0 + 20 y1", "595D w", "842D h", )).selectExpr("conv_id", "turn", "array_join(violations, ',') violations"),
         f"""with s as (select *, x0 + 60 x1, y0 + 20 y1 from (select {_STAMP} from conversations))
-select conv_id, turn, concat_ws(',', case when trim(text) = '' then 'empty' end, case when length(trim(text)) > 2000 then 'long' end, case when size < 6 or size > 144 then 'size' end, case when not (x0 >= 0 and y0 >= 0 and x1 <= 595 and y1 <= 842) then 'outside' end) violations from s""",
+select conv_id, turn, concat_ws(',', case when not regexp_matches(text, '\\S') then 'empty' end, case when length(text) > 2000 then 'long' end, case when size < 6 or size > 144 then 'size' end, case when not (x0 >= 0 and y0 >= 0 and x1 <= 595 and y1 <= 842) then 'outside' end) violations from s""",
     ),
     "uncovered_chars": (
         lambda s, d: uncovered_characters(table(s, d, "documents"), "doc_id", s.range(32, 127).selectExpr("cast(id as int) code")),

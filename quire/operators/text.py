@@ -49,7 +49,8 @@ def grapheme_starts(documents: DataFrame, *key: str) -> DataFrame:
 def word_bounds(documents: DataFrame, *key: str) -> DataFrame:
     """key and spans: start and end of each run of letters, marks, digits and underscores; unspaced scripts are one run (no dictionary)."""
     pieces = documents.selectExpr(*key, f"regexp_extract_all(text, '({WORD})', 1) words", f"split(text, '{WORD}', -1) gaps")
-    ends = pieces.select(*key, running_sums(F.expr("flatten(transform(words, (w, i) -> array(length(gaps[i]), length(w))))")).alias("at"))
+    # Both arrays are arguments here: within a lambda, Spark would evaluate what makes them once for each element.
+    ends = pieces.select(*key, running_sums(F.expr("flatten(zip_with(slice(gaps, 1, size(words)), words, (g, w) -> array(length(g), length(w))))")).alias("at"))
     return ends.selectExpr(*key, "if(size(at) > 0, transform(sequence(1, size(at) div 2), k -> struct(at[2 * k - 2] b, at[2 * k - 1] e)), array()) spans")
 
 

@@ -16,10 +16,27 @@ class PublishConflict(RuntimeError):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under the checkpoint folder, or a local one where none is set."""
+    """A fresh folder that driver and executors share, deleted when the session's JVM ends.
+
+    It lies under spark.checkpoint.dir. A local session without that setting gets a temporary folder; on a cluster the
+    setting is required, since executors would write to disks of their own.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    fs, path, _ = _fs(spark, f"{base}/{uuid.uuid4().hex}")
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written under the shared folder and read again: what follows doesn't depend on how they came about."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):

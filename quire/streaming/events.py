@@ -24,16 +24,16 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100)
 def debounce_queries(edits: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
     """edits: user_id, event_id, ts, query, submit. After a silence of `gap`, the latest text of a user is searched.
 
-    Blank text cancels; a submit is searched at once, whatever follows. On a stream, give a watermark.
+    Blank text cancels; a submit is searched at once, whatever follows, and not again after the silence. On a stream,
+    give a watermark: submits pass on at once, settled texts when it has passed the silence.
     """
     if watermark:
         edits = edits.withWatermark("ts", watermark)
-    settled = edits.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.max_by("query", F.struct("ts", "event_id")).alias("query"), F.max("ts").alias("at"))
-    settled = settled.select("user_id", "query", "at").filter(r"query rlike '\\S'")
-    if edits.isStreaming:
-        return settled
+    last = F.max_by(F.struct("query", "submit"), F.struct("ts", "event_id")).alias("last")
+    settled = edits.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(last, F.max("ts").alias("at"))
+    settled = settled.filter(r"last.query rlike '\\S' and not last.submit").select("user_id", "last.query", "at")
     submitted = edits.filter(r"submit and query rlike '\\S'").select("user_id", "query", F.col("ts").alias("at"))
-    return settled.unionByName(submitted).distinct()
+    return settled.unionByName(submitted)
 
 
 def latest_generation(results: DataFrame, key: str, generation: str) -> DataFrame:
@@ -42,18 +42,27 @@ def latest_generation(results: DataFrame, key: str, generation: str) -> DataFram
     return results.join(newest, key).filter(F.col(generation) == F.col("_g")).drop("_g")
 
 
-def stream_latest_generation(results: DataFrame) -> DataFrame:
-    """results: user_id, generation, event_id. Passes on what is not older than the newest generation its key has shown so far."""
+def stream_latest_generation(results: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """results: user_id, generation, event_id, ts. Passes on what is not older than the newest generation its key has shown so far.
+
+    A key's state goes when the watermark has passed its last result by as long again as the watermark's delay.
+    """
+    stay = pd.Timedelta(watermark)
 
     def keep(key, frames, state: GroupState):
-        newest = state.get[0] if state.exists else -1
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, last = state.get if state.exists else (-1, 0)
         for frame in frames:
-            newest = max(newest, int(frame["generation"].max()))
+            newest, last = max(newest, int(frame["generation"].max())), max(last, int(frame["ts"].max().timestamp() * 1000))
             kept = frame[frame["generation"] >= newest]
             yield pd.DataFrame({"user_id": kept["user_id"], "generation": kept["generation"], "event_id": kept["event_id"]})
-        state.update((newest,))
+        state.update((newest, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(stay.total_seconds() * 1000))
 
-    return results.groupBy("user_id").applyInPandasWithState(keep, "user_id long, generation long, event_id long", "newest long", "append", GroupStateTimeout.NoTimeout)
+    keyed = results.withWatermark("ts", watermark).groupBy("user_id")
+    return keyed.applyInPandasWithState(keep, "user_id long, generation long, event_id long", "newest long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_progress(lines: DataFrame) -> DataFrame:
@@ -105,32 +114,52 @@ def apply_edit(state: tuple[int, int, int, int], op: str) -> tuple[int, int, int
     return state
 
 
-def stream_edit_log_replay(log: DataFrame) -> DataFrame:
-    """The replay on a stream: each batch's edits are applied in the order of time and id, and the new state is passed on."""
+def stream_edit_log_replay(log: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """log: user_id, ts, event_id, op. The replay on a stream, in the order of time and id whatever the order of arrival.
 
-    def replay(key, frames, state: GroupState):
-        now = state.get if state.exists else (0, 0, 0, 0)
-        edits = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for op in edits["op"]:
-            now = apply_edit(tuple(now), op)
-        state.update(tuple(int(x) for x in now))
-        yield pd.DataFrame([(key[0], *now, now[2] != now[0], int(edits["event_id"].max()))], columns=["user_id", "cursor", "last", "saved", "revision", "dirty", "upto"])
+    Edits wait in the state until the watermark has passed them and are then applied for good; each batch passes on the
+    state as it is with the waiting edits applied too. What comes later than the watermark allows is dropped by Spark.
+    """
 
-    return log.groupBy("user_id").applyInPandasWithState(
-        replay, "user_id long, cursor int, last int, saved int, revision int, dirty boolean, upto long", "cursor int, last int, saved int, revision int", "update", GroupStateTimeout.NoTimeout
-    )
+    def replay(key, frames, state: GroupState):
+        *done, at, ids, ops = state.get if state.exists else (0, 0, 0, 0, [], [], [])
+        edits = list(zip(at, ids, ops, strict=True))
+        if not state.hasTimedOut:
+            for frame in frames:
+                edits += zip(frame["ts"].map(lambda t: t.value // 1000), frame["event_id"], frame["op"], strict=True)
+        edits.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = tuple(done)
+        while edits and edits[0][0] < passed:
+            done = apply_edit(done, edits.pop(0)[2])
+        now = done
+        for *_, op in edits:
+            now = apply_edit(now, op)
+        state.update((*(int(x) for x in done), [int(t) for t, _, _ in edits], [int(i) for _, i, _ in edits], [o for *_, o in edits]))
+        if edits:
+            state.setTimeoutTimestamp(max(edits[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if not state.hasTimedOut:
+            yield pd.DataFrame([(key[0], *now, now[2] != now[0])], columns=["user_id", "cursor", "last", "saved", "revision", "dirty"])
+
+    return log.withWatermark("ts", watermark).groupBy("user_id").applyInPandasWithState(
+        replay, "user_id long, cursor int, last int, saved int, revision int, dirty boolean",
+        "cursor int, last int, saved int, revision int, at array<bigint>, ids array<bigint>, ops array<string>", "update", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, batch by batch, under the shared folder."""
+    """Run a stream over all that is there and return what it wrote, batch by batch, under the shared folder.
+
+    Each batch has a folder of its own that a retry overwrites, so no row is written twice.
+    """
     spark = stream.sparkSession
     base = shared_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{base}/out")
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
 _EDIT = "user_id, event_id, ts, case when event_type = 'error' then ' ' else event_type end query, event_type = 'purchase' submit"
@@ -148,8 +177,16 @@ def _replayed_stream(s, d):
     """The events' edit log as a stream; the last state of each document is its result."""
     log = event_stream(s, d)
     states = drain(stream_edit_log_replay(log.selectExpr("user_id", "ts", "event_id", f"{OP} op")), "update")
-    return states.groupBy("user_id").agg(F.max_by(F.struct("cursor", "last", "saved", "revision", "dirty"), F.struct("_batch", "upto")).alias("s")).select("user_id", "s.*")
+    return states.groupBy("user_id").agg(F.max_by(F.struct("cursor", "last", "saved", "revision", "dirty"), "batch").alias("s")).select("user_id", "s.*")
+
 
+_REPLAY_SQL = f"""with recursive e as (select user_id, {OP} op, row_number() over (partition by user_id order by ts, event_id) rn from events),
+w as (select user_id, 0 rn, 0 cursor_, 0 last_, 0 saved, 0 revision from e where rn = 1 union all
+  select e.user_id, e.rn, case op when 'commit' then cursor_ + 1 when 'undo' then greatest(cursor_ - 1, 0) when 'redo' then least(cursor_ + 1, last_) else cursor_ end,
+    case op when 'commit' then cursor_ + 1 else last_ end, case op when 'commit' then case when saved > cursor_ then -1 else saved end when 'save' then cursor_ else saved end,
+    revision + case when op = 'commit' or op = 'undo' and cursor_ > 0 or op = 'redo' and cursor_ < last_ then 1 else 0 end
+  from w join e on e.user_id = w.user_id and e.rn = w.rn + 1)
+select user_id, cursor_ as "cursor", last_ as "last", saved, revision, saved <> cursor_ dirty from (select *, max(rn) over (partition by user_id) m from w) where rn = m"""
 
 QUERIES = {
     "debounce_queries": (
@@ -170,8 +207,8 @@ select user_id, query, ts as "at" from l where r = 1 and regexp_matches(query, '
         lambda s, d: timed_out_jobs(table(s, d, "events").filter("event_type = 'click'").selectExpr("user_id job", "ts started"), table(s, d, "events").filter("event_type = 'purchase'").selectExpr("user_id job", "ts ended"), "12 hours"),
         "select user_id job, ts started from events a where event_type = 'click' and not exists (select 1 from events b where b.user_id = a.user_id and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 12 hours)",
     ),
-    "edit_log_replay": (lambda s, d: edit_log_replay(table(s, d, "events").selectExpr("user_id", "ts", "event_id", f"{OP} op"), "user_id"), None),
-    "edit_log_replay_stream": (_replayed_stream, None),
+    "edit_log_replay": (lambda s, d: edit_log_replay(table(s, d, "events").selectExpr("user_id", "ts", "event_id", f"{OP} op"), "user_id"), _REPLAY_SQL),
+    "edit_log_replay_stream": (_replayed_stream, _REPLAY_SQL),
 }
 
 
