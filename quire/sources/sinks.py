@@ -15,19 +15,17 @@ class PublishConflict(RuntimeError):
     """The target is not what the caller last saw, or the candidate did not read back as written."""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, deleted when the session's JVM ends.
+def checkpoint_base(setting: str | None, master: str) -> str:
+    """The folder that spark.checkpoint.dir names; without it a temporary one, but only where all is one machine."""
+    if not setting and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return setting or tempfile.mkdtemp(prefix="spark-")
 
-    It lies under spark.checkpoint.dir. A local session without that setting gets a temporary folder; on a cluster the
-    setting is required, since executors would write to disks of their own.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, under the checkpoint folder; it is deleted when the session's JVM ends."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    fs, path, _ = _fs(spark, f"{base}/{uuid.uuid4().hex}")
+    fs, path, _ = _fs(spark, f"{checkpoint_base(sc.getConf().get('spark.checkpoint.dir'), sc.master)}/{uuid.uuid4().hex}")
     fs.deleteOnExit(path)
     return path.toString()
 

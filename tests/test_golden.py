@@ -328,8 +328,8 @@ def test_drained_batches_survive_a_retry(spark, tmp_path):
     assert events.drain(stream.select("event_id")).count() == 40
 
 
-def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+def test_shared_folder_is_required_on_a_cluster(spark):
     assert sinks.written(spark.range(3)).count() == 3
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    assert sinks.checkpoint_base("hdfs:///x", "spark://somewhere:7077") == "hdfs:///x"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        sinks.shared_folder(spark)
+        sinks.checkpoint_base(None, "spark://somewhere:7077")
