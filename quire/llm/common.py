@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.sinks import shared_folder
+
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -33,12 +32,9 @@ def partitions(spark: SparkSession) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a compressed table under the cluster's shared checkpoint folder and read it again.
 
-    A local folder is set only where the session names none. A lost executor then costs no more than tasks at hand.
+    A lost executor then costs no more than the tasks at hand. The table is deleted when the session's JVM ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,12 +1,14 @@
 """Operator 8, license scans by sentence rules, in DataFrame and SQL functions only.
 
 A text is split into sentences, each is normalised (lower case, only letters, digits and inner dots, single spaces), and
-known license sentences become identifiers. The sequence of a text's identifiers is matched against ordered rules: each
+known license sentences become identifiers. A sentence may be wrapped over lines; where the whole isn't known, that
+without its first line (a heading) and then the single lines are looked up. The sequence of a text's identifiers is matched against ordered rules: each
 rule is a sequence of identifiers that must stand next to each other among the known sentences, an earlier rule uses up
 its sentences, and what it used is not seen by later rules. Nothing is shuffled: all work stays within a row.
 
-Defined results: a null or empty text, or one without known sentences, has no license and an empty sequence; repeated
-rows give repeated results; an empty table gives no rows.
+Defined results: a null or empty text, or one without known sentences, has no license and an empty sequence; a very long
+text takes time in proportion to its length; a license found twice is named once; repeated rows give repeated results;
+columns besides doc_id and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,10 +57,26 @@ SENTENCES = {
     "spdx_gpl3": "spdx license identifier gpl 3.0 only",
     "spdx_gpl3_later": "spdx license identifier gpl 3.0 or later",
     "spdx_mpl": "spdx license identifier mpl 2.0",
+    "agpl_notice": "licensed under the gnu affero general public license version 3",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost_notice": "distributed under the boost software license version 1.0",
+    "eclipse_notice": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2.0",
+    "spdx_agpl3": "spdx license identifier agpl 3.0 only",
+    "spdx_lgpl3": "spdx license identifier lgpl 3.0 only",
+    "spdx_gpl2": "spdx license identifier gpl 2.0 only",
+    "spdx_unlicense": "spdx license identifier unlicense",
+    "spdx_zlib": "spdx license identifier zlib",
+    "spdx_boost": "spdx license identifier bsl 1.0",
+    "spdx_eclipse": "spdx license identifier epl 2.0",
+    "spdx_cc0": "spdx license identifier cc0 1.0",
+    "spdx_cc_by": "spdx license identifier cc by 4.0",
     "copyright_reserved": "all rights reserved",
 }
 #: Every known sentence holds one of these words, so a text without them needs no splitting.
-ANCHORS = ["licens", "warrant", "permission", "redistribut", "without specific prior written", "free software", "rights reserved"]
+ANCHORS = ["licens", "warrant", "permission", "redistribut", "without specific prior written", "free software", "public domain", "rights reserved"]
 #: (license, sequence of identifiers), in the order of matching: longer texts before the notices they contain.
 RULES = [
     ("Apache-2.0", ["apache_notice_full", "apache_not_use", "apache_obtain", "apache_as_is", "apache_limits"]),
@@ -67,6 +85,8 @@ RULES = [
     ("MIT", ["mit_grant", "mit_keep", "mit_as_is"]),
     ("ISC", ["isc_grant", "isc_as_is"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_see"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope", "gpl_see"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
     *((name, [s]) for name, s in [
         ("Apache-2.0", "apache_notice"), ("Apache-2.0", "apache_notice_full"), ("Apache-2.0", "spdx_apache"),
         ("MIT", "mit_notice"), ("MIT", "mit_notice_licensed"), ("MIT", "mit_grant"), ("MIT", "spdx_mit"),
@@ -74,13 +94,19 @@ RULES = [
         ("GPL-3.0-only", "gpl3_notice"), ("GPL-3.0-only", "gpl3_notice_short"), ("GPL-3.0-only", "spdx_gpl3"),
         ("GPL-3.0-or-later", "gpl_free"), ("GPL-3.0-or-later", "spdx_gpl3_later"), ("GPL-2.0-only", "gpl2_notice"),
         ("LGPL-3.0-only", "lgpl_notice"), ("MPL-2.0", "mpl_notice"), ("MPL-2.0", "spdx_mpl"),
-        ("CC-BY-4.0", "cc_by"), ("CC-BY-SA-4.0", "cc_by_sa"), ("CC-BY-NC-4.0", "cc_by_nc"), ("CC-BY-ND-4.0", "cc_by_nd"), ("CC0-1.0", "cc0"),
+        ("CC-BY-4.0", "cc_by"), ("CC-BY-SA-4.0", "cc_by_sa"), ("CC-BY-NC-4.0", "cc_by_nc"), ("CC-BY-ND-4.0", "cc_by_nd"), ("CC0-1.0", "cc0"), ("CC0-1.0", "spdx_cc0"), ("CC-BY-4.0", "spdx_cc_by"),
+        ("AGPL-3.0-only", "agpl_notice"), ("AGPL-3.0-only", "spdx_agpl3"), ("AGPL-3.0-or-later", "agpl_free"), ("LGPL-3.0-only", "spdx_lgpl3"), ("GPL-2.0-only", "spdx_gpl2"),
+        ("Unlicense", "unlicense_free"), ("Unlicense", "spdx_unlicense"), ("Zlib", "zlib_grant"), ("Zlib", "spdx_zlib"),
+        ("BSL-1.0", "boost_notice"), ("BSL-1.0", "spdx_boost"), ("EPL-2.0", "eclipse_notice"), ("EPL-2.0", "spdx_eclipse"),
     ]),
 ]
 _NUMBER = {s: k + 1 for k, s in enumerate(SENTENCES)}
 _DOTS = r"(?<![0-9])[.]|[.](?![0-9])"
-_WRAP = r"([^.!?;:\\n\\r])[ \\t]*\\r?\\n[ \\t]*(?=[^ \\t\\n\\r])"
-_SPLIT = r"[\\n\\r]+|[.!?]+(?:[ \\t]+|$)"
+#: A line end within a sentence: after neither the end of one nor a blank, and before more text. It becomes a mark.
+_WRAP = r"([^ \\t.!?;:\\n\\r])[ \\t]*\\r?\\n[ \\t]*(?=[^ \\t\\n\\r])"
+_MARK = chr(1)
+#: Each alternative starts at one character only, so long runs of dots or blanks cost no more than their length.
+_SPLIT = r"[\\n\\r]+|[.!?](?:[ \\t]+|$)"
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -89,12 +115,11 @@ def scan(documents: DataFrame) -> DataFrame:
     maybe = " or ".join(f"contains(t, '{a}')" for a in ANCHORS)
     anchored = " or ".join(f"contains(s, '{a}')" for a in ANCHORS)
     df = columns(documents, doc_id="long", text="string").selectExpr("doc_id", "lower(text) t").selectExpr("doc_id", f"if({maybe}, t, '') t")
-    plain = f"trim(regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' '), '{_DOTS}', ''))"
-    # A notice may be a line of its own or be wrapped over lines; the reading with more known sentences counts.
-    df = df.selectExpr("doc_id", f"filter(split(t, '{_SPLIT}'), s -> {anchored}) lines", f"filter(split(regexp_replace(t, '{_WRAP}', '$1 '), '{_SPLIT}'), s -> {anchored}) wrapped")
-    to_ids = lambda column: f"filter(transform({column}, s -> element_at(map({known}), {plain})), x -> x is not null)"
-    df = df.selectExpr("doc_id", f"{to_ids('lines')} a", f"{to_ids('wrapped')} b")
-    df = df.selectExpr("doc_id", "if(size(b) > size(a), b, a) ids")
+    number = lambda s: f"element_at(map({known}), trim(regexp_replace(regexp_replace({s}, '[^a-z0-9.]+', ' '), '{_DOTS}', '')))"
+    df = df.selectExpr("doc_id", f"transform(filter(split(regexp_replace(t, '{_WRAP}', '$1{_MARK}'), '{_SPLIT}'), s -> {anchored}), s -> split(s, '{_MARK}')) sentences")
+    whole, rest = number("array_join(s, ' ')"), number("array_join(slice(s, 2, size(s)), ' ')")
+    parts = f"case when {whole} is not null then array({whole}) when size(s) > 1 and {rest} is not null then array({number('s[0]')}, {rest}) when size(s) > 1 then transform(s, l -> {number('l')}) else array() end"
+    df = df.selectExpr("doc_id", f"array_compact(flatten(transform(sentences, s -> {parts}))) ids")
     rules = ", ".join(f"struct('{name}' name, ',{','.join(str(_NUMBER[s]) for s in sequence)},' want)" for name, sequence in RULES)
     fold = f"""aggregate(array({rules}), struct(concat(',', array_join(ids, ','), ',') s, cast(array() as array<string>) found),
         (a, r) -> struct(replace(a.s, r.want, ',;,') s, if(contains(a.s, r.want), array_append(a.found, r.name), a.found) found), a -> a.found)"""
@@ -107,11 +132,12 @@ _LIST = "[" + ", ".join(f"'{s}'" for s in SENTENCES.values()) + "]"
 def _oracle() -> str:
     """The same rules in DuckDB."""
     maybe = " or ".join(f"contains(lower(text), '{a}')" for a in ANCHORS)
-    split = lambda t: f"regexp_split_to_array({t}, '[\\n\\r]+|[.!?]+(?:[ \\t]+|$)')"
-    inner = "regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '([0-9])[.]([0-9])', '\\1#\\2', 'g')"
-    plain = f"trim(replace(replace({inner}, '.', ''), '#', '.'))"
-    ids = lambda t: f"list_filter(list_transform({split(t)}, lambda s: list_position({_LIST}, {plain})), lambda x: x > 0)"
-    wrapped = "regexp_replace(t, '([^.!?;:\\n\\r])[ \\t]*\\r?\\n[ \\t]*([^ \\t\\n\\r])', '\\1 \\2', 'g')"
+    inner = lambda s: f"regexp_replace(regexp_replace({s}, '[^a-z0-9.]+', ' ', 'g'), '([0-9])[.]([0-9])', '\\1#\\2', 'g')"
+    number = lambda s: f"list_position({_LIST}, trim(replace(replace({inner(s)}, '.', ''), '#', '.')))"
+    wrapped = "regexp_replace(t, '([^ \\t.!?;:\\n\\r])[ \\t]*\\r?\\n[ \\t]*([^ \\t\\n\\r])', '\\1' || chr(1) || '\\2', 'g')"
+    whole, rest = number("array_to_string(s, ' ')"), number("array_to_string(s[2:], ' ')")
+    parts = f"case when {whole} > 0 then [{whole}] when len(s) > 1 and {rest} > 0 then [{number('s[1]')}, {rest}] when len(s) > 1 then list_transform(s, lambda l: {number('l')}) else [] end"
+    ids = f"list_filter(flatten(list_transform(regexp_split_to_array({wrapped}, '[\\n\\r]+|[.!?](?:[ \\t]+|$)'), lambda p: list_transform([string_split(p, chr(1))], lambda s: {parts})[1])), lambda x: x > 0)"
     steps, found = [], []
     for k, (name, sequence) in enumerate(RULES):
         want = "," + ",".join(str(_NUMBER[s]) for s in sequence) + ","
@@ -119,8 +145,7 @@ def _oracle() -> str:
         found.append(f"case when f{k} then '{name}' end")
     return f"""
 with d as (select doc_id, case when {maybe} then lower(text) else '' end t from documents),
-e as (select doc_id, {ids("t")} a, {ids(wrapped)} b from d),
-r0 as (select doc_id, ids, ',' || array_to_string(ids, ',') || ',' s0 from (select doc_id, case when len(b) > len(a) then b else a end ids from e)),
+r0 as (select doc_id, ids, ',' || array_to_string(ids, ',') || ',' s0 from (select doc_id, {ids} ids from d)),
 {", ".join(steps)}
 select doc_id, array_to_string(list_filter([{", ".join(found)}], lambda x, i: x is not null and list_position([{", ".join(found)}], x) = i), ',') licenses,
   cast(len(ids) as bigint) n_known, array_to_string(ids, ',') sentences from r{len(RULES)}

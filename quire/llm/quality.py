@@ -3,8 +3,10 @@
 The statistics of a text come from array operations over the bytes of many texts at once; the boosted trees are fitted
 with histograms of binned statistics and kept as flat arrays, through which numpy moves all rows a level at a time.
 
-Defined results: a null text is an empty text, and both get the score of all-zero statistics; repeated rows give
-repeated results; an empty table gives no rows; without labels of both classes the score is the smoothed share of label 1.
+Defined results: a null text is an empty text, and both get the score of all-zero statistics; a very long text is scored
+whole, in memory that follows its length; repeated rows give repeated results, and a doc_id with several texts is learnt
+from once; texts with equal statistics get equal scores; columns with clashing names are carried along; an empty table
+gives no rows; without labels of both classes the score is the smoothed share of label 1.
 """
 
 from __future__ import annotations
@@ -160,17 +162,19 @@ def _statistics_of(batches):
 def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> Trees:
     """Fit on at most `sample` labelled rows that aren't held out: those with the smallest hash of doc_id.
 
-    The bound makes the broadcast of the chosen labels and the collected statistics small whatever the input's size.
+    The bound makes the broadcast of the chosen labels and the collected statistics small whatever the input's size; of
+    several texts of one doc_id, that with the least statistics is taken, so repeated rows don't add to what is collected.
     """
     known = columns(labels, doc_id="long", quality="int").filter("quality in (0, 1) and doc_id is not null")
     chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("doc_id", F.col("quality").alias("y"))
     texts = columns(documents, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-    found = texts.mapInArrow(_statistics_of, "doc_id long, y int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    found = texts.mapInArrow(_statistics_of, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     if not found.num_rows:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0), **options)
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(-1, len(STATISTICS))
-    order = np.lexsort(x.T[::-1])  # repeated ids must not make the sums depend on the order of arrival
-    return fit(x[order], found.column("y").to_numpy()[order].astype(float), **options)
+    y = found.column("y").to_numpy().astype(float)
+    order = np.lexsort((y, *x.T[::-1]))  # the order of arrival must not change the sums
+    return fit(x[order], y[order], **options)
 
 
 def score(documents: DataFrame, model: Trees, column: str = "score") -> DataFrame:

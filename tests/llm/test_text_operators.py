@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -132,12 +133,23 @@ FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 
 def test_license_rules(spark):
     rows = [(1, MIT), (2, None), (3, ""), (4, "Text.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (5, "# SPDX-License-Identifier: GPL-3.0-or-later\n"), (6, "the license of birds, with permission"), (7, "This work is licensed under the GNU General Public License, version 3.")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, licenses string")
+    wrapped = "Licensed under CC BY-NC 4.0\nsome more text of the page\n\n" + MIT.split("\n\n", 1)[1]
+    rows += [(8, wrapped), (9, MIT.replace("License\n\n", "License\n")), (10, "x\n" + MIT + "\n" + "word " * 50_000 + "\n" + MIT), (11, "This is free and unencumbered software released\n  into the public domain."), (4, rows[3][1])]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, licenses string, s int, t string")
     out = {r.doc_id: (r.licenses, r.n_known) for r in L.scan(df).collect()}
-    assert out == {1: ("MIT", 3), 2: ("", 0), 3: ("", 0), 4: ("MIT,CC-BY-NC-4.0", 2), 5: ("GPL-3.0-or-later", 1), 6: ("", 0), 7: ("GPL-3.0-only", 1)}
+    assert out == {1: ("MIT", 3), 2: ("", 0), 3: ("", 0), 4: ("MIT,CC-BY-NC-4.0", 2), 5: ("GPL-3.0-or-later", 1), 6: ("", 0), 7: ("GPL-3.0-only", 1), 8: ("MIT,CC-BY-NC-4.0", 4), 9: ("MIT", 3), 10: ("MIT", 6), 11: ("Unlicense", 1)}
+    assert L.scan(df).count() == len(rows)
     assert L.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", ".", "! ", "\n", " \n", "a\n", "license ", "license\n"])
+def test_license_scan_takes_linear_time(spark, run):
+    df = spark.createDataFrame([(1, "Released under the MIT License.\n\n" + run * (1_000_000 // len(run)) + "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    assert [r.licenses for r in L.scan(df).collect()] == ["MIT"]
+    assert time.perf_counter() - began < 20
+
+
 def test_every_license_sentence_has_an_anchor():
     assert all(any(a in s for a in L.ANCHORS) for s in L.SENTENCES.values())
     assert all(s in L.SENTENCES for _, sequence in L.RULES for s in sequence)
@@ -178,7 +190,7 @@ def test_quality_learns_and_holds_out(spark):
         words = ["".join(pick.choice(list("abcdefgh"), 5)) for _ in range(pick.integers(20, 60))]
         rows.append((i, " ".join(words) if good else " ".join(w.upper() + "!!" for w in words), i))
         labels.append((i, int(good), 0))
-    rows += [(1000, None, 0), (1001, "", 0), (5, rows[5][1], 5)]
+    rows += [(1000, None, 0), (1001, "", 0), (5, rows[5][1], 5), (999, "plain words of a long text " * 40_000, 0)] + [(8, "other " * k, 0) for k in range(1, 40)]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string, score long"), spark.createDataFrame([*labels, (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     out = Q.quality(docs, known).collect()
     assert len(out) == len(rows)
