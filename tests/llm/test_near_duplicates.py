@@ -95,3 +95,31 @@ def test_vectors_match_brute_force(spark, vectors, block, monkeypatch):
     for r in rows:
         assert (r.n_links, r.component_id, r.kept) == (links.get(r.vec_id, 0), want[r.vec_id], want[r.vec_id] == r.vec_id)
     assert V.link(df.limit(0)).count() == 0
+
+
+def crowded(pick, n, dims, cosine):
+    """Unit vectors of mutual cosine `cosine` on average."""
+    axis = pick.standard_normal(dims)
+    axis /= np.linalg.norm(axis)
+    x = pick.standard_normal((n, dims))
+    x -= np.outer(x @ axis, axis)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return np.sqrt(cosine) * axis + np.sqrt(1 - cosine) * x
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_links_in_crowds_are_found(spark, block, monkeypatch):
+    """Cones of mutual cosine 0.9 and 0.8, in which few pairs reach 0.95; blocks of 2 would copy so often that passes are taken."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    pick = np.random.default_rng(8)
+    x = np.concatenate([crowded(pick, 900, 32, 0.9), crowded(pick, 300, 32, 0.8), pick.standard_normal((300, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = roots(range(len(x)), list(zip(*np.nonzero(near), strict=True)))
+    rows = V.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    found = sum(r.n_links for r in rows)
+    assert near.sum() > 300 and found <= near.sum()
+    assert found >= (near.sum() if block > 2 else 0.99 * near.sum())
+    if block > 2:
+        assert {r.vec_id: r.component_id for r in rows} == want
