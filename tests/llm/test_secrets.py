@@ -1,14 +1,16 @@
 import random
 import re
+import time
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.llm import secrets as S
 from quire.llm.common import joined_bytes
 
-PIECES = ['token = "', "password:", "abc123", "deadbeef" * 3, "AKIA", "ABCDEF0123456789", " ", "é", "x" * 300, "api_key=", '"', "ghp_" + "a" * 36, "=", "secret", "f" * 30, "-----BEGIN RSA PRIVATE KEY-----", "😀", "passwd   :   ", " " * 700, "TOKEN=", "eyJabcdefghijk.eyJabcdefghijk.abcdefghijk"]
+PIECES = ['token = "', "password:", "abc123", "deadbeef" * 3, "AKIA", "ABCDEF0123456789", " ", "é", "x" * 300, "api_key=", '"', "ghp_" + "a" * 36, "=", "secret", "f" * 30, "-----BEGIN RSA PRIVATE KEY-----", "😀", "passwd   :   ", " " * 700, "TOKEN=", "xoxb-" + "1a-" * 4, "sk_live_", "AIza", "ghp_", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "A", "_", "token", ":", "eyJabcdefghijk.eyJabcdefghijk.abcdefghijk"]
 
 
 def brute(text: str) -> list[tuple[int, str, int]]:
@@ -24,10 +26,19 @@ def brute(text: str) -> list[tuple[int, str, int]]:
 
 
 def found(texts):
-    data, offsets = joined_bytes(pa.array(texts, pa.string()))
-    masks = S.marks(data, offsets)
-    kinds = list(S.RULES)
-    return [[(a, kinds[k], b) for a, k, b in S.spans_of((t or "").encode(), int(m))] for t, m in zip(texts, masks, strict=True)]
+    spans = S.spans_of(*joined_bytes(pa.array(texts, pa.string())))
+    return [[(a, S._KINDS[k], b) for a, k, b in spans.get(i, [])] for i in range(len(texts))]
+
+
+def further(text: str) -> list[tuple[int, str, int]]:
+    """The other rules by Python's own regexes: matches of the whole patterns, in order, and then the least lengths."""
+    out = []
+    for kind, (pattern, least) in S.MORE.items():
+        for m in re.finditer(pattern.decode(), text):
+            parts = m[0][3:].replace(".eyJ", ".").split(".") if kind == "web_token" else [m[0][S._BEFORE.get(kind, 0) :]]
+            if all(len(x) >= least for x in parts):
+                out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda x: (x[0], S._KINDS.index(x[1])))
 
 
 def test_base_spans_match_plain_regexes():
@@ -35,6 +46,7 @@ def test_base_spans_match_plain_regexes():
     texts = ["".join(pick.choice(PIECES) for _ in range(pick.randint(0, 30))) for _ in range(400)]
     for text, spans in zip(texts, found(texts), strict=True):
         assert [s for s in spans if s[1] in S.BASE] == brute(text)
+        assert [s for s in spans if s[1] in S.MORE] == further(text)
 
 
 @settings(max_examples=30, deadline=None)
@@ -42,6 +54,7 @@ def test_base_spans_match_plain_regexes():
 def test_property(texts):
     for text, spans in zip(texts, found(texts), strict=True):
         assert [s for s in spans if s[1] in S.BASE] == brute(text)
+        assert [s for s in spans if s[1] in S.MORE] == further(text)
 
 
 def test_nulls_empty_long_and_clashing_columns(spark):
@@ -54,4 +67,14 @@ def test_nulls_empty_long_and_clashing_columns(spark):
 
 def test_further_formats():
     assert [s[1] for s in found(["ghp_" + "z" * 36])[0]] == ["code_host_token"]
+    assert [s[1] for s in found(["eyJabcdefghijk.eyJabcdefghijk.abcdefghijk"])[0]] == ["web_token"]
     assert found(["ghp_" + "z" * 30, "the skeleton keys of the token ring"]) == [[], []]
+
+
+@pytest.mark.parametrize("run", ["token", "eyJ", "eyJa.", "token=", "token ", "-----BEGIN ", " ", "a", "AKIA", "ghp_", "é"])
+def test_any_text_takes_linear_time(run):
+    text = "secret" + run * (1_000_000 // len(run)) + '="abcdefg"'
+    began = time.perf_counter()
+    spans = found([text, "token" + " " * 1_000_000 + "= abcdef"])
+    assert time.perf_counter() - began < 15
+    assert spans[1][-1] == (0, "assign", 1_000_013)
