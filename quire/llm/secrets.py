@@ -122,9 +122,14 @@ class _Nfa:
 _BUILT: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
+def _install(tables) -> None:
+    if not _BUILT:
+        _BUILT.append(tables)
+
+
 def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _BUILT:
-        _BUILT.append(_build())
+        _install(_build())
     return _BUILT[0]
 
 
@@ -311,8 +316,7 @@ def scan(documents: DataFrame) -> DataFrame:
     tables = automaton()  # two megabytes, built once and sent along
 
     def run(batches):
-        if not _BUILT:
-            _BUILT.append(tables)
+        _install(tables)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for batch in in_blocks(batches, 4_000_000):
             data, offsets = joined_bytes(batch.column("text"))
