@@ -9,8 +9,10 @@ likeliest leader, and then those outside a family's largest component with the w
 return only links. Pairs that share a bucket but no family come last, so no link between candidates is lost.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing (component_id is its own
-doc_id); rows with one doc_id count as that document once per distinct set; a row without doc_id gets no component; an
-empty table gives no rows.
+doc_id); a very long text takes part whole, with all its shingles; rows with one doc_id count as that document once per
+distinct set; in filtering, rows that share doc_id and text stay or go together, and other texts of that doc_id are
+judged apart; a row without doc_id gets no component and stays; columns besides doc_id and text are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ def _signatures(batches):
         # Arrays only where there are shingles.
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, x.shape[1], 0))].astype(np.int32)), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists(keys), lists(planes)],
-            ["doc_id", "n_shingles", "k1", "k2", "bands", "planes"],
+            [batch.column("doc_id"), batch.column("fingerprint"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists(keys), lists(planes)],
+            ["doc_id", "fingerprint", "n_shingles", "k1", "k2", "bands", "planes"],
         )
 
 
@@ -169,8 +171,14 @@ def similarity(a: str, b: str) -> str:
 
 def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each document."""
+    return _linked(documents, percent).drop("fingerprint")
+
+
+def _linked(documents: DataFrame, percent: int) -> DataFrame:
+    """link, with the fingerprint of each row's text."""
     docs = columns(documents, doc_id="long", text="string")
-    rows = cut(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, planes array<long>"))
+    marked = docs.withColumn("fingerprint", F.xxhash64("text"))
+    rows = cut(marked.mapInArrow(_signatures, "doc_id long, fingerprint long, n_shingles long, k1 long, k2 long, bands array<long>, planes array<long>"))
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     # One class for each set: its least document stands for it. Equal sets have equal signatures, so any row's will do.
     classes = cut(full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("planes").alias("planes")))
@@ -218,8 +226,10 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
         more = cut(_sets_of(docs, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()))
         at = _joined(at.select("id", "c"), _verify(rest, more, percent))
     seen = at.select("id", F.col("c").alias("component_id"))
-    members = rows.join(classes.select("n_shingles", "k1", "k2", "id"), ["n_shingles", "k1", "k2"], "left")
-    members = members.join(seen, "id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Texts without words are one huge key of the join, and linked with nothing.
+    members = rows.filter("n_shingles > 0").join(classes.select("n_shingles", "k1", "k2", "id"), ["n_shingles", "k1", "k2"], "left").join(seen, "id", "left")
+    members = members.select("doc_id", "fingerprint", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    members = members.union(rows.filter("n_shingles = 0").select("doc_id", "fingerprint", "n_shingles", F.col("doc_id").alias("component_id")))
     return members.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -245,8 +255,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def deduplicate(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The documents, in their own columns, without the near-copies of a document with a smaller doc_id."""
-    gone = link(documents, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    gone = _linked(documents, percent).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("fingerprint").alias("_text")).distinct()
+    return documents.join(gone, (documents["doc_id"] == gone["_gone"]) & (F.xxhash64(documents["text"].cast("string")) == gone["_text"]), "left_anti")
 
 
 #: The contract in DuckDB, by joining all shared shingles; for small tables.

@@ -57,6 +57,13 @@ def test_deduplicate_keeps_columns_and_least_ids(corpus, texts):
     assert M.link(corpus.limit(0)).count() == 0
 
 
+def test_other_texts_of_a_doc_id_are_judged_apart(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (2, words), (2, "another text under the same number that nothing else resembles"), (2, words), (3, None), (None, words), (4, "")]
+    kept = M.deduplicate(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, fingerprint int"))
+    assert sorted(((r.doc_id or 0), (r.text or "")[:3]) for r in kept.collect()) == [(0, "w0 "), (1, "w0 "), (2, "ano"), (3, ""), (4, "")]
+
+
 def test_estimate_is_close():
     import pyarrow as pa
 
