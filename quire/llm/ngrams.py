@@ -1,15 +1,21 @@
-"""Operator 2, stupid-backoff scores over the corpus's own word n-grams (orders two and one).
-
-The score of a word w after v is log(c(vw) / c(v)) if the count table holds vw, that is if it occurs at least `least` times in
-the corpus, and else log(backoff * c(w) / N); a text's first word has log(c(w) / N). Counts are of all documents.
-
-Exploded n-grams and the count table meet by the hash of the n-gram, packed by task and bucket: a bucket's task counts its
-bigrams and joins the counts back at once, sums what it can per document, and passes on what needs the count of a rare word,
-which meets the unigram table by the word's hash. Two bounded tables are broadcast so that no bucket is hot: the KNOWN most
-frequent words and at most HEAVY bigrams that are frequent in some task, both with exact counts over the corpus.
-
-Defined results: a null or empty text has no words and score 0; rows that share a doc_id are summed as one document; rows
-without doc_id are counted in the corpus and summed under null; an empty table gives no rows.
+"""Operator 2, stupid-backoff scores over the corpus's own word n-grams (orders three to one).
+
+The score of a word d after b and c is log(c(bcd) / c(bc)) if the count tables hold bcd, that is if it occurs at least
+`least` times in the corpus; else it is log(backoff) plus the score of d after c alone, which is log(c(cd) / c(c)) if cd
+is held and else log(backoff * c(d) / N). A text's first word has log(c(d) / N), its second one the score after c alone.
+Counts are of all documents.
+
+Exploded n-grams and their counts meet by hash. Each occurrence of a bigram goes once to the bucket of its hash, with the
+words on both sides: there the bigram is counted, and so are the trigrams that it begins and ends, so that one shuffle
+serves both orders. Counts are joined back at once and summed per document; what needs the count of a rare word is
+passed on and meets the unigram table by the word's hash. So that no bucket is hot, bounded tables are broadcast: the
+KNOWN most frequent words, and at most HEAVY bigrams and HEAVY trigrams that are frequent in some task, all with exact
+counts over the corpus; a trigram between two heavy bigrams goes to the bucket of its own hash. The number of buckets
+follows the corpus, and a task holds one bucket at a time.
+
+Defined results: a null or empty text has no words and score 0; a very long text is scored whole; rows that share a doc_id
+are summed as one document; rows without doc_id are counted in the corpus and summed under null; columns besides doc_id
+and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  in_blocks uses it
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +33,15 @@ from quire.llm.common import columns, cut, hash_words, in_blocks, joined_bytes,
 
 #: Bounds of what is broadcast: 16 bytes each.
 KNOWN, HEAVY = 262_144, 4096
-#: A bigram with this share of a task's bigrams is a candidate for the heavy table.
+#: An n-gram with this share of a task's n-grams is a candidate for a heavy table.
 SHARE = 1 / 2000
-LOCAL = 16_000_000
+LOCAL = 8_000_000
+#: Words of the corpus for each bucket.
+BUCKET_WORDS = 1_000_000
 _MASK = np.uint64(2**48 - 1)
 _NULL = -(2**63)
+#: The side of a bigram that lies beyond its text.
+_NONE = np.uint32(2**32 - 1)
 
 
 def _words(batch):
@@ -63,17 +74,27 @@ def _merged(held):
     return np.concatenate([x[0] for x in held]), np.concatenate([x[1] + s for x, s in zip(held, start, strict=False)]), np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
 
 
+def _grams(h, row):
+    """Where the second word of each bigram stands, the bigrams' hashes, where the third word of each trigram stands, the trigrams' hashes."""
+    two = np.flatnonzero(row[1:] == row[:-1]) + 1
+    pairs = _pair(h[two - 1], h[two])
+    three = np.flatnonzero(row[2:] == row[:-2]) + 2
+    return two, pairs, three, _pair(_pair(h[three - 2], h[three - 1]), h[three])
+
+
 def _counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
 
 
 def _tally(batches):
-    """Word counts (kind 0), and the counts here of bigrams that are frequent here (kind 1)."""
+    """Word counts (kind 0), and the counts here of the bigrams (1) and trigrams (2) that are frequent here."""
     for h, row, _, _ in _blocks(batches):
         yield _counted(0, *np.unique(h, return_counts=True))
-        pairs, n = np.unique(_pair(h[:-1], h[1:])[row[1:] == row[:-1]], return_counts=True)
-        often = n >= max(16, SHARE * len(h))
-        yield _counted(1, pairs[often], n[often])
+        _, pairs, _, triples = _grams(h, row)
+        for kind, keys in ((1, pairs), (2, triples)):
+            keys, n = np.unique(keys, return_counts=True)
+            often = n >= max(16, SHARE * len(h))
+            yield _counted(kind, keys[often], n[often])
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -84,169 +105,281 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _exact(candidates: np.ndarray):
+def _exact(*candidates: np.ndarray):
     def run(batches):
         for h, row, _, _ in _blocks(batches):
-            at = _find(candidates, _pair(h[:-1], h[1:])[row[1:] == row[:-1]])
-            n = np.bincount(at[at >= 0], minlength=len(candidates))
-            yield _counted(1, candidates[n > 0], n[n > 0])
+            _, pairs, _, triples = _grams(h, row)
+            for kind, (table, keys) in enumerate(zip(candidates, (pairs, triples), strict=True), 1):
+                at = _find(table, keys)
+                n = np.bincount(at[at >= 0], minlength=len(table))
+                yield _counted(kind, table[n > 0], n[n > 0])
 
     return run
 
 
 class Model:
-    """The broadcast tables, ascending by hash, and the values of a hit and a miss."""
+    """The broadcast tables (words, bigrams and trigrams by hash, ascending, with their counts) and the two scores."""
 
-    def __init__(self, words, n_words, heavy, n_heavy, total, least, backoff):
-        self.words, self.log_words, self.heavy, self.n_heavy = words, np.log(n_words), heavy, n_heavy
-        self.log_total, self.least, self.log_backoff = np.log(max(1, total)), least, np.log(backoff)
+    def __init__(self, words, heavy, heavy3, total, least, backoff):
+        (self.words, n_words), (self.heavy, self.n_heavy), (self.heavy3, self.n_heavy3) = words, heavy, heavy3
+        self.log_words, self.log_total, self.least, self.log_backoff = np.log(n_words), np.log(max(1, total)), least, np.log(backoff)
 
-    def value(self, count, v, w):
-        """The known part of each bigram's value; -1 in v or w stands for a rare word, whose count comes later."""
+    def _log(self, word):
+        return np.where(word >= 0, self.log_words[word], 0.0) if len(self.words) else np.zeros(len(word))
+
+    def after_one(self, count, v, w):
+        """Whether the bigram vw is held, and the known part of the score of w after v; a rare word (-1) has its count added later."""
         seen = count >= self.least
-        log_v, log_w = (np.where(x >= 0, self.log_words[x], 0.0) if len(self.words) else np.zeros(len(x)) for x in (v, w))
-        return seen, np.where(seen, np.log(np.maximum(count, 1)) - log_v, self.log_backoff + log_w - self.log_total)
+        return seen, np.where(seen, np.log(np.maximum(count, 1)) - self._log(v), self.log_backoff + self._log(w) - self.log_total)
+
+
+def _ids(model: Model, h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """32 bits by which the neighbours of one bigram are told apart: a known word's number, or bits of a rare word's hash."""
+    return np.where(known >= 0, known.astype(np.uint32), (h.astype(np.uint32) & np.uint32(2**30 - 1)) | np.uint32(2**31))
+
+
+def _packed(bucket: int, payload: dict) -> pa.RecordBatch:
+    packed = zstandard.compress(pickle.dumps(payload, 5), 1)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "payload"])
 
 
 def _deal(model: Model, buckets: int):
+    """The n-grams of a block, packed for their buckets, and what is known of the documents' sums (bucket -1)."""
+
     def run(batches):
         for h, row, docs, count in _blocks(batches):
+            n, k = len(docs), len(h)
             known = _find(model.words, h)
-            value, seen, words = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64), count
-            first = np.r_[True, row[1:] != row[:-1]] if len(h) else np.zeros(0, dtype=bool)
-            value += np.bincount(row[first], np.where(known[first] >= 0, model.log_words[known[first]] if len(model.words) else 0, 0) - model.log_total, minlength=len(docs))
-            ask = [(h[first & (known < 0)], docs[row[first & (known < 0)]])]
-            inner = np.flatnonzero(~first)
-            key = _pair(h[inner - 1], h[inner])
-            hot = _find(model.heavy, key)
-            hot[(known[inner - 1] < 0) | (known[inner] < 0)] = -1
-            i = inner[hot >= 0]
-            if len(i):
-                s, x = model.value(model.n_heavy[hot[hot >= 0]], known[i - 1], known[i])
-                value += np.bincount(row[i], x, minlength=len(docs))
-                seen += np.bincount(row[i], s, minlength=len(docs)).astype(np.int64)
-            inner, key = inner[hot < 0], key[hot < 0]
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((row[inner], key, bucket))
-            inner, key, bucket = inner[order], key[order], bucket[order]
+            same = np.r_[False, row[1:] == row[:-1]] if k else np.zeros(0, dtype=bool)
+            second = same & ~np.r_[False, same[:-1]] if k else same  # its bigram has no trigram before it
+            value, seen, seen3 = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            asks = []  # (documents, words, times) whose logarithms of counts are still to be added
+
+            def add(at, x, held, held3=None):
+                np.add.at(value, row[at], x)
+                np.add.at(seen, row[at], held)
+                if held3 is not None:
+                    np.add.at(seen3, row[at], held3)
+
+            def score_two(at, counts):
+                """Score of the words at these places after the word before them, whose bigrams have these counts."""
+                held, x = model.after_one(counts, known[at - 1], known[at])
+                for need, where, sign in ((held, at - 1, -1), (~held, at, 1)):
+                    rare = where[need & (known[where] < 0)]
+                    asks.append((docs[row[rare]], h[rare], np.full(len(rare), sign, dtype=np.int64)))
+                return held, x
+
+            first = np.flatnonzero(~same)
+            add(first, model._log(known[first]) - model.log_total, 0)
+            rare = first[known[first] < 0]
+            asks.append((docs[row[rare]], h[rare], np.ones(len(rare), dtype=np.int64)))
+            two, pairs, three, triples = _grams(h, row)
+            hot = np.full(k, -1)
+            hot[two] = _find(model.heavy, pairs)
+            between = hot[three] >= 0
+            between &= hot[three - 1] >= 0
+            hot3 = np.where(between, _find(model.heavy3, triples), -1)
+            # Second words of texts and last words of heavy trigrams, after heavy bigrams, are settled here.
+            at = np.flatnonzero(second & (hot >= 0))
+            held, x = score_two(at, model.n_heavy[hot[at]])
+            add(at, x, held)
+            at = three[hot3 >= 0]
+            add(at, np.log(model.n_heavy3[hot3[hot3 >= 0]]) - np.log(model.n_heavy[hot[at - 1]]), 1, 1)
+            # Other trigrams between heavy bigrams go to the bucket of their own hash.
+            here = between & (hot3 < 0)
+            at, key = three[here], triples[here]
+            bucket3 = (key % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((key, bucket3))
+            at, key, bucket3 = at[order], key[order], bucket3[order]
+            ends3 = np.searchsorted(bucket3, np.arange(buckets + 1))
+            # The remaining bigrams go to their buckets with the words on both sides.
+            ids = _ids(model, h, known)
+            cold = two[hot[two] < 0]
+            pair = pairs[hot[two] < 0]
+            bucket = (pair % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((row[cold], pair, bucket))
+            cold, pair, bucket = cold[order], pair[order], bucket[order]
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            parts = np.array_split(np.arange(len(docs)), buckets)
-            asked, asking = (np.concatenate(x) for x in zip(*ask, strict=True))
+            before = np.where(second[cold], _NONE, ids[cold - 2])
+            follows = np.r_[same[1:], False] if k else same
+            after = np.where(follows[cold], ids[np.minimum(cold + 1, k - 1)], _NONE)
+            # A heavy neighbour's count is known here; the two heavy tables settle the trigram from this side alone.
+            hot_before = np.where(second[cold], -1, hot[cold - 1])
+            hot_after = np.where(follows[cold], hot[np.minimum(cold + 1, k - 1)], -1)
             for b in range(buckets):
-                i, k = inner[ends[b] : ends[b + 1]], key[ends[b] : ends[b + 1]]
-                r = row[i]
-                new_key = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, dtype=bool)
-                new = new_key | (np.r_[True, r[1:] != r[:-1]] if len(k) else new_key)
-                at, u = np.flatnonzero(new), np.flatnonzero(new_key)
+                s, t = slice(ends[b], ends[b + 1]), slice(ends3[b], ends3[b + 1])
+                if s.start == s.stop and t.start == t.stop:
+                    continue
+                i, key2 = cold[s], pair[s]
+                u = np.flatnonzero(np.r_[True, key2[1:] != key2[:-1]]) if len(i) else np.zeros(0, dtype=np.int64)
                 v, w = known[i[u] - 1], known[i[u]]
-                rare = (v < 0) | (w < 0)
-                who, local = np.unique(r[at], return_inverse=True)
-                p = parts[b]
+                lacks = (v < 0) | (w < 0)
+                who, local = np.unique(np.r_[row[i], row[at[t]]], return_inverse=True)
                 payload = {
-                    "docs": docs[who], "doc": local.astype(np.uint16 if len(who) < 65536 else np.uint32),
-                    "times": np.diff(np.r_[at, len(k)]).astype(np.uint16 if len(k) < 65536 else np.uint32), "runs": np.diff(np.r_[np.flatnonzero(new_key[at]), len(at)]).astype(np.uint16 if len(at) < 65536 else np.uint32),
-                    "rare": np.packbits(rare), "v": v[~rare].astype(np.uint16), "w": w[~rare].astype(np.uint16), "top": ((v[~rare] >> 16) | (w[~rare] >> 16 << 4)).astype(np.uint8),
-                    "hv": h[i[u][rare] - 1].view(np.uint16).reshape(-1, 4)[:, :3].copy(), "hw": h[i[u][rare]].view(np.uint16).reshape(-1, 4)[:, :3].copy(),
-                    "sum_docs": docs[p], "sums": value[p], "seen": seen[p], "words": words[p], "asked": asked[b::buckets], "asking": asking[b::buckets],
+                    "docs": docs[who], "doc": local[: len(i)].astype(np.uint32), "runs": np.diff(np.r_[u, len(i)]).astype(np.uint32),
+                    "lacks": np.packbits(lacks), "v": v[~lacks].astype(np.uint32), "w": w[~lacks].astype(np.uint32), "hv": h[i[u][lacks] - 1], "hw": h[i[u][lacks]],
+                    "before": before[s], "after": after[s], "hot_before": hot_before[s].astype(np.int16), "hot_after": hot_after[s].astype(np.int16),
+                    "doc3": local[len(i) :].astype(np.uint32), "key3": key[t], "left3": hot[at[t] - 1].astype(np.int16), "right3": hot[at[t]].astype(np.int16), "w3": known[at[t] - 1], "hw3": h[at[t] - 1],
                 }
-                if len(k) or len(p) or len(payload["asked"]):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps(payload, 5)], pa.binary())], ["bucket", "payload"])
+                yield _packed(b, payload)
+            done = {"docs": docs, "value": value, "seen": seen, "seen3": seen3, "words": count, "asks": tuple(np.concatenate(x) for x in zip(*asks, strict=True))}
+            yield _packed(-1, done)
 
     return run
 
 
-def _wide(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 4), dtype=np.uint16)
-    out[:, :3] = x
-    return out.reshape(-1).view(np.uint64)
-
-
-_OUT = ["doc_id", "value", "seen", "words", "h", "times"]
+_OUT = ["doc_id", "value", "seen", "seen3", "words", "h", "times"]
 
 
-def _out(doc, value=None, seen=None, words=None, h=None, times=None) -> pa.RecordBatch:
-    filled = [pa.nulls(len(doc), t) if x is None else pa.array(x, t) for x, t in ((value, pa.float64()), (seen, pa.int64()), (words, pa.int64()), (h, pa.int64()), (times, pa.int64()))]
+def _out(doc, value=None, seen=None, seen3=None, words=None, h=None, times=None) -> pa.RecordBatch:
+    filled = [pa.nulls(len(doc), t) if x is None else pa.array(x, t) for x, t in ((value, pa.float64()), (seen, pa.int64()), (seen3, pa.int64()), (words, pa.int64()), (h, pa.int64()), (times, pa.int64()))]
     doc = pa.array(doc, mask=np.asarray(doc) == _NULL)
     return pa.RecordBatch.from_arrays([doc, *filled], _OUT)
 
 
+def _asked(asks):
+    """The asks of one bucket, those of one document for one word as one."""
+    doc, h, times = (np.concatenate(x) for x in zip(*asks, strict=True))
+    order = np.lexsort((h, doc))
+    doc, h, times = doc[order], h[order], times[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
+    times = np.add.reduceat(times, first) if len(first) else times
+    return _out(doc[first], h=h[first].view(np.int64), times=times)
+
+
+def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's combination of the keys, and how many rows have it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new)
+    return number, np.bincount(number) if len(number) else np.zeros(0, dtype=np.int64)
+
+
 def _meet(model: Model):
-    """A bucket's bigrams are counted, valued and summed per document; asks for rare words' counts go on (h, times)."""
+    """Counts of a bucket's n-grams, joined back to its occurrences and summed per document; asks for rare words go on (h, times)."""
 
     def solve(held):
-        keys, counts = [], []
+        start = np.cumsum([0, *(len(p["docs"]) for p in held)])
+        docs = np.concatenate([p["docs"] for p in held])
+        get = lambda c: np.concatenate([p[c] for p in held])
+        value, seen, seen3, asks = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64), []
+        v, w, hv, hw = [], [], [], []
         for p in held:
             n = len(p["runs"])
-            rare = np.unpackbits(p["rare"], count=n).astype(bool)
-            v, w, hv, hw = (np.zeros(n, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-            top = p["top"].astype(np.int64)
-            v[~rare], w[~rare] = p["v"].astype(np.int64) | (top & 15) << 16, p["w"].astype(np.int64) | (top >> 4) << 16
-            hv[~rare], hw[~rare] = model.words[v[~rare]], model.words[w[~rare]]
-            hv[rare], hw[rare] = _wide(p["hv"]), _wide(p["hw"])
-            v[rare], w[rare] = _find(model.words, hv[rare]), _find(model.words, hw[rare])
-            p |= {"v": v, "w": w, "hv": hv, "hw": hw}
-            start = np.r_[0, np.cumsum(p["runs"])[:-1]].astype(np.int64)
-            keys.append(_pair(hv, hw))
-            counts.append(np.add.reduceat(p["times"].astype(np.int64), start) if n else np.zeros(0, dtype=np.int64))
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]
-        done, docs, sums, hits, asks = 0, [], [], [], []
-        for p in held:
-            n = len(p["runs"])
-            seen, value = model.value(total[done : done + n], p["v"], p["w"])
-            done += n
-            each = np.repeat(np.arange(n), p["runs"])
-            times, doc = p["times"].astype(np.int64), p["doc"]
-            docs.append(p["docs"])
-            sums.append(np.bincount(doc, value[each] * times, minlength=len(p["docs"])))
-            hits.append(np.bincount(doc, seen[each] * times, minlength=len(p["docs"])))
-            for need, h, sign in ((seen & (p["v"] < 0), p["hv"], -1), (~seen & (p["w"] < 0), p["hw"], 1)):
-                pick = need[each]
-                asks.append((p["docs"][doc[pick]], h[each[pick]], sign * times[pick]))
-            docs.append(p["sum_docs"])
-            sums.append(p["sums"])
-            hits.append(p["seen"])
-        docs = np.concatenate(docs)
+            lacks = np.unpackbits(p["lacks"], count=n).astype(bool)
+            pv, pw, phv, phw = (np.zeros(n, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+            pv[~lacks], pw[~lacks], phv[lacks], phw[lacks] = p["v"], p["w"], p["hv"], p["hw"]
+            if len(model.words):
+                phv[~lacks], phw[~lacks] = model.words[pv[~lacks]], model.words[pw[~lacks]]
+            pv[lacks], pw[lacks] = _find(model.words, phv[lacks]), _find(model.words, phw[lacks])
+            for out, x in zip((v, w, hv, hw), (pv, pw, phv, phw), strict=True):
+                out.append(np.repeat(x, p["runs"]))
+        v, w, hv, hw = (np.concatenate(x) for x in (v, w, hv, hw))
+        doc, before, after = np.concatenate([p["doc"] + s for p, s in zip(held, start, strict=False)]).astype(np.int64), get("before"), get("after")
+
+        def add(at, x, held2, held3=0):
+            np.add.at(value, at, x)
+            np.add.at(seen, at, held2)
+            np.add.at(seen3, at, held3)
+
+        def score_heavy(at, pairs, c, hc):
+            """Backed off to a heavy bigram, which is always held, of the word c and the one after it."""
+            add(at, model.log_backoff + np.log(model.n_heavy[pairs]) - model._log(c), 1)
+            asks.append((docs[at[c < 0]], hc[c < 0], np.full(int((c < 0).sum()), -1, dtype=np.int64)))
+
+        def score_two(counts, v, w, hv, hw, doc):
+            held2, x = model.after_one(counts, v, w)
+            for need, word, h, sign in ((held2, v, hv, -1), (~held2, w, hw, 1)):
+                rare = need & (word < 0)
+                asks.append((docs[doc[rare]], h[rare], np.full(int(rare.sum()), sign, dtype=np.int64)))
+            return held2, x
+
+        pair, n2 = _group(_pair(hv, hw))
+        n2 = n2[pair]
+        # From the trigram's end: held ones don't need the score after one word, all others do.
+        number, n3 = _group(pair, before)
+        ends = (before != _NONE) & (n3[number] >= model.least)
+        rows = np.flatnonzero(~ends)
+        held2, x = score_two(n2[rows], v[rows], w[rows], hv[rows], hw[rows], doc[rows])
+        add(doc[rows], x + np.where(before[rows] != _NONE, model.log_backoff, 0.0), held2)
+        # A held trigram whose first bigram is heavy is settled here; else the bucket of its first bigram does it.
+        hot = get("hot_before").astype(np.int64)
+        rows = np.flatnonzero(ends)
+        add(doc[rows], np.where(hot[rows] >= 0, np.log(n3[number[rows]]) - (np.log(model.n_heavy[hot[rows]]) if len(model.heavy) else 0), 0.0), 1, 1)
+        # From the trigram's beginning: log c(bcd) - log c(bc), and where cd is heavy, all that its own bucket would add.
+        hot = get("hot_after").astype(np.int64)
+        number, n3 = _group(pair, after)
+        begins = (after != _NONE) & (n3[number] >= model.least)
+        rows = np.flatnonzero(begins)
+        add(doc[rows], np.log(n3[number[rows]]) - np.log(n2[rows]), hot[rows] >= 0, hot[rows] >= 0)
+        rows = np.flatnonzero((after != _NONE) & ~begins & (hot >= 0))
+        if len(rows):  # cd is heavy and bcd isn't held
+            score_heavy(doc[rows], hot[rows], w[rows], hw[rows])
+        # Trigrams between heavy bigrams.
+        key3 = get("key3")
+        if len(key3):
+            doc3 = np.concatenate([p["doc3"] + s for p, s in zip(held, start, strict=False)]).astype(np.int64)
+            number, n3 = _group(key3)
+            n3, left, right = n3[number], get("left3").astype(np.int64), get("right3").astype(np.int64)
+            held3 = n3 >= model.least
+            add(doc3[held3], np.log(n3[held3]) - np.log(model.n_heavy[left[held3]]), 1, 1)
+            rows = np.flatnonzero(~held3)
+            score_heavy(doc3[rows], right[rows], get("w3")[rows], get("hw3")[rows])
         who, at = np.unique(docs, return_inverse=True)
-        yield _out(who, np.bincount(at, np.concatenate(sums), minlength=len(who)), np.bincount(at, np.concatenate(hits), minlength=len(who)).astype(np.int64))
-        for p in held:
-            yield _out(p["sum_docs"], words=p["words"])
-            yield _out(p["asking"], h=p["asked"].view(np.int64), times=np.ones(len(p["asked"]), dtype=np.int64))
-        for doc, h, times in asks:
-            yield _out(doc, h=h.view(np.int64), times=times)
+        add_up = lambda x: np.bincount(at, x, minlength=len(who))
+        yield _out(who, add_up(value), add_up(seen).astype(np.int64), add_up(seen3).astype(np.int64))
+        yield _asked(asks)
 
     def run(batches):
-        buckets: dict[int, list] = {}
+        now, held = None, []
         for batch in batches:
-            for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                buckets.setdefault(b, []).append(pickle.loads(payload))
-        for b in list(buckets):
-            yield from solve(buckets.pop(b))
+            for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                p = pickle.loads(zstandard.decompress(payload.as_py()))
+                if b == -1:
+                    yield _out(p["docs"], p["value"], p["seen"], p["seen3"], p["words"])
+                    yield _asked([p["asks"]])
+                    continue
+                if b != now and held:
+                    yield from solve(held)
+                    held = []
+                now = b
+                held.append(p)
+        if held:
+            yield from solve(held)
 
     return run
 
 
-def _top(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    table = counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(most).select("h", "n").toArrow()
+def _top(counts: DataFrame, kind: int, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    table = counts.filter((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "h").limit(most).select("h", "n").toArrow()
     h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order].astype(float)
 
 
 def score(documents: DataFrame, least: int = 2, backoff: float = 0.4, known: int = KNOWN, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_words, n_seen (bigrams that the table holds), score (sum of logs) and mean_score (by word)."""
+    """doc_id, n_words, n_seen (words scored by a held bigram or trigram), n_seen3 (by a held trigram), score (sum of logs) and mean_score (by word)."""
     docs = columns(documents, doc_id="long", text="string")
     n = partitions(documents.sparkSession)
-    counts = cut(docs.select("text").mapInArrow(_tally, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    tally = "kind int, h long, n long"
+    counts = cut(docs.select("text").mapInArrow(_tally, tally).groupBy("kind", "h").agg(F.sum("n").alias("n")))
     total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words, n_words = _top(counts, 0, min(known, KNOWN))
-    candidates, n_heavy = _top(counts, 1, heavy)
-    if len(candidates):
-        exact = docs.select("text").mapInArrow(_exact(candidates), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-        candidates, n_heavy = _top(exact, 1, heavy)
-    model = Model(words, n_words, candidates, n_heavy, total, least, backoff)
-    dealt = docs.mapInArrow(_deal(model, n), "bucket int, payload binary").repartition(n, "bucket")
-    met = cut(dealt.mapInArrow(_meet(model), "doc_id long, value double, seen long, words long, h long, times long"))
-    rare = met.filter("h is not null").select("doc_id", "h", "times").join(counts.filter("kind = 0").select("h", "n"), "h").select("doc_id", (F.col("times") * F.log("n")).alias("value"), F.lit(None).cast("long").alias("seen"), F.lit(None).cast("long").alias("words"))
-    sums = met.filter("h is null").select("doc_id", "value", "seen", "words").union(rare).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("seen").alias("n_seen"), F.sum("value").alias("s"))
-    return sums.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_seen", F.lit(0)).alias("n_seen"), F.round("s", 6).alias("score"), F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).otherwise(0.0).alias("mean_score"))
+    words = _top(counts, 0, min(known, KNOWN))
+    heavy2, heavy3 = _top(counts, 1, heavy), _top(counts, 2, heavy)
+    if len(heavy2[0]) or len(heavy3[0]):
+        exact = cut(docs.select("text").mapInArrow(_exact(heavy2[0], heavy3[0]), tally).groupBy("kind", "h").agg(F.sum("n").alias("n")))
+        heavy2, heavy3 = _top(exact, 1, heavy, least), _top(exact, 2, heavy, least)  # so every heavy n-gram is held
+    model = Model(words, heavy2, heavy3, total, least, backoff)
+    buckets = max(n, -(-total // BUCKET_WORDS))
+    dealt = docs.mapInArrow(_deal(model, buckets), "bucket int, payload binary").withColumn("at", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.floor(F.rand(1) * buckets).cast("int")))
+    met = dealt.repartition(n, "at").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_meet(model), "doc_id long, value double, seen long, seen3 long, words long, h long, times long")
+    met = cut(met)
+    nothing = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    rare = met.filter("h is not null").select("doc_id", "h", "times").join(counts.filter("kind = 0").select("h", "n"), "h").select("doc_id", (F.col("times") * F.log("n")).alias("value"), *nothing("seen", "seen3", "words"))
+    parts = met.filter("h is null").select("doc_id", "value", "seen", "seen3", "words").union(rare)
+    sums = parts.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("seen").alias("n_seen"), F.sum("seen3").alias("n_seen3"), F.sum("value").alias("s"))
+    whole = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sums.select("doc_id", whole("n_words"), whole("n_seen"), whole("n_seen3"), F.round("s", 6).alias("score"), F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).otherwise(0.0).alias("mean_score"))

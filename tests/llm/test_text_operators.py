@@ -15,25 +15,36 @@ from quire.llm import packing as K
 from quire.llm import quality as Q
 
 
-@pytest.mark.parametrize("known", [N.KNOWN, 20])
-def test_backoff_scores_match_brute_force(corpus, texts, known):
+@pytest.mark.parametrize("known, heavy, least, share", [(N.KNOWN, N.HEAVY, 2, N.SHARE), (20, 0, 2, N.SHARE), (20, 30, 3, 1e-9), (0, N.HEAVY, 2, 1e-9), (N.KNOWN, 3, 20, 1e-9)])
+def test_backoff_scores_match_brute_force(corpus, texts, known, heavy, least, share, monkeypatch):
+    monkeypatch.setattr(N, "SHARE", share)
+    monkeypatch.setattr(N, "BUCKET_WORDS", 2000)
     docs = [(i, bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()) for i, t in texts]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for _, w in docs:
         one.update(w)
         two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
     total, want = sum(one.values()), {}
+
+    def value(w, k):
+        """(score, orders used) of the word at k."""
+        if k > 1 and three[tuple(w[k - 2 : k + 1])] >= least:
+            return math.log(three[tuple(w[k - 2 : k + 1])] / two[w[k - 2], w[k - 1]]), 3
+        back = math.log(0.4) if k > 1 else 0
+        if k and two[w[k - 1], w[k]] >= least:
+            return back + math.log(two[w[k - 1], w[k]] / one[w[k - 1]]), 2
+        return back + (math.log(0.4) if k else 0) + math.log(one[w[k]] / total), 1
+
     for i, w in docs:
-        s = math.log(one[w[0]] / total) if w else 0.0
-        seen = [(a, b) for a, b in zip(w, w[1:], strict=False) if two[a, b] >= 2]
-        s += sum(math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total) for a, b in zip(w, w[1:], strict=False))
-        n, k, x = want.get(i, (0, 0, 0.0))
-        want[i] = (n + len(w), k + len(seen), x + s)
-    rows = N.score(corpus, known=known).collect()
+        parts = [value(w, k) for k in range(len(w))]
+        n, k, k3, x = want.get(i, (0, 0, 0, 0.0))
+        want[i] = (n + len(w), k + sum(o > 1 for _, o in parts), k3 + sum(o > 2 for _, o in parts), x + sum(v for v, _ in parts))
+    rows = N.score(corpus, least=least, known=known, heavy=heavy).collect()
     assert {r.doc_id for r in rows} == set(want)
     for r in rows:
-        n, k, s = want[r.doc_id]
-        assert (r.n_words, r.n_seen) == (n, k) and r.score == pytest.approx(s, abs=1e-5)
+        n, k, k3, s = want[r.doc_id]
+        assert (r.n_words, r.n_seen, r.n_seen3) == (n, k, k3) and r.score == pytest.approx(s, abs=1e-5), (r, want[r.doc_id])
         assert r.mean_score == pytest.approx(s / n if n else 0, abs=1e-5)
 
 
