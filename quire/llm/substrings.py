@@ -12,8 +12,10 @@ at equal places, so whatever repeats meets at an anchor, and what lies LENGTH by
    Every occurrence outside the least document of its group is a repeat.
 3. A gram with very many surroundings is dealt over several tasks; the windows that these leave open meet by their hash.
 
-Matches never cross documents. Defined results: a null or empty text has no bytes; rows that share a doc_id are taken for
-copies of one text; a row without doc_id is compared with nothing and keeps all its bytes; an empty table gives no rows.
+Matches never cross documents. Surroundings count as equal if 96 bits of hashes and the length and place in them agree.
+Defined results: a null or empty text has no bytes; a very long text takes part whole; rows that share a doc_id are taken
+for copies of one text; a row without doc_id is compared with nothing and keeps all its bytes; columns besides doc_id and
+text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WINDOW = LENGTH - GRAM + 1
 SPLIT = 4096
 #: Bytes of text whose anchors one task compares among themselves before it sends them on.
 LOCAL = 10_000_000
+#: Bytes of the corpus for each bucket of anchors, of which a task holds one.
+BUCKET = 20_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -121,19 +125,12 @@ _DEALT = pa.schema([("bucket", pa.int32()), ("live", pa.int32()), *((c, pa.binar
 
 
 def _meet(batches):
-    """Of a bucket's anchors: what is repeated at once (key null), and what needs its surroundings compared."""
-    parts = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            doc = np.repeat(np.frombuffer(r["docs"], dtype=np.int64), np.frombuffer(r["runs"], dtype=np.uint32))
-            place = np.frombuffer(r["low"], dtype=np.uint16).astype(np.int64) | np.frombuffer(r["high"], dtype=np.uint32).astype(np.int64) << 16
-            n = r["live"]
-            parts.setdefault(r["bucket"], []).append((doc[:n], place[:n], np.frombuffer(r["gram"], dtype=np.uint32), np.frombuffer(r["around"], dtype=np.uint64)))
-            yield _rows(doc[n:], place[n:])
-    for bucket, held in parts.items():
+    """Of each bucket's anchors, one bucket at a time: what is repeated at once, what needs its surroundings compared (with a key), and for what one of these stands."""
+
+    def solve(bucket, held):
         doc, place, gram, around = (np.concatenate(x) for x in zip(*held, strict=True))
         if not len(doc):
-            continue
+            return
         order = np.lexsort((doc, around, gram))
         doc, place, gram, around = doc[order], place[order], gram[order], around[order]
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
@@ -146,16 +143,36 @@ def _meet(batches):
         size = np.diff(np.r_[start, len(doc)])
         apart = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
         kinds = np.add.reduceat(new_around.astype(np.int64), start)
-        members = np.add.reduceat((~beaten).astype(np.int64), start)
-        use = np.repeat(apart & (kinds > 1), size) & ~beaten
+        live = np.repeat(apart & (kinds > 1), size) & ~beaten
+        # What is left of one surroundings lies in one document: its first place stands for the others.
+        use, others = live & new_around, live & ~new_around
+        of = np.repeat(first, np.diff(np.r_[first, len(doc)]))
+        yield _rows(doc[others], place[others], stands=place[of[others]])
+        members = np.add.reduceat(new_around.astype(np.int64), start)
         pieces = np.repeat(-(-members // SPLIT), size)[use]
         salt = (mix(around[use]) % pieces.astype(np.uint64)).astype(np.int32)
         yield _rows(doc[use], place[use], (np.int64(bucket) << 32) | gram[use].astype(np.int64), np.where(pieces > 1, salt, -1).astype(np.int32))
 
+    now, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["bucket"] != now and held:
+                yield from solve(now, held)
+                held = []
+            now = r["bucket"]
+            doc = np.repeat(np.frombuffer(r["docs"], dtype=np.int64), np.frombuffer(r["runs"], dtype=np.uint32))
+            place = np.frombuffer(r["low"], dtype=np.uint16).astype(np.int64) | np.frombuffer(r["high"], dtype=np.uint32).astype(np.int64) << 16
+            n = r["live"]
+            held.append((doc[:n], place[:n], np.frombuffer(r["gram"], dtype=np.uint32), np.frombuffer(r["around"], dtype=np.uint64)))
+            if n < len(doc):
+                yield _rows(doc[n:], place[n:])
+    if held:
+        yield from solve(now, held)
+
 
-def _rows(doc, place, key=None, salt=None) -> pa.RecordBatch:
-    nothing = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), *(nothing if key is None else (pa.array(key), pa.array(salt)))], ["doc_id", "place", "key", "salt"])
+def _rows(doc, place, key=None, salt=None, stands=None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(doc), t) if x is None else pa.array(x) for x, t in ((key, pa.int64()), (salt, pa.int32()), (stands, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), *rest], ["doc_id", "place", "key", "salt", "stands"])
 
 
 def _squeeze(batches):
@@ -248,6 +265,7 @@ def _tree(batches):
         for i, (left, right) in most.items():
             doc, place = group[i][:2]
             out["doc_id"].append(doc)
+            out["place"].append(place)
             out["start"].append(place - left)
             out["end"].append(place + right)
             out["h1"].append(None)
@@ -263,12 +281,13 @@ def _tree(batches):
                         s = len(before) - o
                         h = np.frombuffer(hashlib.blake2b(whole[s : s + LENGTH], digest_size=16).digest(), dtype=np.int64)
                         out["doc_id"].append(doc)
+                        out["place"].append(place)
                         out["start"].append(place - o)
                         out["end"].append(place - o + LENGTH)
                         out["h1"].append(int(h[0]))
                         out["h2"].append(int(h[1]))
 
-    fields = ("doc_id", "start", "end", "h1", "h2")
+    fields = ("doc_id", "place", "start", "end", "h1", "h2")
     out = {c: [] for c in fields}
     for batch in batches:
         for key, salt, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "doc_id", "place", "left", "right")), strict=True):
@@ -322,18 +341,22 @@ def repeats(documents: DataFrame) -> DataFrame:
     docs = columns(documents, doc_id="long", text="string").filter("doc_id is not null")
     n = partitions(documents.sparkSession)
     schema = "bucket int, live int, docs binary, runs binary, low binary, high binary, gram binary, around binary"
-    dealt = docs.mapInArrow(_deal(n), schema).repartition(n, "bucket")
-    met = cut(dealt.mapInArrow(_meet, "doc_id long, place long, key long, salt int"))
-    at_once = met.filter("key is null").selectExpr("doc_id", f"greatest(0, place - {WINDOW - 1}) start", f"place + {LENGTH} end")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt = docs.mapInArrow(_deal(max(n, -(-size // BUCKET))), schema).repartition(n, "bucket").sortWithinPartitions("bucket")
+    met = cut(dealt.mapInArrow(_meet, "doc_id long, place long, key long, salt int, stands long"))
+    at_once = met.filter("key is null and stands is null").selectExpr("doc_id", f"greatest(0, place - {WINDOW - 1}) start", f"place + {LENGTH} end")
     asked = met.filter("key is not null").groupBy("doc_id").agg(F.collect_set(F.struct("key", "salt", "place")).alias("at"))  # as many as the text has anchors at most
     texts = docs.mapInArrow(_squeeze, "doc_id long, z binary")
     around = texts.join(asked, "doc_id").select("doc_id", "z", "at").mapInArrow(_surroundings, "key long, salt int, doc_id long, place long, left binary, right binary")
-    solved = cut(around.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_tree, "doc_id long, start long, end long, h1 long, h2 long"))
-    spans = solved.filter("h1 is null").select("doc_id", "start", "end")
+    solved = cut(around.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_tree, "doc_id long, place long, start long, end long, h1 long, h2 long"))
+    shape = "doc_id", "place", "start", "end"
+    spans = solved.filter("h1 is null").select(*shape)
     windows = solved.filter("h1 is not null")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    open_ = windows.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "start", "end")
-    return at_once.union(spans).union(open_)
+    decided = spans.union(windows.join(least, ["h1", "h2"]).filter("doc_id > least").select(*shape))
+    others = met.filter("stands is not null").selectExpr("doc_id", "stands place", "place - stands shift")
+    copied = others.join(decided, ["doc_id", "place"]).selectExpr("doc_id", "start + shift start", "end + shift end")
+    return at_once.union(decided.select("doc_id", "start", "end")).union(copied)
 
 
 def remove(documents: DataFrame) -> DataFrame:

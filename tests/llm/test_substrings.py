@@ -25,6 +25,7 @@ def brute(texts):
 @pytest.mark.parametrize("split", [4096, 2])
 def test_matches_brute_force(corpus, texts, split, monkeypatch):
     monkeypatch.setattr(S, "SPLIT", split)
+    monkeypatch.setattr(S, "BUCKET", 500 * split)
     want = brute(texts)
     rows = S.digest(S.remove(corpus)).collect()
     assert len(rows) == len(texts)
@@ -32,6 +33,16 @@ def test_matches_brute_force(corpus, texts, split, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("split", [4096, 1])
+def test_long_runs_of_one_character(spark, split, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT", split)
+    tail = "and then a sentence that both texts share, of more than fifty bytes"
+    rows = [(1, "x" * 30_000 + "ab" * 40 + tail), (2, "y" + "x" * 20_000 + "q"), (3, "ab" * 10_000 + "c" + tail), (4, "x" * 49 + "z" + "ab" * 24)]
+    want = brute(rows)
+    for r in S.digest(S.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
 def test_empty_table_and_missing_ids(spark, corpus):
     assert S.remove(corpus.limit(0)).count() == 0
     text = "a sentence of more than fifty bytes, the same in both rows of this table"
