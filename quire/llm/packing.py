@@ -2,10 +2,14 @@
 
 Lengths are counted in words (runs of anything but 0x20 and 0x09 to 0x0D). One global histogram of lengths, of bounded
 size because lengths above 1,024 share logarithmic bins, goes to the driver, where dynamic programming chooses the
-bucket boundaries that leave the least padding. Inside each bucket, batches fill a token budget of padded tokens.
+bucket boundaries that leave the least padding; above 1,024 words a boundary is the greatest length of its bin, which is
+less than 0.6 % from any length in it, so no more padding than that can be lost. Inside each bucket, batches fill a token
+budget of padded tokens.
 
 Defined results: a null or empty text has length 0 and lies in the first bucket; repeated rows each take a place of
-their own; a text longer than the budget is a batch of its own; an empty table gives no rows.
+their own; rows of one length are ordered by doc_id; a text longer than the budget is a batch of its own; of equally good
+boundaries the first counts; columns besides doc_id and text are ignored, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

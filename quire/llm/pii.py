@@ -6,8 +6,13 @@ may end where a plain one begins or go on in it, so a text has up to three such
 span found in the normalised text goes back to source characters. Such a span counts only if it holds something that was
 rewritten and doesn't lie within a base span of its kind; base spans always stay.
 
-Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives no rows.
-Spans are in code points, end exclusive.
+Bare at and dot are English; digits may be spelled in English, French, German or Spanish, and bracketed forms of at and
+dot in these too.
+
+Defined results: a null or empty text has no spans; a very long text takes time in proportion to its length; of spans of
+one kind that start together the longer one counts; repeated rows give repeated results; scanning ignores columns besides
+doc_id and text, and masking carries them along, whatever their names; an empty table gives no rows. Spans are in code
+points, end exclusive.
 """
 
 from __future__ import annotations
@@ -39,7 +44,15 @@ LOOKALIKES = {
     "․": ".", "。": ".", "‐": "-", "‑": "-", "−": "-", " ": " ",
 }
 INVISIBLE = "​‌‍⁠﻿­"
-DIGITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+# The digits from 0 to 9 in the corpus's languages, and the words for at and dot.
+SPELLED = [
+    ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"],
+    ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"],
+    ["null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"],
+    ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"],
+]
+AT, DOT = ["at", "arobase", "arroba"], ["dot", "point", "punkt", "punto"]
+DIGITS = {word: str(k) for words in SPELLED for k, word in enumerate(words)}
 
 
 @lru_cache(maxsize=1)
@@ -55,7 +68,7 @@ _ONE_DIGIT = re.compile(rf"(?i){_TOKEN}")
 #: A number of at least nine digits, spelled or not in any mix; the shortest phone number has nine.
 _NUMBER = re.compile(rf"(?i)(?:(?<![A-Za-z0-9])(plus[ ,-]{{1,2}}))?{_TOKEN}(?:[ ,.()-]{{0,3}}{_TOKEN}){{8,}}+")
 _OPEN, _CLOSE = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
-_BRACKETED = re.compile(rf"(?i){_OPEN}(at|dot){_CLOSE}")
+_BRACKETED = re.compile(rf"(?i){_OPEN}({'|'.join(AT + DOT)}){_CLOSE}")
 _DOT = r"(?:\.|[ ]{1,2}dot[ ]{1,2})"
 _PART = _TOKEN.replace("[0-9])", "(?<![0-9])[0-9]{1,3}(?![0-9]))")
 _ONE_PART = re.compile(rf"(?i){_PART}")
@@ -134,7 +147,7 @@ class Tape:
 
 
 def _digit(token: str) -> str:
-    return token if token.isdigit() else str(DIGITS.index(token.lower()))
+    return token if token.isdigit() else DIGITS[token.lower()]
 
 
 def _number_pieces(text: str, beside: bool) -> list[tuple[int, int, str]]:
@@ -232,8 +245,8 @@ def normalise(text: str) -> list[Tape]:
         table, pattern = _characters()
         tape.rewrite([(m.start(), m.end(), table[m[0]]) for m in pattern.finditer(text)])
     lower = _lower(tape.text)
-    if any(c in lower for c in "([{<") and ("at" in lower or "dot" in lower):
-        tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(tape.text)])
+    if any(c in lower for c in "([{<") and any(word in lower for word in (*AT, *DOT)):
+        tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in AT else ".") for m in _BRACKETED.finditer(tape.text)])
         lower = _lower(tape.text)
     readings, spelled = [tape], _beside(lower)
     if spelled or "plus " in lower or "plus-" in lower or "plus," in lower:

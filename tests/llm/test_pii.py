@@ -53,7 +53,7 @@ def test_disguises_map_back_to_source_characters():
 
 
 def test_clean_text_has_no_spans():
-    for text in ["look at the dot com", "see (at) the end", "one two three", "À la carte: été", "version 3.2", "4 at 5 dot 6", ""]:
+    for text in ["look at the dot com", "see (at) the end", "one two three", "À la carte: été", "version 3.2", "4 at 5 dot 6", "un, deux, trois", "dos o tres puntos", "null und acht", "el punto (at) final", ""]:
         assert P.spans_of(text) == []
 
 
@@ -80,6 +80,11 @@ def test_mixed_disguises_are_found():
         ("john at example.com", "email"),
         ("john@example dot com", "email"),
         ("john dot doe (at) mail.example dot com", "email"),
+        ("marie (arobase) exemple [point] fr", "email"),
+        ("juan [arroba] ejemplo (punto) es", "email"),
+        ("plus quatre neuf, trois zéro un deux trois quatre cinq six", "phone"),
+        ("+vier neun drei null eins zwei fünf sechs sieben acht", "phone"),
+        ("cuatro ocho cuatro cinco uno seis ocho uno uno cuatro cuatro cero siete tres dos nueve", "card"),
         ("one nine two dot one six eight dot zero dot one", "ip"),
         ("192 dot one six eight[dot]0.one", "ip"),
         ("192.168.zero.1", "ip"),

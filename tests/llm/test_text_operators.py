@@ -217,3 +217,20 @@ def test_quality_learns_and_holds_out(spark):
 def test_statistics_of_edge_texts():
     x = Q.statistics(pa.array([None, "", " ", "a", "é" * 10, "a" * 100_000, "\n\n"]))
     assert x.shape == (7, len(Q.STATISTICS)) and np.isfinite(x).all()
+
+
+def test_trees_agree_with_a_plain_walk():
+    pick = np.random.default_rng(5)
+    x = pick.standard_normal((300, 6))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] * x[:, 3] > 0)).astype(float)
+    model = Q.fit(x, y, trees=12, depth=3, bins=16)
+    scores = model.score(x)
+    for row, score in zip(x, scores, strict=True):
+        margin = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + math.exp(-margin)))
+    assert ((scores > 0.5) == (y > 0.5)).mean() > 0.75
