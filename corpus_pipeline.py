@@ -4,6 +4,12 @@ quality: documents that the classifier rejects go. near_duplicates: one document
 doc_id, stays. decontamination: documents with benchmark passages go. personal_data: spans are masked. packing: what is
 left is placed in length buckets and batches. Each result is written (by run() to the checkpoint folder) before the
 next stage reads it, so a lost executor costs at most the stage at hand.
+
+Defined results: a null or empty text is scored as one without words, has no near-duplicates, benchmark passages or
+personal data, and takes a place of its own if the classifier keeps it; a very long text goes through whole; a row
+without doc_id is never removed as a near-duplicate or for a benchmark passage; rows that share doc_id and text stay or go
+together; all stages but the last carry every column along, whatever its name; empty tables give no rows, and an empty
+labels or benchmark table leaves all documents in.
 """
 
 from __future__ import annotations
