@@ -22,14 +22,13 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  in_blocks uses it
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.llm.common import columns, cut, groups, hash_words, in_blocks, joined_bytes, mix, partitions
 from quire.llm.graph import components
 
 WORDS, HASHES, ROWS = 5, 128, 4
 BANDS = HASHES // ROWS
-#: Buckets from this size on get a central leader, found from at most so many of their members.
+#: Buckets from this size on get a central leader, found from about so many of their members, chosen by hash.
 LARGE, MAJORITY_OF = 8, 64
 #: Classes on a side of a block in which all are compared.
 BLOCK = 512
@@ -188,8 +187,8 @@ def _linked(documents: DataFrame, percent: int) -> DataFrame:
     bits = classes.select("id", "planes")
     leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     # Of a larger bucket, the member nearest to what most of some members have leads: it is likelier to link the others.
-    large = banded.join(leads.filter(f"n >= {LARGE}").select("band"), "band").join(bits, "id")
-    some = large.withColumn("rn", F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id")))).filter(f"rn <= {MAJORITY_OF}")
+    large = banded.join(leads.filter(f"n >= {LARGE}").select("band", "n"), "band").join(bits, "id")
+    some = large.filter(f"pmod(xxhash64(id, band), n) < {MAJORITY_OF}")
     middle = some.groupBy("band").agg(F.collect_list("planes").alias("all")).mapInArrow(_majority, "band long, planes array<long>")
     central = large.alias("a").join(middle.alias("b"), "band").groupBy("band").agg(F.expr(f"max_by(a.id, struct({similarity('a', 'b')}, -a.id)) central"))
     leads = leads.join(central, "band", "left").select("band", F.coalesce("central", "lead").alias("lead"))
