@@ -147,18 +147,21 @@ def stream_edit_log_replay(log: DataFrame, watermark: str = "1 day") -> DataFram
     )
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, batch by batch, under the shared folder.
+def batch_writer(path: str):
+    """For foreachBatch: each batch overwrites its own folder, so that one written again after a failure adds no rows."""
 
-    Each batch has a folder of its own that a retry overwrites, so no row is written twice.
-    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, batch by batch, under the shared folder."""
     spark = stream.sparkSession
     base = shared_folder(spark)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(batch_writer(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 

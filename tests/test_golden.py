@@ -326,6 +326,10 @@ def test_progress_and_time_outs_as_streams(spark, tmp_path):
 def test_drained_batches_survive_a_retry(spark, tmp_path):
     stream, _ = _event_files(spark, tmp_path)
     assert events.drain(stream.select("event_id")).count() == 40
+    write = events.batch_writer(f"{tmp_path}/out")
+    for number in (0, 1, 1):
+        write(spark.range(10), number)
+    assert spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().count() == 2 and spark.read.parquet(f"{tmp_path}/out").count() == 20
 
 
 def test_shared_folder_is_required_on_a_cluster(spark):
