@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import columns, cut, hash_words, in_blocks, joined_bytes, mix, partitions
 
 #: Bounds of what is broadcast: 16 bytes each.
-KNOWN, HEAVY = 262_144, 4096
+KNOWN, HEAVY = 524_288, 4096
 #: An n-gram with this share of a task's n-grams is a candidate for a heavy table.
 SHARE = 1 / 2000
 LOCAL = 8_000_000
+#: Documents whose sums a task adds up over its buckets before it passes them on.
+HELD = 500_000
 #: Words of the corpus for each bucket.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 2_000_000
 _MASK = np.uint64(2**48 - 1)
 _NULL = -(2**63)
 #: The side of a bigram that lies beyond its text.
@@ -122,6 +124,10 @@ class Model:
 
     def __init__(self, words, heavy, heavy3, total, least, backoff):
         (self.words, n_words), (self.heavy, self.n_heavy), (self.heavy3, self.n_heavy3) = words, heavy, heavy3
+        # By rank, frequent words have small numbers, which pack better than places in the table.
+        self.at_rank = np.argsort(-n_words, kind="stable")
+        self.rank = np.empty(len(n_words), dtype=np.uint32)
+        self.rank[self.at_rank] = np.arange(len(n_words))
         self.log_words, self.log_total, self.least, self.log_backoff = np.log(n_words), np.log(max(1, total)), least, np.log(backoff)
 
     def _log(self, word):
@@ -134,13 +140,28 @@ class Model:
 
 
 def _ids(model: Model, h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """32 bits by which the neighbours of one bigram are told apart: a known word's number, or bits of a rare word's hash."""
-    return np.where(known >= 0, known.astype(np.uint32), (h.astype(np.uint32) & np.uint32(2**30 - 1)) | np.uint32(2**31))
+    """32 bits by which the neighbours of one bigram are told apart: a known word's rank, or bits of a rare word's hash."""
+    number = model.rank[known] if len(model.words) else np.zeros(len(known), dtype=np.uint32)
+    return np.where(known >= 0, number, (h.astype(np.uint32) & np.uint32(2**30 - 1)) | np.uint32(2**31))
 
 
-def _packed(bucket: int, payload: dict) -> pa.RecordBatch:
-    packed = zstandard.compress(pickle.dumps(payload, 5), 1)
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "payload"])
+def _packed(bucket: int, payload: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The arrays, the bytes of one significance next to each other, compressed."""
+    planes = {k: (x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) for k, x in payload.items()}
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([zstandard.compress(pickle.dumps(planes, 5), 1)], pa.binary())], ["bucket", "payload"])
+
+
+def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for k, (kind, planes) in pickle.loads(zstandard.decompress(packed)).items():
+        size = np.dtype(kind).itemsize
+        out[k] = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return out
+
+
+def _add_up(rows: np.ndarray, x, n: int) -> np.ndarray:
+    """Sums of x (one value, or one for each row) by row number."""
+    return np.bincount(rows, np.broadcast_to(x, rows.shape), minlength=n)
 
 
 def _deal(model: Model, buckets: int):
@@ -152,14 +173,13 @@ def _deal(model: Model, buckets: int):
             known = _find(model.words, h)
             same = np.r_[False, row[1:] == row[:-1]] if k else np.zeros(0, dtype=bool)
             second = same & ~np.r_[False, same[:-1]] if k else same  # its bigram has no trigram before it
-            value, seen, seen3 = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            value, seen, seen3 = np.zeros(n), np.zeros(n), np.zeros(n)
             asks = []  # (documents, words, times) whose logarithms of counts are still to be added
 
-            def add(at, x, held, held3=None):
-                np.add.at(value, row[at], x)
-                np.add.at(seen, row[at], held)
-                if held3 is not None:
-                    np.add.at(seen3, row[at], held3)
+            def add(at, x, held, held3=0):
+                value[:] += _add_up(row[at], x, n)
+                seen[:] += _add_up(row[at], held, n)
+                seen3[:] += _add_up(row[at], held3, n)
 
             def score_two(at, counts):
                 """Score of the words at these places after the word before them, whose bigrams have these counts."""
@@ -194,6 +214,7 @@ def _deal(model: Model, buckets: int):
             ends3 = np.searchsorted(bucket3, np.arange(buckets + 1))
             # The remaining bigrams go to their buckets with the words on both sides.
             ids = _ids(model, h, known)
+            ranks = lambda x: model.rank[x] if len(x) else np.zeros(0, dtype=np.uint32)
             cold = two[hot[two] < 0]
             pair = pairs[hot[two] < 0]
             bucket = (pair % np.uint64(buckets)).astype(np.int32)
@@ -217,12 +238,12 @@ def _deal(model: Model, buckets: int):
                 who, local = np.unique(np.r_[row[i], row[at[t]]], return_inverse=True)
                 payload = {
                     "docs": docs[who], "doc": local[: len(i)].astype(np.uint32), "runs": np.diff(np.r_[u, len(i)]).astype(np.uint32),
-                    "lacks": np.packbits(lacks), "v": v[~lacks].astype(np.uint32), "w": w[~lacks].astype(np.uint32), "hv": h[i[u][lacks] - 1], "hw": h[i[u][lacks]],
+                    "lacks": np.packbits(lacks), "v": ranks(v[~lacks]), "w": ranks(w[~lacks]), "hv": h[i[u][lacks] - 1], "hw": h[i[u][lacks]],
                     "before": before[s], "after": after[s], "hot_before": hot_before[s].astype(np.int16), "hot_after": hot_after[s].astype(np.int16),
                     "doc3": local[len(i) :].astype(np.uint32), "key3": key[t], "left3": hot[at[t] - 1].astype(np.int16), "right3": hot[at[t]].astype(np.int16), "w3": known[at[t] - 1], "hw3": h[at[t] - 1],
                 }
                 yield _packed(b, payload)
-            done = {"docs": docs, "value": value, "seen": seen, "seen3": seen3, "words": count, "asks": tuple(np.concatenate(x) for x in zip(*asks, strict=True))}
+            done = {"docs": docs, "value": value, "seen": seen, "seen3": seen3, "words": count} | dict(zip(("ask_docs", "ask_h", "ask_times"), (np.concatenate(x) for x in zip(*asks, strict=True)), strict=True))
             yield _packed(-1, done)
 
     return run
@@ -265,13 +286,13 @@ def _meet(model: Model):
         start = np.cumsum([0, *(len(p["docs"]) for p in held)])
         docs = np.concatenate([p["docs"] for p in held])
         get = lambda c: np.concatenate([p[c] for p in held])
-        value, seen, seen3, asks = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64), []
+        value, seen, seen3, asks = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros(len(docs)), []
         v, w, hv, hw = [], [], [], []
         for p in held:
             n = len(p["runs"])
             lacks = np.unpackbits(p["lacks"], count=n).astype(bool)
             pv, pw, phv, phw = (np.zeros(n, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-            pv[~lacks], pw[~lacks], phv[lacks], phw[lacks] = p["v"], p["w"], p["hv"], p["hw"]
+            pv[~lacks], pw[~lacks], phv[lacks], phw[lacks] = model.at_rank[p["v"]], model.at_rank[p["w"]], p["hv"], p["hw"]
             if len(model.words):
                 phv[~lacks], phw[~lacks] = model.words[pv[~lacks]], model.words[pw[~lacks]]
             pv[lacks], pw[lacks] = _find(model.words, phv[lacks]), _find(model.words, phw[lacks])
@@ -281,9 +302,9 @@ def _meet(model: Model):
         doc, before, after = np.concatenate([p["doc"] + s for p, s in zip(held, start, strict=False)]).astype(np.int64), get("before"), get("after")
 
         def add(at, x, held2, held3=0):
-            np.add.at(value, at, x)
-            np.add.at(seen, at, held2)
-            np.add.at(seen3, at, held3)
+            value[:] += _add_up(at, x, len(docs))
+            seen[:] += _add_up(at, held2, len(docs))
+            seen3[:] += _add_up(at, held3, len(docs))
 
         def score_heavy(at, pairs, c, hc):
             """Backed off to a heavy bigram, which is always held, of the word c and the one after it."""
@@ -328,27 +349,42 @@ def _meet(model: Model):
             add(doc3[held3], np.log(n3[held3]) - np.log(model.n_heavy[left[held3]]), 1, 1)
             rows = np.flatnonzero(~held3)
             score_heavy(doc3[rows], right[rows], get("w3")[rows], get("hw3")[rows])
+        return [docs, value, seen, seen3], asks
+
+    def by_document(sums):
+        docs, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
         who, at = np.unique(docs, return_inverse=True)
-        add_up = lambda x: np.bincount(at, x, minlength=len(who))
-        yield _out(who, add_up(value), add_up(seen).astype(np.int64), add_up(seen3).astype(np.int64))
-        yield _asked(asks)
+        return [who, *(np.bincount(at, x, minlength=len(who)) for x in values)]
 
     def run(batches):
-        now, held = None, []
+        sums, held, now = [], [], None
+
+        def settle(last):
+            """Settle the bucket at hand; what it adds to the documents waits for that of other buckets."""
+            nonlocal sums, held
+            if held:
+                added, asks = solve(held)
+                held = []
+                yield _asked(asks)
+                sums.append(added)
+            if sums and (last or sum(len(s[0]) for s in sums) > HELD):
+                sums = [by_document(sums)]
+            if sums and (last or len(sums[0][0]) > HELD):
+                docs, value, seen, seen3 = sums.pop()
+                yield _out(docs, value, seen.astype(np.int64), seen3.astype(np.int64))
+
         for batch in batches:
             for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-                p = pickle.loads(zstandard.decompress(payload.as_py()))
+                p = _unpacked(payload.as_py())
                 if b == -1:
-                    yield _out(p["docs"], p["value"], p["seen"], p["seen3"], p["words"])
-                    yield _asked([p["asks"]])
+                    yield _out(p["docs"], p["value"], p["seen"].astype(np.int64), p["seen3"].astype(np.int64), p["words"])
+                    yield _asked([(p["ask_docs"], p["ask_h"], p["ask_times"])])
                     continue
-                if b != now and held:
-                    yield from solve(held)
-                    held = []
+                if b != now:
+                    yield from settle(False)
                 now = b
                 held.append(p)
-        if held:
-            yield from solve(held)
+        yield from settle(True)
 
     return run
 
