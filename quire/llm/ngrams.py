@@ -410,7 +410,7 @@ def score(documents: DataFrame, least: int = 2, backoff: float = 0.4, known: int
         heavy2, heavy3 = _top(exact, 1, heavy, least), _top(exact, 2, heavy, least)  # so every heavy n-gram is held
     model = Model(words, heavy2, heavy3, total, least, backoff)
     buckets = max(n, -(-total // BUCKET_WORDS))
-    dealt = docs.mapInArrow(_deal(model, buckets), "bucket int, payload binary").withColumn("at", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.floor(F.rand(1) * buckets).cast("int")))
+    dealt = docs.mapInArrow(_deal(model, buckets), "bucket int, payload binary").withColumn("at", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)).cast("int")))
     met = dealt.repartition(n, "at").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_meet(model), "doc_id long, value double, seen long, seen3 long, words long, h long, times long")
     met = cut(met)
     nothing = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
