@@ -153,8 +153,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
     return Trees(np.array(features), np.array(thresholds), np.array(leaves), base)
 
 
+#: Bytes of text at a time; the arrays over them take some sixty times as much.
+_BLOCK = 3_000_000
+
+
 def _statistics_of(batches):
-    for batch in in_blocks(batches):
+    for batch in in_blocks(batches, _BLOCK):
         x = statistics(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -182,7 +186,7 @@ def score(documents: DataFrame, model: Trees, column: str = "score") -> DataFram
     schema = StructType([*documents.schema.fields, StructField(column, DoubleType())])
 
     def scored(batches):
-        for batch in in_blocks(batches):
+        for batch in in_blocks(batches, _BLOCK):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column("text"))))], [*batch.schema.names, column])
 
     return documents.mapInArrow(scored, schema)
