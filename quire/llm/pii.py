@@ -176,10 +176,12 @@ def _octet_pieces(text: str) -> list[tuple[int, int, str]]:
         octets = [[(d.start(), d.end()) for d in _ONE_PART.finditer(text, m.start(g), m.end(g))] for g in (1, 3, 5, 7)]
         value = lambda ts: int("".join(_digit(text[a:b]) for a, b in ts))
         # What stands beside the address may be a number too: the outer octets give up digits until they fit.
-        while value(octets[0]) > 255:
+        while octets[0] and value(octets[0]) > 255:
             octets[0] = octets[0][1:]
-        while value(octets[3]) > 255:
+        while octets[3] and value(octets[3]) > 255:
             octets[3] = octets[3][:-1]
+        if not octets[0] or not octets[3]:
+            continue
         dots = [m.span(g) for g in (2, 4, 6)]
         plain = all(text[a].isdigit() for ts in octets for a, b in ts) and all(b - a == 1 for a, b in dots)
         if plain or any(value(ts) > 255 for ts in octets):

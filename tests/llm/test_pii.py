@@ -109,3 +109,21 @@ def test_mixed_disguises_in_clean_text_and_linear_time():
         assert P.spans_of(text) == [], text
     for text in ["one " * 50_000, "1 one" * 50_000, "a at b dot " * 20_000, "one dot " * 50_000, "x at a" * 50_000, "1" * 200_000 + "a one"]:
         P.spans_of(text)
+
+
+DISGUISES = ["one", "nine", "un", "sept", "neuf", "null", "fünf", "cero", "dos", "0", "7", "19", "255", "256", "999", "2026", " ", " ", "-", ".", ",", "(", ")", " dot ", "[dot]", " at ", "(at)", "@", "plus ", "+", "name", "host", "com", "é", "１", "\u200b", "\n", "Ｆ"]
+
+
+def test_any_mix_of_pieces_gives_sound_spans():
+    pick = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(pick.choice(DISGUISES) for _ in range(pick.randint(1, 24)))
+        spans = P.spans_of(text)
+        assert [s[:3] for s in spans if s[3]] == P.detect(text), text
+        assert all(0 <= a < b <= len(text) for _, a, b, _ in spans), text
+        assert P.mask(text) is not None
+
+
+def test_octets_out_of_range_are_no_address():
+    for text in ["1 dot two dot 3 dot 999", "999 dot two dot 3 dot 4", "un dot 2 dot 3 dot 256 7"]:
+        assert not [s for s in P.spans_of(text) if s[0] == P.KINDS.index("ip") and "999" in text[s[1] : s[2]]], text
