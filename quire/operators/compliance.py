@@ -66,7 +66,7 @@ _STRING = r"""("[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"\\s*+:?)"""
 def json_findings(df: DataFrame, key: str, column: str, fields: str = FIELDS, remarks: str = REMARKS) -> DataFrame:
     """key and finding: 'invalid JSON', or, of all nested keys and string values, 'internal record field' and 'internal operations in record'.
 
-    In valid JSON a quotation mark outside a string opens one, so its strings come one after another; escapes are resolved.
+    Null counts as invalid. In valid JSON a quotation mark outside a string opens one, so its strings come one after another; escapes are resolved.
     """
     quote = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
     # In brackets, what follows a value is an error too.
