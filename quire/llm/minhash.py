@@ -32,6 +32,8 @@ BANDS = HASHES // ROWS
 LARGE, MAJORITY_OF = 8, 64
 #: Classes on a side of a block in which all are compared.
 BLOCK = 512
+#: Tasks over which the members of one family are dealt.
+SALTS = 32
 _PICK = np.random.Generator(np.random.PCG64(2024))
 _A = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _PICK.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -206,7 +208,10 @@ def _linked(documents: DataFrame, percent: int) -> DataFrame:
     # Then, in families that are still apart, each class outside the largest component is compared with all, in blocks.
     placed = cut(families.select("id", F.col("component_id").alias("family")).join(seen, "id", "left").selectExpr("id", "family", "coalesce(component_id, id) c"))
     sizes = placed.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-    apart = placed.join(sizes.filter("n > n_main"), "family").join(bits, "id").join(sets, "id")
+    # A family may hold a third of all classes, so it is dealt over several tasks.
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    open_ = sizes.filter("n > n_main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    apart = salted.join(open_, ["family", "salt"]).drop("salt").join(bits, "id").join(sets, "id")
     apart = apart.selectExpr("id", "family", "c", "planes", "s", "c != main as minor", f"ceil((n - n_main) / {BLOCK}) qn", f"ceil(n / {BLOCK}) bn", "xxhash64(id) h")
     shares = "id", "family", "c", "planes", "s"
     asked = apart.filter("minor").selectExpr(*shares, "0 role", "pmod(h, qn) qb", "explode(sequence(0L, bn - 1)) bb")
