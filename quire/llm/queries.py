@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, embeddings, licenses, minhash, ngrams, packing, pii, secrets, substrings
+from quire.llm import decontaminate, embeddings, licenses, minhash, ngrams, packing, pieces, pii, secrets, substrings
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -47,6 +47,13 @@ def op10_quality_classifier(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model), model))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -54,7 +61,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_backoff_score, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_backoff_score, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, op13_sentencepiece, pipeline)}
 
 
 def oracle_sql():
