@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, embeddings, licenses, minhash, ngrams, packing, pieces, pii, secrets, substrings
+from quire.llm import decontaminate, embeddings, licenses, minhash, negatives, ngrams, packing, pieces, pii, secrets, substrings, trie
 from quire.llm.common import read
 from quire.llm.quality import quality
 
@@ -47,6 +47,14 @@ def op10_quality_classifier(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.mine(negatives.relabelled(read(spark, sf_dir, "embeddings")))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    return trie.digest(*trie.nodes(*trie.rebuilt(trie.ordered(read(spark, sf_dir, "conversations")))))
+
+
 def op13_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
@@ -61,7 +69,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_backoff_score, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, op13_sentencepiece, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_backoff_score, op3_embedding_near_duplicates, op4_decontamination, op5_minhash_near_duplicates, op6_substring_dedup, op7_packing, op8_license_scan, op9_pii, op10_quality_classifier, op11_hard_negatives, op12_conversation_trie, op13_sentencepiece, pipeline)}
 
 
 def oracle_sql():
@@ -71,4 +79,6 @@ def oracle_sql():
         "op5_minhash_near_duplicates": minhash.ORACLE,
         "op6_substring_dedup": substrings.ORACLE,
         "op8_license_scan": licenses.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
+        "op12_conversation_trie": trie.ORACLE,
     }
