@@ -42,7 +42,9 @@ _SYMBOLS = 1 << 24
 #: Chunks of up to 32 characters are merged in lock step, with others of about their length; longer ones (0) by a heap.
 _LENGTH = [next(m for m in (6, 9, 12, 20, 32) if n <= m) for n in range(33)] + [0]
 #: A worker keeps the parts of texts that it has met until they hold so many characters.
-KEPT_CHARS = 8_000_000
+KEPT_CHARS = 4_000_000
+#: Bytes of text that are encoded at a time, or numbers of ids decoded.
+BLOCK = 1_500_000
 
 
 def _fields(data: bytes):
@@ -91,7 +93,7 @@ class Vocabulary:
         self.ranks = {t: order[scores[i]] for t, i in self.ids.items()}
         byte_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == _BYTE}
         self.byte_ids = np.array([byte_ids[b] for b in range(256)])
-        self._of_char = len(texts) + np.arange(0x110000)
+        self._of_char = (len(texts) + np.arange(0x110000)).astype(np.int32)
         for t, i in self.ids.items():
             if len(t) == 1:
                 self._of_char[ord(t)] = i
@@ -270,7 +272,7 @@ def encode(documents: DataFrame, model: str, check: bool = False) -> DataFrame:
 
     def run(batches):
         vocabulary = _vocabulary(name)
-        for batch in in_blocks(batches, 4_000_000):
+        for batch in in_blocks(batches, BLOCK):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, offsets = vocabulary.encode(texts)
             if check:
@@ -282,19 +284,27 @@ def encode(documents: DataFrame, model: str, check: bool = False) -> DataFrame:
     return columns(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _slices(batches):
+    """Arrow batches cut into pieces of about BLOCK ids."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column("ids")), 0).to_numpy().astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1), len(sizes)]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 def decode(tokens: DataFrame, model: str, check: bool = False) -> DataFrame:
     """doc_id, ids and the decoded text of each row."""
     name = _added(tokens.sparkSession, model)
 
     def run(batches):
         vocabulary = _vocabulary(name)
-        for batch in batches:
+        for batch in _slices(batches):
             column = batch.column("ids")
-            ids, sizes = np.asarray(column.flatten(), dtype=np.int64), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
-            ends = np.cumsum(sizes)
-            texts = [vocabulary.decode(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+            ids, sizes = column.flatten().to_numpy(), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+            rows = [ids[e - n : e] for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+            texts = list(map(vocabulary.decode, rows))
             if check:
-                for k, want in enumerate(_library(name).decode([ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)], num_threads=1)):
+                for k, want in enumerate(_library(name).decode([r.tolist() for r in rows], num_threads=1)):
                     if texts[k] != want:
                         raise ValueError(f"the sentencepiece library decodes the ids of document {batch.column('doc_id')[k]} otherwise")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
