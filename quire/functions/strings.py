@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: White space of all scripts in DuckDB's expressions; in Spark's it is (?U)\\s.
+SPACE = r"[\x09-\x0D\x{85}\p{Z}]"
+INK = r"[^\x09-\x0D\x{85}\p{Z}]"
 #: Runs of letters, marks, digits and underscores, for use within a SQL string.
 WORD = r"[\\p{L}\\p{M}\\p{N}_]+"
 
@@ -23,17 +26,6 @@ def norm_text(column):
     return F.trim(F.regexp_replace(nfc(column), r"(?U)\s+", " "))
 
 
-def edit_distance(a: str, b: str, limit: int = 64) -> str:
-    """SQL: character edit distance, or -1 beyond the limit, which keeps the cost linear in the length."""
-    return f"if({a} = {b}, 0, levenshtein({a}, {b}, {limit}))"
-
-
-def whole_edit_distance(a: str, b: str, first: int = 64) -> str:
-    """SQL: character edit distance; the limit rises eightfold until it holds, so the cost follows length times distance."""
-    rising = f"aggregate(array({', '.join(str(first * 8**k) for k in range(1, 4))}), levenshtein({a}, {b}, {first}), (d, k) -> if(d = -1, levenshtein({a}, {b}, k), d), d -> if(d = -1, levenshtein({a}, {b}), d))"
-    return f"if({a} = {b}, 0, {rising})"
-
-
 def split_columns(columns: str) -> list[str]:
     """The top-level, comma-parted items of a select list."""
     out, depth, item, quoted = [], 0, "", False

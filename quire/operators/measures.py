@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.asof import asof
 from quire.sources.tables import table
 
 
@@ -43,7 +44,8 @@ def peak_memory(samples: DataFrame, group: str, tick: str, value: str) -> DataFr
 
 
 def run_medians(runs: DataFrame, key: str, value: str) -> DataFrame:
-    return runs.groupBy(key).agg(F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
+    """Median and number of each key's runs; see latency_percentiles for how."""
+    return latency_percentiles(runs, key, value).select(key, "median", "n")
 
 
 def check_rollup(checks: DataFrame, group: str) -> DataFrame:
@@ -97,51 +99,51 @@ def view_history(views: DataFrame, key: str, order: list[str], same, keep: int =
 
 
 def nearest_sample(marks: DataFrame, samples: DataFrame, key: str, tolerance_s: float) -> DataFrame:
-    """marks: key, mark_id, ts. samples: key, sample_id, ts. The nearest sample within the tolerance, the earlier on ties.
+    """marks: key, mark_id, ts. samples: key, sample_id, ts. The nearest sample within the tolerance, the earlier on ties, of one time the least id.
 
-    Time is cut into buckets as long as the tolerance, so a mark meets only its own and the two adjacent buckets; a mark
-    without a sample stays, with null.
+    A mark without such a sample stays, with null.
     """
     us = int(tolerance_s * 1e6)
-    m = marks.selectExpr(key, "mark_id", "unix_micros(ts) at", f"explode(transform(array(-1, 0, 1), x -> x + unix_micros(ts) div {us})) bucket")
-    n = samples.selectExpr(key, "sample_id", "unix_micros(ts) s_at", f"unix_micros(ts) div {us} bucket")
-    near = m.join(n, [key, "bucket"]).filter(f"abs(s_at - at) <= {us}")
-    best = near.groupBy("mark_id").agg(F.min(F.struct(F.abs(F.col("s_at") - F.col("at")).alias("d"), "s_at", "sample_id")).alias("b"))
-    return marks.select(key, "mark_id").join(best, "mark_id", "left").selectExpr(key, "mark_id", "b.sample_id", "b.d / 1000 distance_ms")
+    at = samples.groupBy(key, F.unix_micros("ts").alias("at")).agg(F.min("sample_id").alias("sample_id"))
+    met = asof(marks.select(key, "mark_id", F.unix_micros("ts").alias("at")), at, [key], "at", 64 * max(us, 1))
+    near = met.selectExpr(key, "mark_id", f"if(at - before.at <= {us}, struct(at - before.at d, before.sample_id), null) b", f"if(after.at - at <= {us}, struct(after.at - at d, after.sample_id), null) a")
+    return near.selectExpr(key, "mark_id", "if(a is null or b.d <= a.d, b, a) n").selectExpr(key, "mark_id", "n.sample_id", "n.d / 1000 distance_ms")
 
 
-def physical_lines(characters: DataFrame, key: list[str], schema: str) -> DataFrame:
-    """characters: key, idx, ch, y0, y1 (null y: no box) -> key, line_no, text, first, last.
+def physical_lines(characters: DataFrame, key: list[str]) -> DataFrame:
+    """characters: key, idx, ch, x0, y0, x1, y1 (null: no box) -> key, line_no, text, first, last and the line's box.
 
     A line ends at a newline or carriage return, or before an inked box that lies wholly above or below the extent of the
     current line, which each such box widens; boxes that touch belong together, and lines without a box are dropped. The
-    extent restarts with each line, so this is a fold over a page.
+    extent restarts with each line, so this is a fold over a page. A line's box is the union of its inked boxes.
     """
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("idx")
-        rows, chars, lo, hi = [], [], None, None
+        rows, chars, boxes = [], [], []
 
         def end():
-            if lo is not None:
-                rows.append((*(page[k].iloc[0] for k in key), len(rows), "".join(c for _, c in chars), chars[0][0], chars[-1][0]))
+            if boxes:
+                x0, y0, x1, y1 = zip(*boxes, strict=True)
+                rows.append((*(page[k].iloc[0] for k in key), len(rows), "".join(c for _, c in chars), chars[0][0], chars[-1][0], min(x0), min(y0), max(x1), max(y1)))
             chars.clear()
+            boxes.clear()
 
-        for i, ch, y0, y1 in zip(page["idx"], page["ch"], page["y0"], page["y1"], strict=True):
+        low = high = None
+        for i, ch, *box in page.sort_values("idx")[["idx", "ch", "x0", "y0", "x1", "y1"]].itertuples(index=False):
             if ch in ("\r", "\n"):
                 end()
-                lo = hi = None
                 continue
-            if ch.strip() and pd.notna(y0) and pd.notna(y1):
-                if lo is not None and (y1 < lo or y0 > hi):
+            if ch.strip() and not any(map(pd.isna, box)):
+                if boxes and (box[3] < low or box[1] > high):
                     end()
-                    lo = hi = None
-                lo, hi = (y0, y1) if lo is None else (min(lo, y0), max(hi, y1))
+                low, high = (box[1], box[3]) if not boxes else (min(low, box[1]), max(high, box[3]))
+                boxes.append(box)
             chars.append((int(i), ch))
         end()
-        return pd.DataFrame(rows, columns=[*key, "line_no", "text", "first", "last"])
+        return pd.DataFrame(rows, columns=[*key, "line_no", "text", "first", "last", "x0", "y0", "x1", "y1"])
 
-    return characters.groupBy(*key).applyInPandas(fold, schema)
+    keys = ", ".join(f"{k} {characters.schema[k].dataType.simpleString()}" for k in key)
+    return characters.groupBy(*key).applyInPandas(fold, f"{keys}, line_no int, text string, first int, last int, x0 double, y0 double, x1 double, y1 double")
 
 
 def _views(s, d):

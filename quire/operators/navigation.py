@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.numbers import ROMAN, number_text
 from quire.functions.strings import split_columns
+from quire.operators.asof import asof
 from quire.operators.layout import page_label_text
 from quire.sources.sinks import written
 from quire.sources.tables import table
@@ -18,16 +19,14 @@ from quire.sources.tables import table
 def label_pages(pages: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """pages: key, page. ranges: key, start_page, style, prefix, start_number. Each page takes the last range at or before it.
 
-    A range ends where the next one starts, valid or not; one that starts outside the document or with a number below 1
-    labels nothing. A page without a range, or whose number its style can't write, has an empty label.
+    A range ends where the next one starts, valid or not; one that starts before the document or with a number below 1
+    labels nothing. Of ranges with one start, the greatest by style, prefix and number counts. A page without a range, or
+    whose number its style can't write, has an empty label.
     """
-    sizes = pages.groupBy(key).agg(F.max("page").alias("last_page"))
-    until = F.lead("start_page").over(Window.partitionBy(key).orderBy("start_page"))
-    spans = ranges.select(key, "start_page", "style", "prefix", "start_number", until.alias("until")).join(sizes, key)
-    spans = spans.filter("start_page between 0 and last_page and start_number >= 1").drop("last_page")
-    both = pages.alias("p").join(spans.alias("r"), F.expr(f"p.{key} = r.{key} and p.page >= r.start_page and (r.until is null or p.page < r.until)"), "left")
-    number = number_text("r.style", "(p.page - r.start_page + r.start_number)")
-    return both.selectExpr(f"p.{key} {key}", "p.page page", f"coalesce(concat(coalesce(r.prefix, ''), {number}), '') label")
+    starts = ranges.groupBy(key, F.col("start_page").alias("page")).agg(F.max(F.struct("style", "prefix", "start_number")).alias("r")).selectExpr(key, "page", "r.*")
+    met = asof(pages.select(key, "page"), starts, [key], "page", 4096).selectExpr(key, "page", "if(before.page >= 0 and before.start_number >= 1, before, null) r")
+    number = number_text("r.style", "(page - r.page + r.start_number)")
+    return met.selectExpr(key, "page", f"coalesce(concat(coalesce(r.prefix, ''), {number}), '') label")
 
 
 #: SQL over kind, page, n_pages, x0, y0, x1, y1, zoom: the notice of an unusable destination, in the order of the checks.
@@ -105,8 +104,7 @@ def _ranges(s, d):
     for start, style, prefix, number in _RANGES:
         r = convs.selectExpr("conv_id", f"cast({start} as bigint) start_page", f"{style} style", f"{prefix.replace('{string}', 'string')} prefix", f"cast({number} as bigint) start_number")
         out = r if out is None else out.union(r)
-    # Ranges of one start: the later one counts.
-    return out.groupBy("conv_id", "start_page").agg(F.max_by(F.struct("style", "prefix", "start_number"), "style").alias("r")).select("conv_id", "start_page", "r.*")
+    return out
 
 
 def _label_sql():
@@ -118,12 +116,7 @@ def _label_sql():
 v as (select *, lead(start_page) over (partition by conv_id order by start_page) until from r1),
 w as (select v.* from v join (select conv_id, max(turn) last_page from conversations group by 1) using (conv_id) where start_page between 0 and last_page and start_number >= 1),
 j as (select c.conv_id, c.turn page, style, coalesce(prefix, '') prefix, c.turn - start_page + start_number n from conversations c left join w on c.conv_id = w.conv_id and c.turn >= start_page and (until is null or c.turn < until))
-select conv_id, page, coalesce(concat(prefix, case style when 'D' then cast(n as varchar) when 'R' then case when n between 1 and 100000 then {rom} end when 'r' then case when n between 1 and 100000 then lower({rom}) end when 'A' then case when n between 1 and 2600 then {let} end when 'a' then case when n between 1 and 2600 then lower({let}) end else case when style is not null then '' end end), '') as label from j"""
-
-
-def _label_fix(sql: str) -> str:
-    """DuckDB's concat skips nulls; an unwritable number must leave the whole label empty."""
-    return sql.replace("coalesce(concat(prefix, case", "coalesce(prefix || (case").replace("end end), '') as label", "end end), '') as label")
+select conv_id, page, coalesce(prefix || (case style when 'D' then cast(n as varchar) when 'R' then case when n between 1 and 100000 then {rom} end when 'r' then case when n between 1 and 100000 then lower({rom}) end when 'A' then case when n between 1 and 2600 then {let} end when 'a' then case when n between 1 and 2600 then lower({let}) end else case when style is not null then '' end end), '') as label from j"""
 
 
 _DEST = "event_id, case k % 7 when 0 then 'XYZ' when 1 then 'Fit' when 2 then 'FitH' when 3 then 'FitV' when 6 then 'Other' else 'FitR' end kind, cast(k - 3 as bigint) page, 90 n_pages, {inf} x0, cast(k as double) y0, case when k % 4 = 1 then null else value end x1, cast(60 as double) y1, {zoom} zoom"
@@ -136,10 +129,10 @@ def _destinations(s, d):
 
 
 QUERIES = {
-    "label_pages": (lambda s, d: label_pages(table(s, d, "conversations").selectExpr("conv_id", "turn page"), _ranges(s, d), "conv_id"), _label_fix(_label_sql())),
+    "label_pages": (lambda s, d: label_pages(table(s, d, "conversations").selectExpr("conv_id", "turn page"), _ranges(s, d), "conv_id"), _label_sql()),
     "page_label_text": (
         lambda s, d: label_pages(table(s, d, "conversations").selectExpr("conv_id", "turn page"), _ranges(s, d), "conv_id").selectExpr("conv_id", "page", f"{page_label_text('label', 'page')} description"),
-        f"select conv_id, page, case when label <> '' then concat(label, ' (', page + 1, ')') else cast(page + 1 as varchar) end description from ({_label_fix(_label_sql())})",
+        f"select conv_id, page, case when label <> '' then concat(label, ' (', page + 1, ')') else cast(page + 1 as varchar) end description from ({_label_sql()})",
     ),
     "destination_valid": (
         lambda s, d: _destinations(s, d).selectExpr("event_id", f"{DESTINATION_NOTICE} notice", f"if({DESTINATION_NOTICE} is null, page, null) page"),

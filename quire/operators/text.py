@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import running_sums
-from quire.functions.strings import WORD, norm_text, whole_edit_distance
+from quire.functions.sequences import diff, edit_distances
+from quire.functions.strings import SPACE, WORD, norm_text
 from quire.sources.tables import table
 
 
@@ -20,11 +22,10 @@ def page_text(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.expr(r"listagg(text, '\n') within group (order by turn)").alias("text"))
 
 
-def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: str = "got", limits: dict[str, float] | None = None, limit: int = 64) -> DataFrame:
-    """Edit distance over reference length by group, over all lines (`limit` is only the first one tried); null where the group has no reference."""
-    # The filter looks at the sides, not at the distance, which Spark would otherwise compute once for it and once for the sum.
-    rows = pairs.filter(f"{reference} is not null and {output} is not null").withColumn("d", F.expr(whole_edit_distance(reference, output, limit)))
-    sums = rows.groupBy(group).agg(F.sum("d").alias("edits"), F.sum(F.length(reference)).alias("n_ref"))
+def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: str = "got", limits: dict[str, float] | None = None) -> DataFrame:
+    """Edit distance over reference length by group, over all lines; null where the group has no reference."""
+    rows = pairs.filter(f"{reference} is not null and {output} is not null").select(group, F.length(reference).alias("n"), edit_distances(reference, output).alias("d"))
+    sums = rows.groupBy(group).agg(F.sum("d").alias("edits"), F.sum("n").alias("n_ref"))
     out = sums.withColumn("rate", F.expr("try_divide(edits, n_ref)"))
     if limits:
         most = F.coalesce(*(F.when(F.col(group) == k, F.lit(v)) for k, v in limits.items()), F.lit(0.02))
@@ -34,10 +35,32 @@ def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: st
 
 def word_diff(pairs: DataFrame, key: str, reference: str, output: str) -> DataFrame:
     """Words that occur more often on one side, with the signed difference (output less reference); order isn't kept."""
-    sides = pairs.selectExpr(key, rf"explode(concat(transform(split({reference}, '\\s+'), w -> struct(w word, -1 n)), transform(split({output}, '\\s+'), w -> struct(w word, 1 n)))) x")
+    sides = pairs.selectExpr(key, rf"explode(concat(transform(split({reference}, '(?U)\\s+'), w -> struct(w word, -1 n)), transform(split({output}, '(?U)\\s+'), w -> struct(w word, 1 n)))) x")
     return sides.selectExpr(key, "x.word word", "x.n n").filter("word <> ''").groupBy(key, "word").agg(F.sum("n").alias("diff")).filter("diff <> 0")
 
 
+def _scripts(batches):
+    schema = None
+    for batch in batches:
+        key, a, b = (batch.column(k) for k in range(3))
+        rows = [(k, n, what, p, q, r, s, " ".join(x[p:q] if what == "deleted" else y[r:s]) if what != "equal" else None) for k, x, y in zip(key.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True) for n, (what, p, q, r, s) in enumerate(diff(x, y))]
+        schema = schema or pa.schema([pa.field("key", key.type), ("run", pa.int32()), ("kind", pa.string()), *((c, pa.int32()) for c in ("from_ref", "to_ref", "from_out", "to_out")), ("words", pa.string())])
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+
+def word_script(pairs: DataFrame, key: str, reference: str, output: str) -> DataFrame:
+    """A shortest edit script of each page's words, as runs in order.
+
+    key, run (from 0), kind (equal, deleted or inserted), the word places from and to (exclusive) on either side, and the
+    words deleted or inserted. Words are what white space parts; null counts as a page without words. Between two equal runs
+    the deleted words come first.
+    """
+    words = lambda c: F.expr(rf"filter(split(coalesce({c}, ''), '(?U)\\s+'), w -> w <> '')")
+    kind = pairs.select(key).schema[0].dataType.simpleString()
+    runs = pairs.select(F.col(key).alias("key"), words(reference).alias("a"), words(output).alias("b")).mapInArrow(_scripts, f"key {kind}, run int, kind string, from_ref int, to_ref int, from_out int, to_out int, words string")
+    return runs.withColumnRenamed("key", key)
+
+
 def grapheme_starts(documents: DataFrame, *key: str) -> DataFrame:
     """The offsets at which grapheme clusters start."""
     key = key or ("doc_id",)
@@ -82,30 +105,40 @@ def _pairs(s, d):
     return explode_lines(table(s, d, "documents")).selectExpr("*", f"{MUTATED} got")
 
 
+def _texts(s, d):
+    return table(s, d, "documents").selectExpr("doc_id", "text", f"{MUTATED.replace('line', 'text')} got")
+
+
 _LINES = "lines as (select doc_id, lang, unnest(range(len(parts))) line_no, parts from (select doc_id, lang, string_split(text, chr(10)) parts from documents))"
 _LINE = f"{_LINES}, line as (select doc_id, lang, cast(line_no as integer) line_no, parts[line_no + 1] line from lines)"
 _AFTER = "if(conv_id % 5 = 0 and turn = 1, concat(text, '.'), text) text"
-_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array({}, '" + SPACE.replace("{", "{{").replace("}", "}}") + "+'), lambda w: w <> '')"
 
 QUERIES = {
     "explode_lines": (lambda s, d: explode_lines(table(s, d, "documents")), f"with {_LINE} select doc_id, line_no, line from line"),
     "page_text": (lambda s, d: page_text(table(s, d, "conversations")), "select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id"),
     "norm_text": (
         lambda s, d: table(s, d, "documents").select("doc_id", norm_text(F.col("text")).alias("t")).selectExpr("doc_id", "length(t) n_norm", "md5(t) norm_md5"),
-        r"select doc_id, cast(length(t) as integer) n_norm, md5(t) norm_md5 from (select doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) t from documents)",
+        f"select doc_id, cast(length(t) as integer) n_norm, md5(t) norm_md5 from (select doc_id, trim(regexp_replace(nfc_normalize(text), '{SPACE}+', ' ', 'g')) t from documents)",
     ),
     "edit_distance": (
-        lambda s, d: _pairs(s, d).filter("line <> got").selectExpr("doc_id", "line_no", f"{whole_edit_distance('line', 'got', 100)} distance"),
-        f"with {_LINE} select doc_id, line_no, cast(levenshtein(line, {MUTATED}) as integer) distance from line where line <> {MUTATED}",
+        lambda s, d: _pairs(s, d).filter("line <> got").select("doc_id", "line_no", edit_distances("line", "got").alias("distance")),
+        f"with {_LINE} select doc_id, line_no, levenshtein(line, {MUTATED}) distance from line where line <> {MUTATED}",
     ),
     "cer_by_group": (
-        lambda s, d: error_rate(explode_lines(table(s, d, "documents").join(table(s, d, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id"), "lang").selectExpr("*", f"{MUTATED} got"), "lang", limits={"en": 0.01}, limit=100),
+        lambda s, d: error_rate(explode_lines(table(s, d, "documents").join(table(s, d, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id"), "lang").selectExpr("*", f"{MUTATED} got"), "lang", limits={"en": 0.01}),
         f"with {_LINE}, e as (select lang, sum(levenshtein(line, {MUTATED})) edits, sum(length(line)) n_ref from line where doc_id in (select doc_id from labels where quality = 1) group by lang) select lang, cast(edits as bigint) edits, cast(n_ref as bigint) n_ref, edits / n_ref rate, case when edits / n_ref <= case when lang = 'en' then 0.01 else 0.02 end then 'PASS' else 'FAIL' end status from e",
     ),
     "word_diff": (
         lambda s, d: word_diff(_pairs(s, d), "doc_id", "line", "got"),
         rf"with {_LINE}, w as (select doc_id, unnest({_WORDS.format('line')}) word, -1 n from line union all select doc_id, unnest({_WORDS.format(MUTATED)}), 1 from line) select doc_id, word, cast(sum(n) as bigint) as diff from w group by all having sum(n) <> 0",
     ),
+    "word_script": (lambda s, d: word_script(_texts(s, d), "doc_id", "text", "got"), None),
+    # No stand-in word occurs in the reference, so as many words are equal as stand in their old places.
+    "word_script_counts": (
+        lambda s, d: word_script(_texts(s, d), "doc_id", "text", "got").groupBy("doc_id").agg(*(F.expr(f"coalesce(sum(if(kind = '{k}', {n}, 0)), 0L) n_{k}") for k, n in (("equal", "to_ref - from_ref"), ("deleted", "to_ref - from_ref"), ("inserted", "to_out - from_out")))),
+        f"with w as (select doc_id, {_WORDS.format('text')} a, {_WORDS.format(MUTATED.replace('line', 'text'))} b from documents), c as (select doc_id, cast(len(list_filter(range(1, len(a) + 1), lambda i: a[i] = b[i])) as bigint) e, len(a) n from w where len(a) > 0) select doc_id, e n_equal, n - e n_deleted, n - e n_inserted from c",
+    ),
     "grapheme_starts": (
         lambda s, d: grapheme_starts(table(s, d, "conversations").selectExpr("conv_id * 1000 + turn doc_id", "text")).selectExpr("doc_id", "size(starts) n_graphemes", "starts[size(starts) - 1] last_start", "md5(array_join(starts, ',')) starts_md5"),
         "select conv_id * 1000 + turn doc_id, cast(length_grapheme(text) as integer) n_graphemes, cast(length(text) - 1 as integer) last_start, md5(array_to_string(range(length(text)), ',')) starts_md5 from conversations",

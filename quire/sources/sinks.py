@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,75 @@ def publish_verified(df: DataFrame, target: str, expected: tuple[int, int] | Non
         fs.delete(stage, True)
 
 
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless there is one; whether it was created. Of several that try at once, one succeeds."""
+    fs, p, jvm = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    content = bytearray(text.encode())
+    try:
+        if fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            options = spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 2)
+            options[0], options[1] = jvm.java.nio.file.StandardOpenOption.CREATE_NEW, jvm.java.nio.file.StandardOpenOption.WRITE
+            jvm.java.nio.file.Files.write(jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)), content, options)
+        else:
+            out = fs.create(p, False)
+            out.write(content)
+            out.close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def published_versions(spark: SparkSession, target: str) -> dict[int, str]:
+    """The folders of a target's versions. A pointer that isn't written to its end doesn't count yet."""
+    fs, p, jvm = _fs(spark, f"{target}/_versions")
+    if not fs.exists(p):
+        return {}
+    out = {}
+    for status in fs.listStatus(p):
+        if status.getPath().getName().isdigit():
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if text.endswith("\n"):
+                out[int(status.getPath().getName())] = text.strip()
+    return out
+
+
+def publish_version(df: DataFrame, target: str, expected: int | None) -> int:
+    """Publish the rows as the version after `expected` (None: the first): no data is moved, so it is safe on object stores too.
+
+    The rows go to a folder of their own and are read back; then a pointer file with the next number is created unless it is
+    there. Of publishers that saw the same version one wins; the others get a conflict, their folders are deleted, and readers
+    never see part of a version. A publisher that dies between the creation and the end of its pointer leaves an unfinished
+    one, which readers pass over and which has to be deleted before that number can be published.
+    """
+    spark = df.sparkSession
+    if max(published_versions(spark, target), default=None) != expected:
+        raise PublishConflict(f"{target} changed since it was read")
+    name = uuid.uuid4().hex
+    folder, number = f"{target}/data/{name}", 1 if expected is None else expected + 1
+    fs, p, _ = _fs(spark, folder)
+    try:
+        df.write.mode("errorifexists").parquet(folder)
+        if fingerprint(spark.read.schema(df.schema).parquet(folder)) != fingerprint(df):
+            raise PublishConflict(f"{folder} did not read back as it was written")
+        if not _put_if_absent(spark, f"{target}/_versions/{number}", f"{name}\n"):
+            raise PublishConflict(f"version {number} of {target} was published meanwhile")
+    except BaseException:
+        fs.delete(p, True)
+        raise
+    return number
+
+
+def read_published(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """The newest version of a target, or the one asked for; it stays as it is whatever is published meanwhile."""
+    versions = published_versions(spark, target)
+    return spark.read.parquet(f"{target}/data/{versions[max(versions) if version is None else version]}")
+
+
 def evidence_sink(df: DataFrame, path: str) -> None:
     """Evidence rows as JSON lines; an older run's evidence is never overwritten."""
     df.write.mode("errorifexists").json(path)
@@ -99,6 +169,14 @@ def _publish_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _version_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = content_fingerprint(table(spark, sf_dir, "documents")).select("doc_id", "sha256")
+    target = f"{shared_folder(spark)}/fingerprints"
+    first = publish_version(hashes.filter("doc_id % 2 = 0"), target, None)
+    publish_version(hashes, target, first)
+    return read_published(spark, target)
+
+
 def _evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
     path = f"{shared_folder(spark)}/evidence"
@@ -108,5 +186,6 @@ def _evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_verified": (_publish_query, "select doc_id, sha256(text) sha256 from documents"),
+    "publish_version": (_version_query, "select doc_id, sha256(text) sha256 from documents"),
     "evidence_sink": (_evidence_query, "select source as name, case when sum(n_chars) > 0 then 'PASS' else 'FAIL' end status, count(*) n_docs, cast(sum(n_chars) as bigint) n_chars from documents group by source"),
 }

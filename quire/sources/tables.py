@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.progress import ProgressSource
+
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
@@ -51,8 +53,9 @@ def corpus_inventory(documents: DataFrame, least_chars: int = 2000) -> DataFrame
 
 
 def progress_stream(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines progress as a stream; a line without its newline belongs to the next file, so only whole files are read."""
-    return spark.readStream.schema("job string, done bigint, total bigint, page bigint, status string, ts timestamp").json(path)
+    """JSON-lines progress as a stream. A line counts once its newline is there, and files that grow are read on from where they were."""
+    spark.dataSource.register(ProgressSource)
+    return spark.readStream.format("progress_lines").load(path)
 
 
 QUERIES = {

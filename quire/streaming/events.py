@@ -31,8 +31,8 @@ def debounce_queries(edits: DataFrame, gap: str, watermark: str | None = None) -
         edits = edits.withWatermark("ts", watermark)
     last = F.max_by(F.struct("query", "submit"), F.struct("ts", "event_id")).alias("last")
     settled = edits.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(last, F.max("ts").alias("at"))
-    settled = settled.filter(r"last.query rlike '\\S' and not last.submit").select("user_id", "last.query", "at")
-    submitted = edits.filter(r"submit and query rlike '\\S'").select("user_id", "query", F.col("ts").alias("at"))
+    settled = settled.filter(r"last.query rlike '(?U)\\S' and not last.submit").select("user_id", "last.query", "at")
+    submitted = edits.filter(r"submit and query rlike '(?U)\\S'").select("user_id", "query", F.col("ts").alias("at"))
     return settled.unionByName(submitted)
 
 
@@ -83,23 +83,10 @@ def timed_out_jobs(starts: DataFrame, ends: DataFrame, limit: str, watermark: st
     return starts.join(e, within, "left_outer").filter("end_job is null").select("job", "started")
 
 
-#: SQL fold over log, the array of (ts, event_id, op) of one document in order: cursor and saved are positions in the history.
-REPLAY = """aggregate(log, named_struct('cursor', 0, 'last', 0, 'saved', 0, 'revision', 0),
-  (s, e) -> case e.op
-    when 'commit' then named_struct('cursor', s.cursor + 1, 'last', s.cursor + 1, 'saved', if(s.saved > s.cursor, -1, s.saved), 'revision', s.revision + 1)
-    when 'undo' then named_struct('cursor', greatest(s.cursor - 1, 0), 'last', s.last, 'saved', s.saved, 'revision', s.revision + if(s.cursor > 0, 1, 0))
-    when 'redo' then named_struct('cursor', least(s.cursor + 1, s.last), 'last', s.last, 'saved', s.saved, 'revision', s.revision + if(s.cursor < s.last, 1, 0))
-    when 'save' then named_struct('cursor', s.cursor, 'last', s.last, 'saved', s.cursor, 'revision', s.revision)
-    else s end)"""
+_STATE = ["cursor", "last", "saved", "revision", "dirty"]
 OP = "case event_type when 'click' then 'commit' when 'view' then 'undo' when 'purchase' then 'redo' when 'signup' then 'save' else 'none' end"
 
 
-def edit_log_replay(log: DataFrame, key: str) -> DataFrame:
-    """log: key, ts, event_id, op. State of each document after its log: a commit drops the redo tail, and a save beyond it is lost."""
-    state = log.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "op"))).alias("log")).selectExpr(key, f"{REPLAY} s")
-    return state.selectExpr(key, "s.cursor cursor", "s.last last", "s.saved saved", "s.revision revision", "s.saved <> s.cursor dirty")
-
-
 def apply_edit(state: tuple[int, int, int, int], op: str) -> tuple[int, int, int, int]:
     """One step of the replay on (cursor, last, saved, revision)."""
     cursor, last, saved, revision = state
@@ -114,6 +101,31 @@ def apply_edit(state: tuple[int, int, int, int], op: str) -> tuple[int, int, int
     return state
 
 
+def edit_log_replay(log: DataFrame, key: str) -> DataFrame:
+    """log: key, ts, event_id, op. State of each document after its log: a commit drops the redo tail, and a save beyond it is lost.
+
+    A fold over sorted partitions: what is held of a document is its state, however long its log. A null key is a document too.
+    """
+
+    def fold(frames):
+        now, state, done = None, None, []
+        row = lambda: (now[0], *state, state[2] != state[0])
+        for frame in frames:
+            for k, op in zip(frame[key].astype(object).where(frame[key].notna(), None), frame["op"], strict=True):
+                if now != (k,):
+                    done += [row()] if now else []
+                    now, state = (k,), (0, 0, 0, 0)
+                state = apply_edit(state, op)
+            yield pd.DataFrame(done, columns=[key, *_STATE])
+            done = []
+        if now:
+            yield pd.DataFrame([row()], columns=[key, *_STATE])
+
+    kind = log.schema[key].dataType.simpleString()
+    ordered = log.select(key, "ts", "event_id", "op").repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    return ordered.mapInPandas(fold, f"{key} {kind}, cursor int, last int, saved int, revision int, dirty boolean")
+
+
 def stream_edit_log_replay(log: DataFrame, watermark: str = "1 day") -> DataFrame:
     """log: user_id, ts, event_id, op. The replay on a stream, in the order of time and id whatever the order of arrival.
 

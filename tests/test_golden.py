@@ -4,13 +4,14 @@ import math
 import random
 import statistics
 import unicodedata
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import numbers, strings
-from quire.operators import compliance, layout, measures, navigation, search, selection, text
-from quire.sources import sinks, tables
+from quire.functions import numbers, sequences, strings
+from quire.operators import asof, compliance, layout, measures, navigation, search, selection, text
+from quire.sources import progress, sinks, tables
 from quire.streaming import events
 
 # The lines of a known three-page document, of which the expected counts are known.
@@ -73,12 +74,46 @@ def test_page_labels(spark):
         assert row.a == (chr(65 + (row.id - 1) % 26) * ((row.id - 1) // 26 + 1) if row.id <= 2600 else None)
 
 
-@pytest.mark.parametrize("spec, pages, error", [("1, 3-5", [0, 2, 3, 4], None), ("3,1", [2, 0], None), ("", None, "blank"), ("x", None, "syntax"), ("2-1", None, "range"), ("0", None, "range"), ("1-9", None, "range"), ("1,1", None, "duplicate"), ("1,", None, "syntax"), (None, None, "blank")])
+@pytest.mark.parametrize("spec, pages, error", [("1, 3-5", [0, 2, 3, 4], None), ("3,1", [2, 0], None), ("", None, "blank"), ("x", None, "syntax"), ("2-1", None, "range"), ("0", None, "range"), ("1-9", None, "range"), ("1,1", None, "duplicate"), ("1,", None, "syntax"), (None, None, "blank"), ("99,x", None, "range"), ("x,99", None, "syntax"), ("1,1,99", None, "duplicate"), ("1,1,x", None, "duplicate"), ("1\t-\t2", [0, 1], None), ("0000000001", [0], None), ("99999999999", None, "range"), ("\u3000 \u00a0", None, "blank"), ("\u30001", None, "syntax"), ("2,1-2", None, "duplicate")])
 def test_page_specs(spark, spec, pages, error):
     rows = selection.select_pages(spark.createDataFrame([(1, spec, 5)], "key long, spec string, n_pages long")).orderBy("position").collect()
     assert [r.page for r in rows] == (pages or [None]) and {r.error for r in rows} == {error}
 
 
+def test_restrictions(spark):
+    cases = {  # encrypted, then each object's signature, byte_range, xfa, field, actions
+        "dynamic form": [(False, ["01100"]), (True, ["00100"]), (False, ["10000", "00011"])], "signed": [(False, ["01000"]), (True, ["10000"]), (False, ["00100", "10000", "00010"])],
+        "encrypted": [(True, ["00000"]), (True, ["00010", "00001"])], "none": [(False, ["00001"])],
+    }
+    rows, want = [], {}
+    for name, documents in cases.items():
+        for encrypted, objects in documents:
+            want[len(want)] = name
+            rows += [(len(want) - 1, k, encrypted, *(c == "1" for c in flags)) for k, flags in enumerate(objects)]
+    df = spark.createDataFrame(rows, "d long, k long, encrypted boolean, signature boolean, byte_range boolean, xfa boolean, field boolean, actions boolean")
+    assert {r.d: r.restriction for r in selection.restriction_class(df, "d", "k").collect()} == want
+
+
+def test_white_space_of_all_scripts(spark):
+    df = spark.createDataFrame([(1, "\u3000\u00a0\u0085", "x"), (1, "a", "x")], "doc_id long, text string, lang string")
+    assert selection.textless_pages(df, "doc_id").first().n_textless == 1
+    assert search.summary(df, search.term_table(spark, {"x": ["a"]})).first().n_textless == 1
+    status = spark.createDataFrame([("\u3000",), ("x",)], "recognised string").selectExpr(f"{selection.PAGE_STATUS.replace('has_hidden_text', 'false').replace('has_images', 'true').replace('has_visible_text', 'false')} s")
+    assert [r.s for r in status.collect()] == ["no text", "processed"]
+    hit = spark.createDataFrame([(0, "a", "a\u3000\u00a0b")], "at int, term string, line string")
+    assert hit.selectExpr(search.EXCERPT).first()[0] == "a b"
+    glyphs = layout.layout_glyphs(spark.createDataFrame([(1, "a\u3000b")], "p long, text string"), "p")
+    assert [(r.ch, r.x0 is None) for r in layout.clean_page_chars(glyphs, ["p"], (0.0, 0.0, 900.0, 900.0)).orderBy("idx").collect()] == [("a", False), ("\u3000", True), ("b", False)]
+
+
+def test_required_literals_stand_in_every_match():
+    assert compliance.required_literals("a(?:bc|def)+[xy]z") == ["bc", "def"] or set(compliance.required_literals("a(?:bc|def)+[xy]z")) <= {"xz", "yz", "bc", "def"}
+    assert compliance.required_literals("[a-z]*") == [] and compliance.required_literals("(?i)AB?") == ["a"]
+    samples = {"access token": "ghp_" + "a1" * 15, "API key": "ASIA" + "Z9" * 8, "private key": "-----BEGIN EC PRIVATE KEY-----", "personal machine path": "/Home/me", "internal environment details": "SHELL dns Unavailable", "internal operations in prose": "30 gB", "e-mail address": "A@b.c", "token value": 'token: "abcdef"', "phone number": "+1 234 567 890", "network address": "1.2.3.4"}
+    for name, _, p in compliance.SECRET_RULES + compliance.PRIVATE_RULES + compliance.CORPUS_RULES:
+        assert any(x in samples[name].lower() for x in compliance.required_literals(p)), name
+
+
 def test_copied_ranges(spark):
     pages = spark.createDataFrame([(1, 0, "first page"), (1, 1, ""), (1, 2, "third page"), (2, 0, "a"), (2, 1, None), (3, 0, "a")], "key long, page long, text string")
     ranges = spark.createDataFrame([(1, 2, 5, 0, 6, True), (2, 0, 0, 1, 1, True), (3, 0, 0, 1, 1, True), (4, 0, 0, 0, 1, True), (1, 0, 0, 0, 5, False)], "key long, p1 long, o1 int, p2 long, o2 int, allowed boolean")
@@ -130,6 +165,13 @@ def test_json_and_manifest_classes(spark):
     df = spark.createDataFrame(rows, "id long, j string")
     assert {(r.id, r.finding) for r in compliance.json_findings(df.filter("id <> 8"), "id", "j").collect()} == {(2, "invalid JSON"), (3, "invalid JSON"), (4, "internal record field"), (5, "internal operations in record"), (7, "internal operations in record")}
     assert {(r.id, r.name) for r in compliance.json_keys(df, "id", "j").collect()} == {(1, "a"), (1, "b"), (4, "a"), (4, "owner_thread_id"), (5, "x"), (6, "a"), (6, "cvt_profile")}
+    odd = ["", " ", "1,2", '{"a":1},{"b":2}', "1]", "[1]]", '{"a":1}] x', '1,"a":2', "1,", '"a":1', '{"a":1,}', "[1] [2]", "'a'", "[1,]"]
+    good = [" 7 ", "[]", "{}", "null", '"x"', '[[[["the watchdog"]]]]', '[null, {"a": [true, {"capacity": null}]}]', '{"":1}']
+    kinds = spark.createDataFrame(list(enumerate(odd + good)), "id long, j string")
+    valid, nodes = compliance.json_nodes(kinds, "id", "j")
+    assert {r.id for r in valid.collect() if r.valid} == set(range(len(odd), len(odd + good)))
+    assert {(odd + good)[r.id]: r.finding for r in compliance.json_findings(kinds.filter(f"id >= {len(odd)}"), "id", "j").collect()} == {good[5]: "internal operations in record", good[6]: "internal record field"}
+    assert nodes.filter(f"id = {len(odd) + 6}").count() == 7 and {r.name for r in nodes.filter(f"id = {len(odd) + 6}").collect()} == {None, "a", "capacity"}
     files, listed = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string"), spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "path string, sha256 string")
     assert {(r.path, r["class"]) for r in compliance.verify_manifest(files, listed).collect()} == {("a", "same"), ("b", "changed"), ("c", "extra"), ("d", "missing")}
 
@@ -150,13 +192,46 @@ def test_error_rate_keeps_lines_with_many_edits(spark):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    lines = [("a", "b"), ("of the cat " * 60, "of teh cat " * 60), ("x" * 300, ""), ("ab" * 500, "c" * 40 + "ba" * 450), ("é" * 900, "e" * 900), ("same", "same")]
+    lines = [("a", "b"), ("", "abc"), ("of the cat " * 60, "of teh cat " * 60), ("x" * 300, ""), ("ab" * 500, "c" * 40 + "ba" * 450), ("é" * 900, "e" * 900), ("same", "same")]
     df = spark.createDataFrame([("en", a, b) for a, b in lines], "lang string, line string, got string")
     want = [distance(a, b) for a, b in lines]
-    assert sorted(r.d for r in df.selectExpr(f"{strings.whole_edit_distance('line', 'got', 1)} d").collect()) == sorted(want) and want[1] > 100
-    for limit in (1, 64, 100):
-        r = text.error_rate(df, "lang", limit=limit).first()
-        assert (r.edits, r.n_ref) == (sum(want), sum(len(a) for a, _ in lines))
+    assert sorted(r.d for r in df.select(sequences.edit_distances("line", "got").alias("d")).collect()) == sorted(want) and max(want) > 100
+    r = text.error_rate(df, "lang").first()
+    assert (r.edits, r.n_ref) == (sum(want), sum(len(a) for a, _ in lines))
+    pick = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(pick.choice("abé👍"[: pick.randint(1, 4)]) for _ in range(pick.randint(0, 90))) for _ in range(2))
+        assert sequences.edit_distance(a, b) == distance(a, b), (a, b)
+
+
+def test_word_scripts_are_shortest_and_in_order(spark):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    pick, rows = random.Random(7), []
+    for k in range(120):
+        words = [pick.choice("abcdef"[: pick.randint(1, 6)]) for _ in range(pick.randint(0, 60))]
+        other = [w for w in words for w in ([w] if pick.random() < 0.8 else [pick.choice("abcx"), w][: pick.randint(0, 2)])]
+        rows.append((k, " ".join(words), "\u3000".join(other)))
+    rows += [(500, None, "a b"), (501, "a  b\n", None), (502, "", ""), (503, "same words here", "same words here")]
+    scripts = {}
+    for r in text.word_script(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b").collect():
+        scripts.setdefault(r.id, []).append(r)
+    for k, a, b in rows:
+        a, b = (a or "").split(), (b or "").split()
+        runs = sorted(scripts.get(k, []), key=lambda r: r.run)
+        assert [r.run for r in runs] == list(range(len(runs)))
+        assert [w for r in runs for w in a[r.from_ref : r.to_ref]] == a and [w for r in runs for w in b[r.from_out : r.to_out]] == b
+        for r, after in zip(runs, [*runs[1:], None], strict=False):
+            assert r.kind != "equal" or a[r.from_ref : r.to_ref] == b[r.from_out : r.to_out]
+            assert r.kind != "deleted" or r.words == " ".join(a[r.from_ref : r.to_ref]) and r.from_out == r.to_out
+            assert after is None or (r.kind, after.kind) in (("equal", "deleted"), ("equal", "inserted"), ("deleted", "inserted"), ("deleted", "equal"), ("inserted", "equal"))
+        assert sum(r.to_ref - r.from_ref for r in runs if r.kind == "equal") == longest(a, b)
 
 
 def test_offsets_of_a_long_text_take_linear_time(spark):
@@ -206,18 +281,19 @@ def test_stamps(spark):
 
 
 def test_physical_lines_follow_the_current_extent(spark):
-    rows = [(1, i, c, y, y + 10) for i, (c, y) in enumerate([("a", 100.0), ("2", 105.0), ("b", 100.0), ("c", 80.0), (" ", 60.0), ("d", 40.0)])] + [(1, 6, "\r", None, None), (1, 7, " ", None, None), (1, 8, "\n", None, None), (1, 9, "e", 40.0, 50.0), (1, 10, "f", 50.0, 60.0), (1, 11, "g", 60.5, 70.0)]
-    got = measures.physical_lines(spark.createDataFrame(rows, "p long, idx int, ch string, y0 double, y1 double"), ["p"], "p long, line_no int, text string, first int, last int")
+    rows = [(1, i, c, 7.0 * i, y, 7.0 * i + 6, y + 10) for i, (c, y) in enumerate([("a", 100.0), ("2", 105.0), ("b", 100.0), ("c", 80.0), (" ", 60.0), ("d", 40.0)])] + [(1, 6, "\r", *[None] * 4), (1, 7, " ", *[None] * 4), (1, 8, "\n", *[None] * 4), (1, 9, "e", 0.0, 40.0, 5.0, 50.0), (1, 10, "f", 5.0, 50.0, 9.0, 60.0), (1, 11, "g", 1.0, 60.5, 2.0, 70.0)]
+    got = measures.physical_lines(spark.createDataFrame(rows, "p long, idx int, ch string, x0 double, y0 double, x1 double, y1 double"), ["p"])
     assert [(r.line_no, r.text) for r in got.orderBy("line_no").collect()] == [(0, "a2b"), (1, "c "), (2, "d"), (3, "ef"), (4, "g")]
+    assert [(r.x0, r.y0, r.x1, r.y1) for r in got.orderBy("line_no").collect()] == [(0.0, 100.0, 20.0, 115.0), (21.0, 80.0, 27.0, 90.0), (35.0, 40.0, 41.0, 50.0), (0.0, 40.0, 9.0, 60.0), (1.0, 60.5, 2.0, 70.0)]
 
 
 def test_physical_lines_match_a_plain_walk(spark):
     pick = random.Random(3)
-    rows = [(p, i, pick.choice("ab \n\r"), *((y, y + pick.randint(1, 6)) if pick.random() < 0.8 else (None, None))) for p in range(20) for i in range(40) for y in [float(pick.randint(0, 20))]]
+    rows = [(p, i, pick.choice("ab \n\r"), *((float(i), y, i + 1.0, y + pick.randint(1, 6)) if pick.random() < 0.8 else [None] * 4)) for p in range(20) for i in range(40) for y in [float(pick.randint(0, 20))]]
     want = []
     for p in range(20):
         lines, band, chars = [], [], []
-        for _, _, c, y0, y1 in [r for r in rows if r[0] == p] + [(p, 99, "\n", None, None)]:
+        for _, _, c, _, y0, _, y1 in [r for r in rows if r[0] == p] + [(p, 99, "\n", *[None] * 4)]:
             inked = c.strip() and y0 is not None
             if c in "\r\n" or inked and band and (y1 < min(a for a, _ in band) or y0 > max(b for _, b in band)):
                 lines += ["".join(chars)] if band else []
@@ -226,7 +302,7 @@ def test_physical_lines_match_a_plain_walk(spark):
                 chars.append(c)
                 band += [(y0, y1)] if inked else []
         want += [(p, k, t) for k, t in enumerate(lines)]
-    got = measures.physical_lines(spark.createDataFrame(rows, "p long, idx int, ch string, y0 double, y1 double"), ["p"], "p long, line_no int, text string, first int, last int")
+    got = measures.physical_lines(spark.createDataFrame(rows, "p long, idx int, ch string, x0 double, y0 double, x1 double, y1 double"), ["p"])
     assert sorted((r.p, r.line_no, r.text) for r in got.collect()) == sorted(want)
 
 
@@ -250,6 +326,43 @@ def test_percentiles_are_exact(spark, bins):
     assert got == want | {"none": (0, None, None, None)}
 
 
+@pytest.mark.parametrize("width", [1.0, 7.0, 1000.0])
+def test_asof_matches_a_plain_search(spark, width):
+    pick = random.Random(8)
+    left = [(pick.choice(["a", "b", "c", None]), i, pick.choice([None, float(pick.randint(-40, 40))])) for i in range(300)]
+    right = {(pick.choice("abd"), float(pick.randint(-40, 40))) for _ in range(40)}
+    got = asof.asof(spark.createDataFrame(left, "k string, id long, at double"), spark.createDataFrame([(k, a, f"{k}{a}") for k, a in right], "k string, at double, tag string"), ["k"], "at", width).collect()
+    side = lambda r: None if r is None else (r["at"], r.tag)
+    assert len(got) == len(left)
+    for r in got:
+        places = sorted(a for k, a in right if k == r.k) if r["at"] is not None else []
+        before, after = max((a for a in places if a <= r["at"]), default=None), min((a for a in places if a >= r["at"]), default=None)
+        assert (side(r.before), side(r.after)) == tuple(None if a is None else (a, f"{r.k}{a}") for a in (before, after))
+
+
+def test_points_meet_few_of_many_boxes(spark):
+    pick = random.Random(9)
+    boxes = [(1, i, x, y, x + w, y + h) for i in range(10_000) for x, y, w, h in [(pick.uniform(0, 3000), pick.uniform(0, 3000), pick.uniform(1, 30), pick.uniform(1, 12))]]
+    boxes += [(1, 10_000, -1e7, -1e7, 1e7, 1e7), (1, 10_001, 100.0, 100.0, 900.0, 500.0)]
+    points = [(1, i, pick.uniform(-50, 3050), pick.uniform(-50, 3050)) for i in range(200)] + [(1, 200, boxes[5][2], boxes[5][3]), (2, 201, 0.0, 0.0)]
+    df = spark.createDataFrame(boxes, "p long, ord int, x0 double, y0 double, x1 double, y1 double").selectExpr("*", "ord row", "ord % 7 = 3 hidden", "cast(array() as array<array<struct<x double, y double>>>) region")
+    asked = spark.createDataFrame(points, "p long, point_id long, x double, y double")
+    want = {i: max((o for p, o, x0, y0, x1, y1 in boxes if p == k and o % 7 != 3 and x0 <= x <= x1 and y0 <= y <= y1), default=None) for k, i, x, y in points}
+    assert {r.point_id: r.hit for r in layout.hit_test(asked, df, ["p"]).collect()} == want
+    assert layout.hit_candidates(asked, df, ["p"]).count() < 40 * len(points)
+
+
+def test_nearest_lines_match_brute_force(spark):
+    pick = random.Random(10)
+    lines = [(p, i, x, y, x + pick.randint(1, 90), y + pick.randint(0, 9)) for p in (1, 2) for i in range(60 if p == 1 else 3) for x, y in [(float(pick.randint(0, 100)), float(pick.randint(0, 60) * 30))]]
+    points = [(pick.choice([1, 2, 3]), i, pick.uniform(-20, 200), float(pick.randint(-100, 2000))) for i in range(300)]
+    df = spark.createDataFrame(lines, "p long, row int, x0 double, y0 double, x1 double, y1 double")
+    asked = spark.createDataFrame(points, "p long, point_id long, x double, y double")
+    for r in layout.nearest_line(asked, df, ["p"]).collect():
+        found = min(((round(max(y0 - r.y, r.y - y1, 0), 9), round(max(x0 - r.x, r.x - x1, 0), 9), row) for p, row, x0, y0, x1, y1 in lines if p == r.p), default=None)
+        assert ((r.dy, r.dx, r.row) if r.row is not None else None) == found
+
+
 def test_nearest_sample_tolerance(spark):
     marks = spark.sql("select 1L user_id, id mark_id, timestamp_millis(id) ts from values (1000L), (5000L) t(id)")
     samples = spark.sql("select 1L user_id, id sample_id, timestamp_millis(id) ts from values (950L), (1049L), (5101L) t(id)")
@@ -270,6 +383,63 @@ def test_publish_conflicts_leave_the_target(spark, tmp_path):
         sinks.evidence_sink(spark.range(2), f"{tmp_path}/evidence")
 
 
+def test_of_racing_publishers_one_wins(spark, tmp_path):
+    target = f"{tmp_path}/table"
+    assert sinks.publish_version(spark.range(3), target, None) == 1
+    old = sinks.read_published(spark, target)
+
+    def publish(n):
+        try:
+            return sinks.publish_version(spark.range(n), target, 1)
+        except sinks.PublishConflict as e:
+            return str(e)
+
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(publish, [10, 11, 12, 13]))
+    assert results.count(2) == 1 and sum("published meanwhile" in str(r) or "changed since" in str(r) for r in results) == 3
+    assert sinks.read_published(spark, target).count() == 10 + results.index(2)
+    assert old.count() == 3 and sinks.read_published(spark, target, 1).count() == 3
+    assert len(list((tmp_path / "table/data").iterdir())) == 2  # those that lost left nothing
+    (tmp_path / "table/_versions/3").write_text("unfinished")
+    assert max(sinks.published_versions(spark, target)) == 2
+    with pytest.raises(sinks.PublishConflict):
+        sinks.publish_version(spark.range(5), target, 2)
+
+
+def test_progress_lines_count_once_they_are_whole(spark, tmp_path, monkeypatch):
+    folder, state, out = tmp_path / "in", f"{tmp_path}/state", f"{tmp_path}/out"
+    folder.mkdir()
+    (folder / "a.jsonl").write_bytes(b'{"job": "a", "done": 1, "total": 9}\n{"job": "a", "do')
+
+    def drained():
+        stream = tables.progress_stream(spark, str(folder))
+        stream.writeStream.foreachBatch(events.batch_writer(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.job or "", r.done or 0) for r in spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out).collect())
+
+    assert drained() == [("a", 1)]
+    with open(folder / "a.jsonl", "ab") as f:
+        f.write(b'ne": 2, "total": 9}\nno json\n[1]\n{"job": "a"')
+    (folder / "b.jsonl").write_bytes(b'{"job": "b", "done": 7, "ts": "2024-01-01T00:00:00"}\n')
+    assert drained() == [("", 0), ("", 0), ("a", 1), ("a", 2), ("b", 7)]
+    with open(folder / "a.jsonl", "ab") as f:
+        f.write(b', "done": 3}\n')
+    assert drained() == [("", 0), ("", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 7)]
+
+
+def test_pieces_of_a_progress_file_share_no_line(tmp_path, monkeypatch):
+    lines = [b'{"job": "j", "done": %d, "status": "%s"}' % (k, b"x" * (k % 37)) for k in range(500)]
+    path = tmp_path / "p.jsonl"
+    path.write_bytes(b"\n".join(lines) + b"\n{")
+    for piece, block in ((64, 16), (1000, 7), (50_000, 1 << 16), (33, 1 << 16)):
+        monkeypatch.setattr(progress, "PIECE", piece)
+        monkeypatch.setattr(progress, "_BLOCK", block)
+        reader = progress.ProgressReader(str(tmp_path), None)
+        end = reader.latestOffset()
+        assert end == {str(path): path.stat().st_size - 1}
+        assert [r[1] for p in reader.partitions({}, end) for r in reader.read(p)] == list(range(500))
+        assert [r for p in reader.partitions(end, end) for r in reader.read(p)] == []
+
+
 def test_empty_corpus_is_an_error(spark, tmp_path):
     spark.createDataFrame([], tables.SCHEMAS["documents"]).write.parquet(f"{tmp_path}/documents.parquet")
     with pytest.raises(tables.EmptyCorpus):
