@@ -30,8 +30,8 @@ from quire.llm.common import columns, cut, partitions
 
 #: Blocks of at most this size are multiplied directly.
 LEAF = 32
-#: Numbers of anchors that a task holds (fewer for vectors of over 512 components), of candidates in a tile, in a share at most.
-ANCHORS, TILE, SHARE = 4096, 1024, 1_000_000
+#: Numbers of anchors that a task holds (fewer for vectors of over 512 components), of candidates in a tile, and in a share at least and at most.
+ANCHORS, TILE, LEAST, SHARE = 4096, 1024, 2048, 1_000_000
 _VALID = "vec_id is not null and label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
 _LOWEST = np.int64(-(2**63))
 
@@ -222,7 +222,7 @@ def mine(
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.expr(anchors)).alias("asked"), F.max(F.size("v")).alias("width")).first()
     width = max(1, sizes.width or 0)
     blocks = max(1, -(-sizes.asked // max(1, min(ANCHORS, ANCHORS * 512 // width))))
-    shares = max(1, -(-2 * partitions(embeddings.sparkSession) // blocks), -(-sizes.n // SHARE))
+    shares = max(1, min(-(-2 * partitions(embeddings.sparkSession) // blocks), -(-sizes.n // LEAST)), -(-sizes.n // SHARE))
     near = _met(asked, rows, blocks, shares).mapInArrow(_positives(width, scale, positives), "anchor_id long, score long, id long")
     chosen = _best(near, positives, "anchor_id").groupBy("anchor_id").agg(F.expr("transform(array_sort(collect_list(struct(rank, score, id))), p -> struct(p.score, p.id)) positives"))
     with_positives = cut(asked.join(chosen, F.col("id") == F.col("anchor_id")).select("id", "label", "v", "positives"))
