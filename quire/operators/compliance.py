@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from quire.operators.text import _LINE, explode_lines
 from quire.sources.sinks import written
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 # Rule name, scope (all texts, or prose only) and pattern. What counts as a token, a machine path, an
 # environment note, an internal file, field or remark is a given of the checks that these rules stand for. Left out are
@@ -216,13 +216,13 @@ _PATH = "concat(case page_id % 12 when 0 then 'docs/HANDOFF_' when 1 then 'evide
 ROOTS = ["", "en", "es", "index.html"]
 
 QUERIES = {
-    "scan_secrets": (lambda s, d: scan_rules(table(s, d, "documents").selectExpr("doc_id", _PLANT), "doc_id", "text", SECRET_RULES), f"with d as (select doc_id, {_PLANT} from documents) {_rules_sql('d', 'doc_id', 'text', SECRET_RULES)}"),
+    "scan_secrets": (lambda s, d: scan_rules(spread(table(s, d, "documents")).selectExpr("doc_id", _PLANT), "doc_id", "text", SECRET_RULES), f"with d as (select doc_id, {_PLANT} from documents) {_rules_sql('d', 'doc_id', 'text', SECRET_RULES)}"),
     "scan_private_text": (
-        lambda s, d: scan_rules(table(s, d, "documents").selectExpr("doc_id", "lang", _PLANT), "doc_id", "text", PRIVATE_RULES + CORPUS_RULES, "lang = 'en'"),
+        lambda s, d: scan_rules(spread(table(s, d, "documents")).selectExpr("doc_id", "lang", _PLANT), "doc_id", "text", PRIVATE_RULES + CORPUS_RULES, "lang = 'en'"),
         f"with d as (select doc_id, lang, {_PLANT} from documents) {_rules_sql('d', 'doc_id', 'text', PRIVATE_RULES + CORPUS_RULES, chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))}",
     ),
     "findings_by_path": (
-        lambda s, d: findings_by_path(scan_rules(table(s, d, "documents").selectExpr("doc_id", _PLANT), "doc_id", "text", SECRET_RULES + PRIVATE_RULES + CORPUS_RULES), "doc_id"),
+        lambda s, d: findings_by_path(scan_rules(spread(table(s, d, "documents")).selectExpr("doc_id", _PLANT), "doc_id", "text", SECRET_RULES + PRIVATE_RULES + CORPUS_RULES), "doc_id"),
         f"with d as (select doc_id, {_PLANT} from documents), f as ({_rules_sql('d', 'doc_id', 'text', SECRET_RULES + PRIVATE_RULES + CORPUS_RULES)}) select doc_id, array_to_string(list_sort(list(distinct rule)), ',') reasons from f group by doc_id",
     ),
     "scan_private_path": (

@@ -11,6 +11,7 @@ from quire.functions.sequences import edit_distances
 from quire.functions.strings import SPACE, norm_text
 from quire.operators.asof import asof
 from quire.operators.text import grapheme_starts, word_bounds
+from quire.sources.sinks import written
 from quire.sources.tables import table
 
 LEFT, TOP, LEADING, PITCH, SIZE, WRAP = 48, 769.89, 18, 6.6, 11, 83
@@ -99,6 +100,8 @@ _IN_REGION = """exists(region, q -> aggregate(sequence(0, 3), false, (s, i) ->
 
 #: Cells of the coarse grids have a side of _CELL * 4**level; what is wider than the last level's belongs to one cell that holds all.
 _CELL, _LEVELS = 16.0, 8
+#: A point may meet so many lines of its page without a grid.
+FEW = 64
 
 
 def _cells(low: list[str], high: list[str], side: str) -> str:
@@ -140,19 +143,28 @@ def hit_test(points: DataFrame, annotations: DataFrame, key: list[str], crop: tu
     return points.select(*key, "point_id").join(found, "point_id", "left")
 
 
-def line_candidates(points: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
-    """The pairs that nearest_line judges: a point with the lines beside it, or else with those whose edge is the nearest one above or below."""
-    boxes = lines.select(*key, "row", "x0", "y0", "x1", "y1").filter("y0 <= y1")
-    asked = points.select(*key, "point_id", "x", "y")
-    beside = _in_cells(asked, boxes, key, ["y"], ["y0"], ["y1"]).filter("y between y0 and y1").drop("_c")
+def line_candidates(points: DataFrame, lines: DataFrame, key: list[str], few: int = FEW) -> DataFrame:
+    """The pairs that nearest_line judges, however many lines a page has.
+
+    On a page of up to `few` lines a point meets them all. Elsewhere it meets the lines beside it, by the cells of a grid
+    with levels for all heights, or, without any, those whose edge is the nearest one above or below.
+    """
+    boxes = lines.select(*key, "row", "x0", "y0", "x1", "y1").filter("y0 <= y1").withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    boxes = written(boxes)  # read several times
+    asked, many = points.select(*key, "point_id", "x", "y"), boxes.filter(f"_n > {few}").drop("_n")
+    direct = asked.join(boxes.filter(f"_n <= {few}").drop("_n"), key)
+    if many.isEmpty():
+        return direct
+    asked = asked.join(many.select(*key).distinct(), key, "left_semi")
+    beside = _in_cells(asked, many, key, ["y"], ["y0"], ["y1"]).filter("y between y0 and y1").drop("_c")
     alone = asked.join(beside.select("point_id").distinct(), "point_id", "left_anti").withColumn("_y", F.col("y"))
-    edges = lambda e: boxes.select(*key, F.col(e).alias("_y")).distinct()
+    edges = lambda e: many.select(*key, F.col(e).alias("_y")).distinct()
     lower = asof(alone, edges("y1"), key, "_y", 256.0).select(*asked.columns, F.col("before._y").alias("_low"))
     both = asof(lower.withColumn("_y", F.col("y")), edges("y0"), key, "_y", 256.0).select(*asked.columns, "_low", F.col("after._y").alias("_high"))
     least = both.withColumn("_d", F.expr("least(round(y - _low, 9), round(_high - y, 9))"))
-    below = least.filter("round(y - _low, 9) = _d").select(*asked.columns, F.col("_low").alias("y1")).join(boxes, [*key, "y1"])
-    above = least.filter("round(_high - y, 9) = _d").select(*asked.columns, F.col("_high").alias("y0")).join(boxes, [*key, "y0"])
-    return beside.unionByName(below).unionByName(above)
+    below = least.filter("round(y - _low, 9) = _d").select(*asked.columns, F.col("_low").alias("y1")).join(many, [*key, "y1"])
+    above = least.filter("round(_high - y, 9) = _d").select(*asked.columns, F.col("_high").alias("y0")).join(many, [*key, "y0"])
+    return direct.unionByName(beside).unionByName(below).unionByName(above)
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quire.functions.arrays import running_sums
 from quire.functions.strings import INK, SPACE
 from quire.operators.text import _LINE, explode_lines
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 #: The search terms of the registered queries, by language.
 TERMS = {"en": ["THE", "tion of", "handed", "no-such-text"], "fr": ["les", "ellement"], "de": ["Der", "schlich"], "es": ["que", "ción de"]}
@@ -104,7 +104,7 @@ _BLANK = "case when doc_id % 17 = 3 then '\u3000\u00a0' when doc_id % 17 = 4 the
 
 
 def _lines(s, d):
-    return explode_lines(table(s, d, "documents"), "lang")
+    return explode_lines(spread(table(s, d, "documents")), "lang")
 
 
 def _hits(s, d):
@@ -139,7 +139,7 @@ coalesce(lag(id) over w, last_value(id) over (partition by doc_id, term order by
 from ids window w as (partition by doc_id, term order by id)""",
     ),
     "search_summary": (
-        lambda s, d: summary(table(s, d, "documents").withColumn("text", F.expr(_BLANK)), term_table(s)),
+        lambda s, d: summary(spread(table(s, d, "documents")).withColumn("text", F.expr(_BLANK)), term_table(s)),
         rf"""with {_T}, documents as (select * replace ({_BLANK} as text) from documents) select lang, term, count(*) n_docs, count(*) filter (text is not null and not regexp_matches(text, '{INK}')) n_textless, count(*) filter (text is null) n_failed,
 count(*) filter (contains(lower(text), term)) n_found, cast(coalesce(sum(len(string_split(lower(text), term)) - 1), 0) as bigint) n_hits from documents join terms using (lang) group by lang, term""",
     ),

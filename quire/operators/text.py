@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import running_sums
 from quire.functions.sequences import diff, edit_distances
-from quire.functions.strings import SPACE, WORD, norm_text
-from quire.sources.tables import table
+from quire.functions.strings import SPACE, WHITE, WORD, norm_text
+from quire.sources.tables import spread, table
 
 
 def explode_lines(documents: DataFrame, *keep: str) -> DataFrame:
@@ -35,7 +35,7 @@ def error_rate(pairs: DataFrame, group: str, reference: str = "line", output: st
 
 def word_diff(pairs: DataFrame, key: str, reference: str, output: str) -> DataFrame:
     """Words that occur more often on one side, with the signed difference (output less reference); order isn't kept."""
-    sides = pairs.selectExpr(key, rf"explode(concat(transform(split({reference}, '(?U)\\s+'), w -> struct(w word, -1 n)), transform(split({output}, '(?U)\\s+'), w -> struct(w word, 1 n)))) x")
+    sides = pairs.selectExpr(key, rf"explode(concat(transform(split({reference}, '{WHITE}+'), w -> struct(w word, -1 n)), transform(split({output}, '{WHITE}+'), w -> struct(w word, 1 n)))) x")
     return sides.selectExpr(key, "x.word word", "x.n n").filter("word <> ''").groupBy(key, "word").agg(F.sum("n").alias("diff")).filter("diff <> 0")
 
 
@@ -55,7 +55,7 @@ def word_script(pairs: DataFrame, key: str, reference: str, output: str) -> Data
     words deleted or inserted. Words are what white space parts; null counts as a page without words. Between two equal runs
     the deleted words come first.
     """
-    words = lambda c: F.expr(rf"filter(split(coalesce({c}, ''), '(?U)\\s+'), w -> w <> '')")
+    words = lambda c: F.expr(rf"filter(split(coalesce({c}, ''), '{WHITE}+'), w -> w <> '')")
     kind = pairs.select(key).schema[0].dataType.simpleString()
     runs = pairs.select(F.col(key).alias("key"), words(reference).alias("a"), words(output).alias("b")).mapInArrow(_scripts, f"key {kind}, run int, kind string, from_ref int, to_ref int, from_out int, to_out int, words string")
     return runs.withColumnRenamed("key", key)
@@ -102,11 +102,11 @@ MUTATED = "replace(line, ' the ', ' teh ')"
 
 
 def _pairs(s, d):
-    return explode_lines(table(s, d, "documents")).selectExpr("*", f"{MUTATED} got")
+    return explode_lines(spread(table(s, d, "documents"))).selectExpr("*", f"{MUTATED} got")
 
 
 def _texts(s, d):
-    return table(s, d, "documents").selectExpr("doc_id", "text", f"{MUTATED.replace('line', 'text')} got")
+    return spread(table(s, d, "documents")).selectExpr("doc_id", "text", f"{MUTATED.replace('line', 'text')} got")
 
 
 _LINES = "lines as (select doc_id, lang, unnest(range(len(parts))) line_no, parts from (select doc_id, lang, string_split(text, chr(10)) parts from documents))"
@@ -126,7 +126,7 @@ QUERIES = {
         f"with {_LINE} select doc_id, line_no, levenshtein(line, {MUTATED}) distance from line where line <> {MUTATED}",
     ),
     "cer_by_group": (
-        lambda s, d: error_rate(explode_lines(table(s, d, "documents").join(table(s, d, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id"), "lang").selectExpr("*", f"{MUTATED} got"), "lang", limits={"en": 0.01}),
+        lambda s, d: error_rate(explode_lines(spread(table(s, d, "documents")).join(table(s, d, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id"), "lang").selectExpr("*", f"{MUTATED} got"), "lang", limits={"en": 0.01}),
         f"with {_LINE}, e as (select lang, sum(levenshtein(line, {MUTATED})) edits, sum(length(line)) n_ref from line where doc_id in (select doc_id from labels where quality = 1) group by lang) select lang, cast(edits as bigint) edits, cast(n_ref as bigint) n_ref, edits / n_ref rate, case when edits / n_ref <= case when lang = 'en' then 0.01 else 0.02 end then 'PASS' else 'FAIL' end status from e",
     ),
     "word_diff": (

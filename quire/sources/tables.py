@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt over all of them, for work that costs more than moving the rows; others stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def load_corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """Open a table; an empty one is an error before any use. Only one row is looked at."""
     df = table(spark, sf_dir, name)

@@ -350,14 +350,17 @@ def test_points_meet_few_of_many_boxes(spark):
     want = {i: max((o for p, o, x0, y0, x1, y1 in boxes if p == k and o % 7 != 3 and x0 <= x <= x1 and y0 <= y <= y1), default=None) for k, i, x, y in points}
     assert {r.point_id: r.hit for r in layout.hit_test(asked, df, ["p"]).collect()} == want
     assert layout.hit_candidates(asked, df, ["p"]).count() < 40 * len(points)
+    assert layout.line_candidates(asked, df.filter("row < 10000"), ["p"]).count() < 120 * len(points)  # lines beside a point go all across the page
 
 
-def test_nearest_lines_match_brute_force(spark):
+@pytest.mark.parametrize("few", [64, 10, 0])
+def test_nearest_lines_match_brute_force(spark, monkeypatch, few):
     pick = random.Random(10)
     lines = [(p, i, x, y, x + pick.randint(1, 90), y + pick.randint(0, 9)) for p in (1, 2) for i in range(60 if p == 1 else 3) for x, y in [(float(pick.randint(0, 100)), float(pick.randint(0, 60) * 30))]]
     points = [(pick.choice([1, 2, 3]), i, pick.uniform(-20, 200), float(pick.randint(-100, 2000))) for i in range(300)]
     df = spark.createDataFrame(lines, "p long, row int, x0 double, y0 double, x1 double, y1 double")
     asked = spark.createDataFrame(points, "p long, point_id long, x double, y double")
+    monkeypatch.setattr(layout.line_candidates, "__defaults__", (few,))
     for r in layout.nearest_line(asked, df, ["p"]).collect():
         found = min(((round(max(y0 - r.y, r.y - y1, 0), 9), round(max(x0 - r.x, r.x - x1, 0), 9), row) for p, row, x0, y0, x1, y1 in lines if p == r.p), default=None)
         assert ((r.dy, r.dx, r.row) if r.row is not None else None) == found
