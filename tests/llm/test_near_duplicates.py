@@ -130,3 +130,20 @@ def test_links_in_crowds_are_found(spark, block, monkeypatch):
     assert found >= (near.sum() if block > 2 else 0.99 * near.sum())
     if block > 2:
         assert {r.vec_id: r.component_id for r in rows} == want
+
+
+def test_links_in_wider_cones_are_found(spark):
+    """Cones of mutual cosine 0.80 to 0.89, whose vectors have mates right above the threshold."""
+    pick = np.random.default_rng(5)
+    cones = [crowded(pick, 2500, 64, c) for c in (0.8, 0.83, 0.86, 0.89)]
+    mates = []
+    for x in cones:
+        cosine = pick.uniform(0.9505, 0.956, 100)[:, None]
+        aside = pick.standard_normal((100, 64))
+        aside -= (aside * x[:100]).sum(axis=1, keepdims=True) * x[:100]
+        mates.append(cosine * x[:100] + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1)[:, None])
+    x = np.concatenate([*cones, *mates])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    total = sum(int((x[k : k + 500] @ x.T >= 0.95).sum()) for k in range(0, len(x), 500)) - len(x)
+    found = sum(r.n_links for r in V.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
+    assert total >= 800 and 0.99 * total <= found <= total
