@@ -13,10 +13,6 @@ WHITE = r"[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\
 #: The same, and its complement, in DuckDB's expressions.
 SPACE = r"[\x09-\x0D\x{85}\p{Z}]"
 INK = r"[^\x09-\x0D\x{85}\p{Z}]"
-#: Runs of letters, marks, digits and underscores, for use within a SQL string.
-WORD = r"[\\p{L}\\p{M}\\p{N}_]+"
-
-
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no expression for it."""

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.sequences import edit_distances
 from quire.functions.strings import SPACE, norm_text
+from quire.functions.words import WORD_DUCK
 from quire.operators.asof import asof
 from quire.operators.text import grapheme_starts, word_bounds
 from quire.sources.sinks import written
@@ -329,7 +330,7 @@ select conv_id, point_id, hit from pt left join h using (point_id)""",
     "word_at": (
         lambda s, d: word_at(nearest_line(_points(s, d), line_boxes(_glyphs(s, d), _KEY), _KEY), _glyphs(s, d), _pages(s, d), _KEY).select("point_id", "start", "end"),
         rf"""with {_GLYPH}, g as (select n.conv_id, n.turn, point_id, idx, row_number() over (partition by point_id order by round(greatest(g.x0 - x, x - g.x1, 0), 9), idx) r2 from near n join glyph g on n.conv_id = g.conv_id and n.turn = g.turn and n.row = g.row and g.x0 is not null where rn = 1),
-w0 as (select conv_id, turn, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+') words, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}_]+') gaps from conversations),
+w0 as (select conv_id, turn, regexp_extract_all(text, '{WORD_DUCK}') words, regexp_split_to_array(text, '{WORD_DUCK}') gaps from conversations),
 w1 as (select *, unnest(range(len(words))) k from w0),
 w2 as (select conv_id, turn, coalesce(list_sum(list_transform(words[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gaps[1:k + 1], lambda x: length(x))), 0) b, length(words[k + 1]) n from w1)
 select point_id, cast(b as integer) as start, cast(b + n as integer) as "end" from g left join w2 on g.conv_id = w2.conv_id and g.turn = w2.turn and idx >= b and idx < b + n where r2 = 1""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,29 +71,53 @@ def resolve_links(pages: DataFrame, known: DataFrame) -> DataFrame:
     return both.selectExpr("page_id", "link_no", "href", "kind", f"{notice} notice")
 
 
+def _preorder(limit: int, deepest: int):
+    def walk(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values(["level", "rank"])
+        below: dict = {}
+        for id_, parent, level in zip(nodes["id"], nodes["parent"], nodes["level"], strict=True):
+            below.setdefault(None if level == 0 else (level - 1, parent), []).append((id_, level))
+        rows, limited = [], False
+        todo = [(*x, None) for x in reversed(below[None])]
+        while todo:
+            id_, level, above = todo.pop()
+            if level > deepest or len(rows) == limit:
+                limited = True
+                if level <= deepest:
+                    break
+                continue
+            rows.append((nodes["tree"].iloc[0], id_, level, len(rows), above))
+            todo += [(*x, len(rows) - 1) for x in reversed(below.get((level, id_), ()))]
+        out = pd.DataFrame(rows, columns=["tree", "id", "depth", "position", "parent_position"])
+        return out.astype({"parent_position": "Int32"}).assign(limited=limited)
+
+    return walk
+
+
 def bookmark_tree(nodes: DataFrame, limit: int = 10_000, deepest: int = 64) -> DataFrame:
     """nodes: tree, id, parent (null at the top), place (among siblings) -> the preorder walk of each tree.
 
     Adds depth (0 at the top), position (from 0), parent_position and limited. What lies deeper than `deepest`, or beyond
-    `limit` items, is left out and marks its tree as limited; nodes on a cycle are never reached. Each level is one join
-    with the nodes and is written, so neither rows nor levels meet a limit of recursion.
+    `limit` items, is left out and marks its tree as limited; nodes on a cycle are never reached. Levels are opened one by
+    one, each by a join with the nodes, and written. Of a level only the first `limit` nodes in the order of the walk, and
+    one more to show that there are others, can matter; so a tree of any size is walked from a bounded number of rows.
     """
     rows = nodes.select("tree", "id", "parent", "place")
-    step = "struct(place, id)"
-    level = written(rows.filter("parent is null").selectExpr("tree", "id", "parent", "0 depth", f"array({step}) path"))
-    levels = []
+
+    def first(level: DataFrame, *order: str) -> DataFrame:
+        ranked = level.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order)))
+        return written(ranked.filter(F.col("rank") <= limit + 1).selectExpr("tree", "id", "coalesce(parent, id) parent", "rank"))
+
+    level, levels = first(rows.filter("parent is null"), "place", "id"), []
     while not level.isEmpty():
-        levels.append(level)
+        levels.append(level.withColumn("level", F.lit(len(levels))))
         if len(levels) > deepest + 1:  # one level more shows which trees are cut off
             break
-        above = level.select("tree", F.col("id").alias("parent"), "depth", "path")
-        level = written(rows.join(above, ["tree", "parent"]).selectExpr("tree", "id", "parent", "depth + 1 depth", f"concat(path, array({step})) path"))
-    walk = reduce(DataFrame.union, levels or [level])
-    numbered = walk.filter(f"depth <= {deepest}").withColumn("rn", F.row_number().over(Window.partitionBy("tree").orderBy("path"))).filter(f"rn <= {limit}")
-    sizes = walk.groupBy("tree").agg((F.max("depth") > deepest).alias("deep"), F.count("*").alias("n"))
-    top = written(numbered.join(sizes, "tree").selectExpr("tree", "id", "parent", "depth", "rn - 1 position", f"deep or n > {limit} limited"))
-    parents = top.select("tree", F.col("id").alias("parent"), F.col("position").alias("parent_position"))
-    return top.join(parents, ["tree", "parent"], "left").select("tree", "id", "depth", "position", "parent_position", "limited")
+        above = level.select("tree", F.col("id").alias("parent"), F.col("rank").alias("above"))
+        level = first(rows.join(above, ["tree", "parent"]), "above", "place", "id")
+    kept = reduce(DataFrame.union, levels or [level.withColumn("level", F.lit(0))])
+    kind = lambda c: nodes.schema[c].dataType.simpleString()
+    return kept.groupBy("tree").applyInPandas(_preorder(limit, deepest), f"tree {kind('tree')}, id {kind('id')}, depth int, position int, parent_position int, limited boolean")
 
 
 _RANGES = [("0", "'r'", "''", "1"), ("2", "'D'", "'本編-'", "if(conv_id % 5 = 0, 0, 7)"), ("4", "'A'", "cast(null as {string})", "27 + conv_id % 40"), ("5 + conv_id % 3", "'R'", "'§'", "990 + conv_id"), ("99", "'D'", "''", "1"), ("7", "'-'", "'Annex'", "1"), ("8", "'a'", "''", "2601")]

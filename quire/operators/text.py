@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import running_sums
 from quire.functions.sequences import diff, edit_distances
-from quire.functions.strings import SPACE, WHITE, WORD, norm_text
+from quire.functions.strings import SPACE, WHITE, norm_text
+from quire.functions.words import WORD, WORD_DUCK
 from quire.sources.tables import spread, table
 
 
@@ -70,7 +71,7 @@ def grapheme_starts(documents: DataFrame, *key: str) -> DataFrame:
 
 
 def word_bounds(documents: DataFrame, *key: str) -> DataFrame:
-    """key and spans: start and end of each run of letters, marks, digits and underscores; unspaced scripts are one run (no dictionary)."""
+    """key and spans: start and end of each word by the rules of quire.functions.words."""
     pieces = documents.selectExpr(*key, f"regexp_extract_all(text, '({WORD})', 1) words", f"split(text, '{WORD}', -1) gaps")
     # Both arrays are arguments here: within a lambda, Spark would evaluate what makes them once for each element.
     ends = pieces.select(*key, running_sums(F.expr("flatten(zip_with(slice(gaps, 1, size(words)), words, (g, w) -> array(length(g), length(w))))")).alias("at"))
@@ -109,6 +110,8 @@ def _texts(s, d):
     return spread(table(s, d, "documents")).selectExpr("doc_id", "text", f"{MUTATED.replace('line', 'text')} got")
 
 
+#: The corpus has letters and plain marks only: some texts get numbers, apostrophes and other scripts.
+_MIXED = "case conv_id % 11 when 3 then replace(text, 'e ', '\u2019s 3.5,6 _x1 漢字 カナー ') when 4 then replace(text, 'a', '.a:') else text end"
 _LINES = "lines as (select doc_id, lang, unnest(range(len(parts))) line_no, parts from (select doc_id, lang, string_split(text, chr(10)) parts from documents))"
 _LINE = f"{_LINES}, line as (select doc_id, lang, cast(line_no as integer) line_no, parts[line_no + 1] line from lines)"
 _AFTER = "if(conv_id % 5 = 0 and turn = 1, concat(text, '.'), text) text"
@@ -144,8 +147,8 @@ QUERIES = {
         "select conv_id * 1000 + turn doc_id, cast(length_grapheme(text) as integer) n_graphemes, cast(length(text) - 1 as integer) last_start, md5(array_to_string(range(length(text)), ',')) starts_md5 from conversations",
     ),
     "word_spans": (
-        lambda s, d: word_spans(table(s, d, "conversations").selectExpr("conv_id * 1000 + turn doc_id", "text")),
-        r"""with w as (select conv_id * 1000 + turn doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') words, regexp_split_to_array(text, '[\p{L}\p{M}\p{N}_]+') gaps from conversations),
+        lambda s, d: word_spans(spread(table(s, d, "conversations")).selectExpr("conv_id * 1000 + turn doc_id", f"{_MIXED} text")),
+        f"""with w as (select conv_id * 1000 + turn doc_id, regexp_extract_all(text, '{WORD_DUCK}') words, regexp_split_to_array(text, '{WORD_DUCK}') gaps from (select conv_id, turn, {_MIXED} text from conversations)),
 e as (select doc_id, unnest(range(len(words))) k, words, gaps from w),
 f as (select doc_id, k, coalesce(list_sum(list_transform(words[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gaps[1:k + 1], lambda x: length(x))), 0) a, length(words[k + 1]) n from e)
 select doc_id, cast(k as integer) word_no, cast(a as integer) as start, cast(a + n as integer) as "end" from f""",
