@@ -358,4 +358,12 @@ def _physical_lines(s, d):
     return physical_lines(_characters(s, d), _KEY).selectExpr(*_KEY, "line_no", "text", "first", "last", *_ROUND)
 
 
-QUERIES["physical_lines"] = (_physical_lines, None)
+# In this layout a row's boxes touch each other and no other row's, so a line ends before the first inked box of each row.
+QUERIES["physical_lines"] = (
+    _physical_lines,
+    f"""with {_GLYPH}, fi as (select conv_id, turn, row, min(idx) f from glyph where x0 is not null group by all),
+ch as (select g.conv_id, g.turn, idx, ch, x0, x1, y0 + case when col % 9 = 5 then 4 else 0 end y0, y1 + case when col % 9 = 5 then 4 else 0 end y1, greatest(sum(case when idx = f then 1 else 0 end) over (partition by g.conv_id, g.turn order by idx), 1) line
+  from glyph g left join fi on g.conv_id = fi.conv_id and g.turn = fi.turn and g.row = fi.row),
+li as (select conv_id, turn, cast(line - 1 as integer) line_no, string_agg(ch, '' order by idx) as text, min(idx) as first, max(idx) as last, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from ch group by conv_id, turn, line)
+select conv_id, turn, line_no, text, "first", "last", {', '.join(_ROUND)} from li where x0 is not null""",
+)
