@@ -555,3 +555,14 @@ def test_shared_folder_is_required_on_a_cluster(spark):
     assert sinks.checkpoint_base("hdfs:///x", "spark://somewhere:7077") == "hdfs:///x"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sinks.checkpoint_base(None, "spark://somewhere:7077")
+
+
+def test_glyphs_are_not_broadcast(spark, tmp_path):
+    # One page of the file's few bytes is a hundred glyphs and offsets in memory, of which Spark's estimate knows nothing.
+    spark.range(20).selectExpr("id p", "repeat('some words ', 10) text").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    points = pages.selectExpr("p", "p point_id", "90D x", "770D y", "0 row")
+    glyphs = layout.layout_glyphs(pages, "p")
+    for found in [layout.caret(points, glyphs, text.grapheme_starts(pages, "p"), ["p"])]:
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 20
