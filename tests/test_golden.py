@@ -563,6 +563,6 @@ def test_glyphs_are_not_broadcast(spark, tmp_path):
     pages = spark.read.parquet(str(tmp_path / "pages"))
     points = pages.selectExpr("p", "p point_id", "90D x", "770D y", "0 row")
     glyphs = layout.layout_glyphs(pages, "p")
-    for found in [layout.caret(points, glyphs, text.grapheme_starts(pages, "p"), ["p"])]:
+    for found in (layout.caret(points, glyphs, text.grapheme_starts(pages, "p"), ["p"]), layout.word_at(points, glyphs, pages, ["p"])):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.count() == 20
