@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +113,105 @@ def nearest_sample(marks: DataFrame, samples: DataFrame, key: str, tolerance_s:
     return near.selectExpr(key, "mark_id", "if(a is null or b.d <= a.d, b, a) n").selectExpr(key, "mark_id", "n.sample_id", "n.d / 1000 distance_ms")
 
 
+_CHARACTER = ["idx", "ch", "x0", "y0", "x1", "y1"]
+
+
+def _line_walk(key: list[str]):
+    """The fold of physical_lines over the sorted pages of a partition; of a page, only the line at hand is kept from one batch to the next.
+
+    Only page starts, line ends and boxes whose heights are not those of the box before them can end a line or widen its
+    extent, so Python looks at these alone.
+    """
+
+    def walk(batches):
+        page, number, low, high = None, 0, None, None  # low is None: no box yet
+        held, first, last, bounds = [], None, None, np.full(4, np.nan)  # of the line at hand, from the batches before
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ch = batch.column("ch").cast(pa.string())
+            offsets = np.frombuffer(ch.buffers()[1], dtype=np.int32)[ch.offset : ch.offset + n + 1]
+            data, shared = ch.buffers()[2], ch.unique().to_pylist()
+            ends = pc.is_in(ch, pa.array(["\r", "\n"])).to_numpy(zero_copy_only=False)
+            box = np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _CHARACTER[2:]])
+            inked = pc.is_in(ch, pa.array([c for c in shared if c and c.strip()], pa.string())).to_numpy(zero_copy_only=False) & ~np.isnan(box).any(axis=1)
+            box[~inked] = np.nan
+            starts = batch.column("_n").to_numpy() == 1
+            ink = np.flatnonzero(inked)
+            stretch = np.cumsum(ends | starts)[ink]
+            news = ink[np.r_[True, (box[ink[1:], 1] != box[ink[:-1], 1]) | (box[ink[1:], 3] != box[ink[:-1], 3]) | (stretch[1:] != stretch[:-1])]] if len(ink) else ink
+            at = np.unique(np.concatenate([np.flatnonzero(ends | starts), news]))
+            idx = batch.column("idx").to_numpy()
+            keys = [batch.column(k) for k in key]
+            if page is not None:
+                keys = [pa.concat_arrays([p, k]) for p, k in zip(page, keys, strict=True)]
+            before = int(page is not None)  # place 0 of keys is the page that goes on from the batch before
+            owner, begin, lines = 0, 0, []
+
+            def end(stop):
+                nonlocal number, low, first, bounds
+                if low is not None:
+                    lines.append((owner, number, begin, stop, held[:], first, last, bounds))
+                    number, low = number + 1, None
+                if begin == 0:
+                    held.clear()
+                    first, bounds = None, np.full(4, np.nan)
+
+            for i, new, ends_here, y0, y1 in zip(at.tolist(), starts[at].tolist(), ends[at].tolist(), box[at, 1].tolist(), box[at, 3].tolist(), strict=True):
+                if new:
+                    end(i)
+                    owner, begin, number = i + before, i, 0
+                if ends_here:
+                    end(i)
+                    begin = i + 1
+                elif y0 == y0:
+                    if low is not None and (y1 < low or y0 > high):
+                        end(i)
+                        begin = i
+                    low, high = (y0, y1) if low is None else (min(low, y0), max(high, y1))
+            if lines:
+                yield out(lines, keys, idx, offsets, data, box)
+            if begin:
+                held, first, last, bounds = [], None, None, np.full(4, np.nan)
+            if begin < n:
+                held = [*held, bytes(data[offsets[begin] : offsets[n]]) if data else b""]
+                first, last = idx[begin] if first is None else first, idx[n - 1]
+                bounds = union(bounds, box[begin:])
+            page = [k.slice(owner, 1) for k in keys]
+        if low is not None:
+            yield out([(0, number, 0, 0, held, first, last, bounds)], page, None, None, None, None)
+
+    def union(bounds, box):
+        few = box[~np.isnan(box[:, 0])]
+        few = np.vstack([bounds[None], few]) if bounds[0] == bounds[0] else few
+        return np.r_[few[:, :2].min(axis=0), few[:, 2:].max(axis=0)] if len(few) else bounds
+
+    def out(lines, keys, idx, offsets, data, box):
+        owners, numbers, begins, stops = (np.array([x[k] for x in lines], dtype=np.int64) for k in range(4))
+        texts = [(bytes(data[offsets[a] : offsets[b]]) if b > a else b"") for a, b in zip(begins, stops, strict=True)]
+        firsts, lasts = ([0] * len(lines), [0] * len(lines)) if idx is None else (idx[np.minimum(begins, len(idx) - 1)], idx[stops - 1])
+        edges = np.full((len(lines), 4), np.nan)
+        if box is not None:
+            whole = stops > begins
+            flat = np.column_stack([begins[whole], stops[whole]]).ravel()
+            more = np.vstack([box, np.full((1, 4), np.nan)])
+            if len(flat):
+                edges[whole, :2] = np.fmin.reduceat(more[:, :2], flat)[::2]
+                edges[whole, 2:] = np.fmax.reduceat(more[:, 2:], flat)[::2]
+        firsts, lasts = list(firsts), list(lasts)
+        for j, (_, _, a, b, pieces, first, last, bounds) in enumerate(lines):
+            if a == 0 and first is not None:  # it began in a batch before
+                texts[j], firsts[j] = b"".join(pieces) + texts[j], first
+                lasts[j] = lasts[j] if b else last
+                edges[j] = union(bounds, edges[j : j + 1])
+        rest = [pa.array(numbers, pa.int32()), pa.array([t.decode() for t in texts], pa.string()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), *(pa.array(edges[:, k]) for k in range(4))]
+        return pa.RecordBatch.from_arrays([*(k.take(pa.array(owners)) for k in keys), *rest], [*key, "line_no", "text", "first", "last", "x0", "y0", "x1", "y1"])
+
+    return walk
+
+
 def physical_lines(characters: DataFrame, key: list[str]) -> DataFrame:
     """characters: key, idx, ch, x0, y0, x1, y1 (null: no box) -> key, line_no, text, first, last and the line's box.
 
@@ -118,32 +220,10 @@ def physical_lines(characters: DataFrame, key: list[str]) -> DataFrame:
     extent restarts with each line, so this is a fold over a page. A line's box is the union of its inked boxes.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows, chars, boxes = [], [], []
-
-        def end():
-            if boxes:
-                x0, y0, x1, y1 = zip(*boxes, strict=True)
-                rows.append((*(page[k].iloc[0] for k in key), len(rows), "".join(c for _, c in chars), chars[0][0], chars[-1][0], min(x0), min(y0), max(x1), max(y1)))
-            chars.clear()
-            boxes.clear()
-
-        low = high = None
-        for i, ch, *box in page.sort_values("idx")[["idx", "ch", "x0", "y0", "x1", "y1"]].itertuples(index=False):
-            if ch in ("\r", "\n"):
-                end()
-                continue
-            if ch.strip() and not any(map(pd.isna, box)):
-                if boxes and (box[3] < low or box[1] > high):
-                    end()
-                low, high = (box[1], box[3]) if not boxes else (min(low, box[1]), max(high, box[3]))
-                boxes.append(box)
-            chars.append((int(i), ch))
-        end()
-        return pd.DataFrame(rows, columns=[*key, "line_no", "text", "first", "last", "x0", "y0", "x1", "y1"])
-
-    keys = ", ".join(f"{k} {characters.schema[k].dataType.simpleString()}" for k in key)
-    return characters.groupBy(*key).applyInPandas(fold, f"{keys}, line_no int, text string, first int, last int, x0 double, y0 double, x1 double, y1 double")
+    # The window brings each page's rows together, in order; where they lie together already, nothing moves.
+    rows = characters.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("idx")).alias("_n"), *_CHARACTER)
+    keys = ", ".join(f"`{k}` {characters.schema[k].dataType.simpleString()}" for k in key)
+    return rows.mapInArrow(_line_walk(key), f"{keys}, line_no int, text string, first int, last int, x0 double, y0 double, x1 double, y1 double")
 
 
 def _views(s, d):

@@ -566,3 +566,18 @@ def test_glyphs_are_not_broadcast(spark, tmp_path):
     for found in (layout.caret(points, glyphs, text.grapheme_starts(pages, "p"), ["p"]), layout.word_at(points, glyphs, pages, ["p"])):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.count() == 20
+
+
+def test_physical_lines_go_on_over_batches(spark):
+    text_ = "ab c\nd" * 9 + "\n\nxy"
+    rows = [(p, i, c, float(i), 5.0 * (i // 4), i + 1.0, 5.0 * (i // 4) + 4) for p in range(3) for i, c in enumerate(text_)]
+    chars = spark.createDataFrame(rows, "p long, idx int, ch string, x0 double, y0 double, x1 double, y1 double")
+    whole = sorted(measures.physical_lines(chars, ["p"]).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        lines = measures.physical_lines(chars, ["p"])
+        assert sorted(lines.collect()) == whole
+        assert "FlatMapGroups" not in lines._jdf.queryExecution().executedPlan().toString()  # no frame for each page
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "".join(r.text for r in whole) == text_.replace("\n", "") * 3
