@@ -581,3 +581,12 @@ def test_physical_lines_go_on_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "".join(r.text for r in whole) == text_.replace("\n", "") * 3
+
+
+def test_glyphs_of_more_characters_are_more_tasks(spark, monkeypatch):
+    pages = spark.createDataFrame([(p, "some words\n" * 20) for p in range(40)], "p long, text string")
+    monkeypatch.setattr(layout, "GLYPHS", 500, raising=False)
+    glyphs = layout.layout_glyphs(pages, "p")
+    boxes = layout.gap_space_boxes(layout.clean_page_chars(glyphs, ["p"], (0.0, 0.0, 900.0, 900.0)), ["p"])
+    assert glyphs.rdd.getNumPartitions() == boxes.rdd.getNumPartitions() == 18  # 8,800 characters
+    assert boxes.count() == 40 * 20 * 10
