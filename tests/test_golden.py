@@ -590,3 +590,16 @@ def test_glyphs_of_more_characters_are_more_tasks(spark, monkeypatch):
     boxes = layout.gap_space_boxes(layout.clean_page_chars(glyphs, ["p"], (0.0, 0.0, 900.0, 900.0)), ["p"])
     assert glyphs.rdd.getNumPartitions() == boxes.rdd.getNumPartitions() == 18  # 8,800 characters
     assert boxes.count() == 40 * 20 * 10
+
+
+def _corpus(spark, path):
+    spark.range(200).selectExpr("id doc_id", "if(id % 2 = 0, 'en', 'fr') lang", "concat('The LES ', id) text").write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_texts_are_not_dealt_by_language(spark, tmp_path):
+    documents, terms = _corpus(spark, tmp_path / "d"), search.term_table(spark, {"en": ["The", ""], "fr": ["les", "no"]})
+    found = search.summary(documents, terms)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.lang, r.term): (r.n_docs, r.n_found, r.n_hits) for r in found.collect()} == {("en", "the"): (100, 100, 100), ("fr", "les"): (100, 100, 100), ("fr", "no"): (100, 0, 0)}
+    assert search.term_table(spark, {}).collect() == []
