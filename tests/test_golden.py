@@ -603,3 +603,12 @@ def test_texts_are_not_dealt_by_language(spark, tmp_path):
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.lang, r.term): (r.n_docs, r.n_found, r.n_hits) for r in found.collect()} == {("en", "the"): (100, 100, 100), ("fr", "les"): (100, 100, 100), ("fr", "no"): (100, 0, 0)}
     assert search.term_table(spark, {}).collect() == []
+
+
+def test_recall_moves_no_texts(spark, tmp_path):
+    documents, terms = _corpus(spark, tmp_path / "d"), search.term_table(spark, {"en": ["the", "no"], "fr": ["les"]})
+    split = spark.range(0, 200, 2).selectExpr("id doc_id").union(spark.range(2).selectExpr("0L doc_id"))
+    found = search.recall(documents, terms, split, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" not in plan  # it would take whole texts along
+    assert {r.lang: (r.n_terms, r.n_found, r.status) for r in found.collect()} == {"en": (2, 1, "FAIL"), "fr": (1, 0, "FAIL")}
