@@ -6,10 +6,12 @@ import statistics
 import unicodedata
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import numbers, sequences, strings
+from quire.functions.arrays import running_sums
 from quire.operators import asof, compliance, layout, measures, navigation, search, selection, text
 from quire.sources import progress, sinks, tables
 from quire.streaming import events
@@ -612,3 +614,18 @@ def test_recall_moves_no_texts(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" not in plan  # it would take whole texts along
     assert {r.lang: (r.n_terms, r.n_found, r.status) for r in found.collect()} == {"en": (2, 1, "FAIL"), "fr": (1, 0, "FAIL")}
+
+
+def test_edit_scripts_are_sent_on_in_parts(spark):
+    rows = [(k, "a\x1cb the　c " * 300, "a\x1cb teh c " * 300) for k in range(200)] + [(200, " x  y", " x  y"), (201, None, ""), (202, None, "z")]
+    parts = list(text._scripts(iter([pa.RecordBatch.from_pylist([{"key": k, "a": a or "", "b": b} for k, a, b in rows])])))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) < 30_000
+    got = text.word_script(spark.createDataFrame(rows, "k long, a string, b string"), "k", "a", "b")
+    assert {(r.run, r.kind, r.from_ref, r.to_ref, r.from_out, r.to_out, r.words) for r in got.filter("k = 0 and run < 3").collect()} == {(0, "equal", 0, 1, 0, 1, None), (1, "deleted", 1, 2, 1, 1, "the"), (2, "inserted", 2, 2, 1, 2, "teh")}
+    assert [tuple(r)[1:] for r in got.filter("k >= 200").orderBy("k").collect()] == [(0, "equal", 0, 2, 0, 2, None), (0, "inserted", 0, 0, 0, 1, "z")]
+
+
+def test_running_sums_make_no_python_objects():
+    values = pa.array([[1], None, [], [2, 3], [4, None, 5]], pa.list_(pa.int32()))
+    assert running_sums.func(values).to_pylist() == [[1], None, [], [2, 5], [4, 4, 9]]
+    assert running_sums.func(values.slice(3)).to_pylist() == [[2, 5], [4, 4, 9]]
