@@ -10,7 +10,8 @@ at equal places, so whatever repeats meets at an anchor, and what lies LENGTH by
    common prefixes yields the intervals of the tree. Inside an interval the preceding bytes, sorted backwards, are scanned
    the same way; an interval whose members are preceded by different bytes is a maximal repeat with all its occurrences.
    Every occurrence outside the least document of its group is a repeat.
-3. A gram with very many surroundings is dealt over several tasks; the windows that these leave open meet by their hash.
+3. A gram with very many surroundings is parted by the bytes right behind it and right before it: equal windows share one of
+   these. Parts that are still very large are dealt over several tasks; the windows that these leave open meet by their hash.
 
 Matches never cross documents. Surroundings count as equal if 96 bits of hashes and the length and place in them agree.
 Defined results: a null or empty text has no bytes; a very long text takes part whole; rows that share a doc_id are taken
@@ -28,6 +29,7 @@ import pyarrow.compute  # noqa: F401  in_blocks uses it
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import columns, cut, in_blocks, joined_bytes, mix, partitions, powers
 
@@ -189,21 +191,31 @@ def _slices(batches, rows: int = 1000):
             yield batch.slice(a, rows)
 
 
+#: Of a window's bytes around its gram, at least so many lie on one side.
+SIDE = (WINDOW - 1) // 2
+
+
+def _halves(left: bytes, right: bytes):
+    """Two keys of which equal windows around a gram share one: by the SIDE bytes behind it, for windows that reach that far, or by the SIDE + 1 before it."""
+    for part, whole in ((b">" + right[GRAM : GRAM + SIDE], len(right) >= GRAM + SIDE), (b"<" + left[: SIDE + 1], len(left) > SIDE)):
+        if whole:
+            yield int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+
+
 def _surroundings(batches):
+    """What lies around the anchors. Members of a gram with very many surroundings come once for each of their _halves."""
     expand = zstandard.ZstdDecompressor().decompress
     for batch in _slices(batches):
-        out = {c: [] for c in ("key", "salt", "doc_id", "place", "left", "right")}
+        out = {c: [] for c in ("key", "half", "salt", "doc_id", "place", "left", "right")}
         for r in batch.to_pylist():
             text = expand(r["z"])
             for a in r["at"]:
                 p = a["place"]
-                out["key"].append(a["key"])
-                out["salt"].append(a["salt"])
-                out["doc_id"].append(r["doc_id"])
-                out["place"].append(p)
-                out["left"].append(text[max(0, p - WINDOW + 1) : p][::-1])
-                out["right"].append(text[p : p + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], list(out))
+                left, right = text[max(0, p - WINDOW + 1) : p][::-1], text[p : p + LENGTH]
+                for half in [None] if a["salt"] < 0 else _halves(left, right):
+                    for c, v in zip(out, (a["key"], half, a["salt"], r["doc_id"], p, left, right), strict=True):
+                        out[c].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["half"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], list(out))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -290,17 +302,17 @@ def _tree(batches):
     fields = ("doc_id", "place", "start", "end", "h1", "h2")
     out = {c: [] for c in fields}
     for batch in batches:
-        for key, salt, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "doc_id", "place", "left", "right")), strict=True):
-            if (key, salt) != last:
-                if len(group) > 1 or group and last[1] >= 0:
-                    solve(last[1])
-                group, last = [], (key, salt)
+        for key, half, salt, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "half", "salt", "doc_id", "place", "left", "right")), strict=True):
+            if (key, half, salt) != last:
+                if len(group) > 1 or group and last[2] >= 0:
+                    solve(last[2])
+                group, last = [], (key, half, salt)
             group.append(member)
         if len(out["doc_id"]) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in fields], list(fields))
             out = {c: [] for c in fields}
-    if len(group) > 1 or group and last[1] >= 0:
-        solve(last[1])
+    if len(group) > 1 or group and last[2] >= 0:
+        solve(last[2])
     yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in fields], list(fields))
 
 
@@ -347,8 +359,16 @@ def repeats(documents: DataFrame) -> DataFrame:
     at_once = met.filter("key is null and stands is null").selectExpr("doc_id", f"greatest(0, place - {WINDOW - 1}) start", f"place + {LENGTH} end")
     asked = met.filter("key is not null").groupBy("doc_id").agg(F.collect_set(F.struct("key", "salt", "place")).alias("at"))  # as many as the text has anchors at most
     texts = docs.mapInArrow(_squeeze, "doc_id long, z binary")
-    around = texts.join(asked, "doc_id").select("doc_id", "z", "at").mapInArrow(_surroundings, "key long, salt int, doc_id long, place long, left binary, right binary")
-    solved = cut(around.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_tree, "doc_id long, place long, start long, end long, h1 long, h2 long"))
+    around = texts.join(asked, "doc_id").select("doc_id", "z", "at").mapInArrow(_surroundings, "key long, half long, salt int, doc_id long, place long, left binary, right binary")
+    around = cut(around)
+    # Of a large group's halves, those in one document hold no repeat, and those of few members go to one task whole; the rest stay dealt.
+    dealt_halves = around.filter("half is not null")
+    parts = dealt_halves.groupBy("key", "half", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    whole = Window.partitionBy("key", "half")
+    sizes = parts.select("key", "half", "salt", F.sum("n").over(whole).alias("n"), F.min("least").over(whole).alias("least"), F.max("most").over(whole).alias("most")).filter("least < most")
+    halves = dealt_halves.join(sizes.drop("least", "most"), ["key", "half", "salt"]).withColumn("salt", F.expr(f"if(n <= {SPLIT}, -1, salt)")).drop("n")
+    members = around.filter("half is null").unionByName(halves)
+    solved = cut(members.repartition(n, "key", "half", "salt").sortWithinPartitions("key", "half", "salt").mapInArrow(_tree, "doc_id long, place long, start long, end long, h1 long, h2 long"))
     shape = "doc_id", "place", "start", "end"
     spans = solved.filter("h1 is null").select(*shape)
     windows = solved.filter("h1 is not null")

@@ -78,3 +78,19 @@ def test_anchors_are_the_same_in_equal_windows():
         _, at, gram, _ = S.anchors(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))
         found.append({(int(p) - 70, int(g)) for p, g in zip(at, gram, strict=True) if 70 <= p <= 100})
     assert found[0] & found[1]
+
+
+def test_few_windows_stay_open_of_a_frequent_gram(spark, monkeypatch):
+    # Forty texts share twenty bytes and little else: a window of one can't be one of another, so none needs to be sent on.
+    pick = random.Random(9)
+    junk = lambda n: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(k, junk(60) + "0123456789ABCDEFGHIJ" + junk(60)) for k in range(40)] + [(40, junk(9) + junk(60)), (41, junk(5))]
+    rows += [(50 + k, t[20:-20]) for k, t in rows[:3]]
+    monkeypatch.setattr(S, "SPLIT", 3)
+    monkeypatch.setattr(S, "BUCKET", 1 << 30)
+    made = []
+    cut = S.cut
+    monkeypatch.setattr(S, "cut", lambda df: made.append(out := cut(df)) or out)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(S.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == brute(rows)
+    assert made[-1].filter("h1 is not null").count() == 0
