@@ -10,8 +10,11 @@ at equal places, so whatever repeats meets at an anchor, and what lies LENGTH by
    common prefixes yields the intervals of the tree. Inside an interval the preceding bytes, sorted backwards, are scanned
    the same way; an interval whose members are preceded by different bytes is a maximal repeat with all its occurrences.
    Every occurrence outside the least document of its group is a repeat.
-3. A gram with very many surroundings is parted by the bytes right behind it and right before it: equal windows share one of
-   these. Parts that are still very large are dealt over several tasks; the windows that these leave open meet by their hash.
+3. The members of a gram with very many surroundings are parted, again and again, by where a window may start: those that
+   start lo to hi bytes before the gram share lo bytes before it and LENGTH - hi from it on. Of members that agree in all the
+   bytes of such windows, all but those in the least document are repeats at once. Parts within one document go, small ones
+   take step 2, large ones are halved further. What is still large when two windows are left is dealt over several tasks; the
+   windows that these leave open meet by their hash.
 
 Matches never cross documents. Surroundings count as equal if 96 bits of hashes and the length and place in them agree.
 Defined results: a null or empty text has no bytes; a very long text takes part whole; rows that share a doc_id are taken
@@ -126,7 +129,7 @@ def _deal(buckets: int):
 _DEALT = pa.schema([("bucket", pa.int32()), ("live", pa.int32()), *((c, pa.binary()) for c in ("docs", "runs", "low", "high", "gram", "around"))])
 
 
-def _meet(batches):
+def _meet(split: int):
     """Of each bucket's anchors, one bucket at a time: what is repeated at once, what needs its surroundings compared (with a key), and for what one of these stands."""
 
     def solve(bucket, held):
@@ -151,25 +154,28 @@ def _meet(batches):
         of = np.repeat(first, np.diff(np.r_[first, len(doc)]))
         yield _rows(doc[others], place[others], stands=place[of[others]])
         members = np.add.reduceat(new_around.astype(np.int64), start)
-        pieces = np.repeat(-(-members // SPLIT), size)[use]
+        pieces = np.repeat(-(-members // split), size)[use]
         salt = (mix(around[use]) % pieces.astype(np.uint64)).astype(np.int32)
         yield _rows(doc[use], place[use], (np.int64(bucket) << 32) | gram[use].astype(np.int64), np.where(pieces > 1, salt, -1).astype(np.int32))
 
-    now, held = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["bucket"] != now and held:
-                yield from solve(now, held)
-                held = []
-            now = r["bucket"]
-            doc = np.repeat(np.frombuffer(r["docs"], dtype=np.int64), np.frombuffer(r["runs"], dtype=np.uint32))
-            place = np.frombuffer(r["low"], dtype=np.uint16).astype(np.int64) | np.frombuffer(r["high"], dtype=np.uint32).astype(np.int64) << 16
-            n = r["live"]
-            held.append((doc[:n], place[:n], np.frombuffer(r["gram"], dtype=np.uint32), np.frombuffer(r["around"], dtype=np.uint64)))
-            if n < len(doc):
-                yield _rows(doc[n:], place[n:])
-    if held:
-        yield from solve(now, held)
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != now and held:
+                    yield from solve(now, held)
+                    held = []
+                now = r["bucket"]
+                doc = np.repeat(np.frombuffer(r["docs"], dtype=np.int64), np.frombuffer(r["runs"], dtype=np.uint32))
+                place = np.frombuffer(r["low"], dtype=np.uint16).astype(np.int64) | np.frombuffer(r["high"], dtype=np.uint32).astype(np.int64) << 16
+                n = r["live"]
+                held.append((doc[:n], place[:n], np.frombuffer(r["gram"], dtype=np.uint32), np.frombuffer(r["around"], dtype=np.uint64)))
+                if n < len(doc):
+                    yield _rows(doc[n:], place[n:])
+        if held:
+            yield from solve(now, held)
+
+    return run
 
 
 def _rows(doc, place, key=None, salt=None, stands=None) -> pa.RecordBatch:
@@ -191,31 +197,47 @@ def _slices(batches, rows: int = 1000):
             yield batch.slice(a, rows)
 
 
-#: Of a window's bytes around its gram, at least so many lie on one side.
-SIDE = (WINDOW - 1) // 2
-
-
-def _halves(left: bytes, right: bytes):
-    """Two keys of which equal windows around a gram share one: by the SIDE bytes behind it, for windows that reach that far, or by the SIDE + 1 before it."""
-    for part, whole in ((b">" + right[GRAM : GRAM + SIDE], len(right) >= GRAM + SIDE), (b"<" + left[: SIDE + 1], len(left) > SIDE)):
-        if whole:
-            yield int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-
-
 def _surroundings(batches):
-    """What lies around the anchors. Members of a gram with very many surroundings come once for each of their _halves."""
+    """What lies around the anchors."""
     expand = zstandard.ZstdDecompressor().decompress
     for batch in _slices(batches):
-        out = {c: [] for c in ("key", "half", "salt", "doc_id", "place", "left", "right")}
+        out = {c: [] for c in ("key", "salt", "doc_id", "place", "left", "right")}
         for r in batch.to_pylist():
             text = expand(r["z"])
             for a in r["at"]:
                 p = a["place"]
-                left, right = text[max(0, p - WINDOW + 1) : p][::-1], text[p : p + LENGTH]
-                for half in [None] if a["salt"] < 0 else _halves(left, right):
-                    for c, v in zip(out, (a["key"], half, a["salt"], r["doc_id"], p, left, right), strict=True):
-                        out[c].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["half"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], list(out))
+                for c, v in zip(out, (a["key"], a["salt"], r["doc_id"], p, text[max(0, p - WINDOW + 1) : p][::-1], text[p : p + LENGTH]), strict=True):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], list(out))
+
+
+def _sized(members: DataFrame, *by: str) -> DataFrame:
+    """Members with the size n of their group and its least and greatest document. Shares of a group (salt) are counted and joined apart."""
+    shares = members.groupBy(*by, "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    whole = Window.partitionBy(*by)
+    sizes = shares.select(*by, "salt", F.sum("n").over(whole).alias("n"), F.min("least").over(whole).alias("least"), F.max("most").over(whole).alias("most"))
+    return members.join(sizes, [*by, "salt"])
+
+
+def _parted(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of the members of very frequent grams: repeats that need no comparison, and what _tree is to compare (salt -1: a whole part)."""
+    member = ["key", "salt", "doc_id", "place", "left", "right"]
+    repeated, compared = [], []
+    left = members.selectExpr(*member, "0 lo", f"{WINDOW - 1} hi")
+    for _ in range((WINDOW - 1).bit_length() - 1):
+        if left.isEmpty():
+            break
+        sides = left.selectExpr(*member, "explode(filter(array(struct(lo, (lo + hi) div 2 as hi), struct((lo + hi) div 2 + 1 as lo, hi)), s -> s.lo <= s.hi)) s").selectExpr(*member, "cast(s.lo as int) lo", "cast(s.hi as int) hi")
+        windows = sides.filter(f"greatest(lo, {LENGTH} - octet_length(right)) <= least(hi, octet_length(left))")
+        agree = windows.selectExpr("*", "substring(left, 1, hi) before", f"substring(right, 1, {LENGTH} - lo) behind")
+        agree = cut(_sized(agree, "key", "lo", "hi", "before", "behind").select(*member, "lo", "hi", "least"))
+        repeated.append(agree.filter("doc_id > least").selectExpr("doc_id", "place", "place - least(hi, octet_length(left)) start", f"place + least({LENGTH} - lo, octet_length(right)) end"))
+        # Parts whose hashes collide are compared together, which changes no result.
+        parts = agree.filter("doc_id = least").selectExpr(*member, "lo", "hi", f"xxhash64(lo, hi, substring(left, 1, lo), substring(right, 1, {LENGTH} - hi)) half")
+        parts = cut(_sized(parts, "key", "half").filter("least < most").select(*member, "lo", "hi", "half", "n"))
+        compared.append(parts.filter(f"n <= {SPLIT}").withColumn("salt", F.lit(-1)).drop("n"))
+        left = parts.filter(f"n > {SPLIT}").drop("n")
+    return repeated, [*compared, left] if compared else []
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -286,9 +308,9 @@ def _tree(batches):
             covered = [set() for _ in range(n)]
             for i, left, right in spans:
                 covered[i].update(range(max(0, LENGTH - right), left + 1))
-            for i, (doc, place, before, after) in enumerate(group):
+            for i, (doc, place, before, after, lo, hi) in enumerate(group):
                 whole = before[::-1] + after
-                for o in range(max(0, LENGTH - len(after)), len(before) + 1):
+                for o in range(max(lo, LENGTH - len(after)), min(hi, len(before)) + 1):
                     if o not in covered[i]:
                         s = len(before) - o
                         h = np.frombuffer(hashlib.blake2b(whole[s : s + LENGTH], digest_size=16).digest(), dtype=np.int64)
@@ -302,7 +324,7 @@ def _tree(batches):
     fields = ("doc_id", "place", "start", "end", "h1", "h2")
     out = {c: [] for c in fields}
     for batch in batches:
-        for key, half, salt, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "half", "salt", "doc_id", "place", "left", "right")), strict=True):
+        for key, half, salt, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "half", "salt", "doc_id", "place", "left", "right", "lo", "hi")), strict=True):
             if (key, half, salt) != last:
                 if len(group) > 1 or group and last[2] >= 0:
                     solve(last[2])
@@ -355,25 +377,23 @@ def repeats(documents: DataFrame) -> DataFrame:
     schema = "bucket int, live int, docs binary, runs binary, low binary, high binary, gram binary, around binary"
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     dealt = docs.mapInArrow(_deal(max(n, -(-size // BUCKET))), schema).repartition(n, "bucket").sortWithinPartitions("bucket")
-    met = cut(dealt.mapInArrow(_meet, "doc_id long, place long, key long, salt int, stands long"))
+    met = cut(dealt.mapInArrow(_meet(SPLIT), "doc_id long, place long, key long, salt int, stands long"))
     at_once = met.filter("key is null and stands is null").selectExpr("doc_id", f"greatest(0, place - {WINDOW - 1}) start", f"place + {LENGTH} end")
     asked = met.filter("key is not null").groupBy("doc_id").agg(F.collect_set(F.struct("key", "salt", "place")).alias("at"))  # as many as the text has anchors at most
     texts = docs.mapInArrow(_squeeze, "doc_id long, z binary")
-    around = texts.join(asked, "doc_id").select("doc_id", "z", "at").mapInArrow(_surroundings, "key long, half long, salt int, doc_id long, place long, left binary, right binary")
-    around = cut(around)
-    # Of a large group's halves, those in one document hold no repeat, and those of few members go to one task whole; the rest stay dealt.
-    dealt_halves = around.filter("half is not null")
-    parts = dealt_halves.groupBy("key", "half", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    whole = Window.partitionBy("key", "half")
-    sizes = parts.select("key", "half", "salt", F.sum("n").over(whole).alias("n"), F.min("least").over(whole).alias("least"), F.max("most").over(whole).alias("most")).filter("least < most")
-    halves = dealt_halves.join(sizes.drop("least", "most"), ["key", "half", "salt"]).withColumn("salt", F.expr(f"if(n <= {SPLIT}, -1, salt)")).drop("n")
-    members = around.filter("half is null").unionByName(halves)
+    around = cut(texts.join(asked, "doc_id").select("doc_id", "z", "at").mapInArrow(_surroundings, "key long, salt int, doc_id long, place long, left binary, right binary"))
+    repeated, compared = _parted(around.filter("salt >= 0"))
+    members = around.filter("salt < 0").selectExpr("*", "cast(null as long) half", "cast(null as int) lo", "cast(null as int) hi")
+    for part in compared:
+        members = members.unionByName(part)
     solved = cut(members.repartition(n, "key", "half", "salt").sortWithinPartitions("key", "half", "salt").mapInArrow(_tree, "doc_id long, place long, start long, end long, h1 long, h2 long"))
     shape = "doc_id", "place", "start", "end"
     spans = solved.filter("h1 is null").select(*shape)
     windows = solved.filter("h1 is not null")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     decided = spans.union(windows.join(least, ["h1", "h2"]).filter("doc_id > least").select(*shape))
+    for part in repeated:
+        decided = decided.union(part)
     others = met.filter("stands is not null").selectExpr("doc_id", "stands place", "place - stands shift")
     copied = others.join(decided, ["doc_id", "place"]).selectExpr("doc_id", "start + shift start", "end + shift end")
     return at_once.union(decided.select("doc_id", "start", "end")).union(copied)

@@ -94,3 +94,22 @@ def test_few_windows_stay_open_of_a_frequent_gram(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(S.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got == brute(rows)
     assert made[-1].filter("h1 is not null").count() == 0
+
+
+@pytest.mark.parametrize("shared", [45, 53, 64])
+def test_few_windows_stay_open_of_a_frequent_line(spark, shared, monkeypatch):
+    # The line is longer than a gram and the bytes beside it, so the texts that hold it can't be told apart by these alone.
+    pick = random.Random(shared)
+    junk = lambda n: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    line = "".join(chr(0x30 + k) for k in range(shared))
+    rows = [(k, junk(60) + line + junk(60)) for k in range(40)] + [(40, junk(9) + line), (41, line + junk(5)), (42, line)]
+    rows += [(50 + k, t[20:-20]) for k, t in rows[:3]]
+    monkeypatch.setattr(S, "SPLIT", 3)
+    monkeypatch.setattr(S, "BUCKET", 1 << 30)
+    made = []
+    cut = S.cut
+    monkeypatch.setattr(S, "cut", lambda df: made.append(out := cut(df)) or out)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(S.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == brute(rows)
+    assert made[0].filter("salt >= 0").count() > 0  # the tasks know SPLIT
+    assert made[-1].filter("h1 is not null").count() <= 4 * len(rows)
