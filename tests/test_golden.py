@@ -629,3 +629,30 @@ def test_running_sums_make_no_python_objects():
     values = pa.array([[1], None, [], [2, 3], [4, None, 5]], pa.list_(pa.int32()))
     assert running_sums.func(values).to_pylist() == [[1], None, [], [2, 5], [4, 4, 9]]
     assert running_sums.func(values.slice(3)).to_pylist() == [[2, 5], [4, 4, 9]]
+
+
+def test_word_diff_explodes_changed_words_only(spark):
+    pick = random.Random(8)
+    line = lambda: "".join(pick.choice(["a", "b", "c", " ", "　", "  "]) for _ in range(pick.randint(0, 12)))
+    rows = [(k % 5, line(), line()) for k in range(60)] + [(7, None, "a"), (7, "a", None), (7, None, None), (8, "", " a"), (9, "a b c d", "b c d"), (10, "a b", "b a")]
+    want = {}
+    for k, a, b in rows:
+        for side, n in ((a, -1), (b, 1)):
+            for w in (side or "").split() if a is not None and b is not None else []:
+                want[k, w] = want.get((k, w), 0) + n
+    got = {(r.k, r.word): r["diff"] for r in text.word_diff(spark.createDataFrame(rows, "k long, a string, b string"), "k", "a", "b").collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+    def made(node):
+        here = [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "Generate" else []
+        return here + [n for k in range(node.children().size()) for n in made(node.children().apply(k))]
+
+    same = "words that are equal on both sides of a line "
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = spark.createDataFrame([(k, same * 50, same * 50) for k in range(20)] + [(20, same + "the " + same, same + "teh " + same)], "k long, a string, b string")
+        df = text.word_diff(pairs, "k", "a", "b")
+        assert sorted((r.word, r["diff"]) for r in df.collect()) == [("teh", 1), ("the", -1)]
+        assert sum(made(df._jdf.queryExecution().executedPlan())) <= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
